@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comeback.config import Settings
 from comeback.functions import buckets
-from comeback.functions.scalars import column_slug, elapsed_hours, is_any, whole_days
+from comeback.functions.scalars import column_slug, elapsed_hours, whole_days
 
 EARLY_COLUMNS = (
     "d3_total_events",
@@ -41,121 +41,142 @@ def most_frequent_events(activity: DataFrame, limit: int) -> list[str]:
     return [row["event"] for row in event_frequency(activity).limit(limit).collect()]
 
 
-def _facets(activity: DataFrame, settings: Settings) -> DataFrame:
-    """Each person's activity by event name, by day, by week and by platform, in long form.
+def event_dimension(
+    spark: SparkSession, named: dict[str, tuple[str, ...]], matrix_events: Sequence[str]
+) -> DataFrame:
+    """Per known event name: one bit per group it belongs to, and its matrix slot.
 
-    The only shuffle moves the rollup to its person; everything later stays in place.
+    Its rows come from the configuration, so it is small whatever the data.
     """
-    offset = F.col("days_since_first")
-
-    def within(days: int, amount: str) -> Column:
-        return F.when(offset <= days, F.col(amount)).otherwise(F.lit(0))
-
-    placed = activity.filter(F.col("person_id").isNotNull()).repartition("person_id")
-    facet = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(kind).alias("facet"), F.col(column).cast("string").alias("value"))
-                for kind, column in [
-                    ("event", "event"),
-                    ("day", "date"),
-                    ("week", "week_key"),
-                    ("os", "os"),
-                ]
-            ]
-        )
-    )
-    return (
-        placed.withColumns(
-            {
-                "n_week": within(settings.first_week_days, "n"),
-                "ids_week": within(settings.first_week_days, "n_ids"),
-                "n_early": within(settings.early_days, "n"),
-                "ids_early": within(settings.early_days, "n_ids"),
-                "_facet": facet,
-            }
-        )
-        .groupBy("person_id", "_facet.facet", "_facet.value")
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in ("n", "n_ids", "n_week", "ids_week", "n_early", "ids_early")
-            ],
-            F.min("days_since_first").alias("first_offset"),
-            F.min("first_at").alias("first_at"),
-            F.max("last_at").alias("last_at"),
-        )
-    )
+    bits = {kind: 1 << i for i, kind in enumerate(named)}
+    slots = {name: i for i, name in enumerate(matrix_events)}
+    known = sorted(set(slots).union(*named.values()))
+    rows = [(n, sum(bit for kind, bit in bits.items() if n in named[kind]), slots.get(n)) for n in known]
+    return spark.createDataFrame(rows, "event string, mask int, slot int")
 
 
-def person_features(activity: DataFrame, settings: Settings, matrix_events: Sequence[str]) -> DataFrame:
-    """Lifetime, first-week and early aggregates plus the event matrix, one row per person.
+def _moved(activity: DataFrame, *columns: str | Column) -> DataFrame:
+    """The named columns of the rollup, brought to their person.
 
-    A distinct count inside a window is the number of names (or days) whose first offset lies
-    in the window, so no distinct aggregate is needed.
+    Every part of the mart starts like this, so they are joined where they are.
     """
-    taxonomy = settings.taxonomy
-    facet, value = F.col("facet"), F.col("value")
-    is_event = facet == "event"
-    is_signup = is_any(value, taxonomy.signup) == 1
+    known = activity.filter(F.col("person_id").isNotNull())
+    return known.select("person_id", *columns).repartition("person_id")
 
-    def total(amount: str, names: tuple[str, ...] | None = None) -> Column:
-        chosen = is_event if names is None else is_event & (is_any(value, names) == 1)
-        return F.sum(F.when(chosen, F.col(amount)).otherwise(F.lit(0)))
 
-    def distinct(kind: str, days: int | None = None) -> Column:
-        chosen = (facet == kind) & value.isNotNull()
-        if days is not None:
-            chosen = chosen & (F.col("first_offset") <= days)
-        return F.count(F.when(chosen, F.lit(1)))
+def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequence[str]) -> DataFrame:
+    """Everything counted from event names: totals, categories, windows, flags, matrix.
 
-    def ever(*names: str) -> Column:
-        return F.max(F.when(is_event, is_any(value, names)).otherwise(F.lit(0)))
+    Events are first summed per (person, name). A distinct count inside a window is then the
+    number of names whose first offset lies in the window, so no distinct aggregate is needed.
+    """
+    taxonomy = settings.taxonomy
+    categories = taxonomy.categories()
+    flags = {
+        "ever_published_app": (taxonomy.published,),
+        "ever_scheduled": (taxonomy.scheduled,),
+        "ever_shared": (taxonomy.shared,),
+        "used_addon_credits": (taxonomy.addon,),
+        "is_upgrade_candidate": taxonomy.upgrade,
+    }
+    named = {**categories, **flags, "signup": taxonomy.signup}
+    bits = {kind: 1 << i for i, kind in enumerate(named)}
+    windows = {"week": settings.first_week_days, "early": settings.early_days}
+
+    rows = _moved(activity, "event", "n", "n_ids", "days_since_first", "first_at", "last_at")
+    sums = {
+        f"{amount}_{window}": f"sum(if(days_since_first <= {days}, {amount}, 0))"
+        for window, days in windows.items()
+        for amount in ("n", "n_ids")
+    }
+    per_name = rows.groupBy("person_id", "event").agg(
+        F.sum("n").alias("n"),
+        F.sum("n_ids").alias("n_ids"),
+        *[F.expr(text).alias(name) for name, text in sums.items()],
+        F.min("days_since_first").alias("first_offset"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+    dimension = event_dimension(activity.sparkSession, named, matrix_events)
+    placed = per_name.join(F.broadcast(dimension), "event", "left").fillna({"mask": 0, "slot": -1})
 
-    def first_time(names: tuple[str, ...]) -> Column:
-        return F.min(F.when(is_event & (is_any(value, names) == 1), F.col("first_at")))
+    def of(kind: str) -> str:
+        return f"(mask & {bits[kind]}) <> 0"
 
-    week, early = settings.first_week_days, settings.early_days
-    categories = taxonomy.categories()
-    named = is_event & value.isNotNull()
-    aggregates = {
-        "total_events": total("n_ids"),
-        "unique_event_types": distinct("event"),
-        "first_seen": F.min("first_at"),
-        "last_seen": F.max("last_at"),
-        "active_days": distinct("day"),
-        "active_weeks": distinct("week"),
-        **{f"{kind}_events": total("n", names) for kind, names in categories.items()},
-        "fw_total_events": total("ids_week"),
-        **{f"fw_{kind}_events": total("n_week", names) for kind, names in categories.items()},
-        "fw_unique_events": distinct("event", week),
-        "fw_active_days": distinct("day", week),
-        "d3_total_events": total("ids_early"),
-        **{
-            f"d3_{kind}_events": total("n_early", categories[kind])
-            for kind in ("agent", "production", "canvas")
-        },
-        "d3_unique_events": distinct("event", early),
-        "d3_active_days": distinct("day", early),
-        "ever_published_app": ever(taxonomy.published),
-        "ever_scheduled": ever(taxonomy.scheduled),
-        "ever_shared": ever(taxonomy.shared),
-        "used_addon_credits": ever(taxonomy.addon),
-        "is_upgrade_candidate": ever(*taxonomy.upgrade),
-        "first_agent_ts": first_time(taxonomy.agent),
-        "first_value_ts": first_time(taxonomy.production),
-        "first_signup_ts": F.min(F.when(is_event & is_signup, F.col("first_at"))),
-        "first_event": F.min(F.when(named, F.struct("first_at", "value"))).getField("value"),
-        "os_platform": F.min(
-            F.when(facet == "os", F.struct((-F.col("n")).alias("rank"), "value"))
-        ).getField("value"),
+    def window(prefix: str, suffix: str, kinds: Sequence[str]) -> dict[str, str]:
+        return {
+            f"{prefix}_total_events": f"sum(n_ids_{suffix})",
+            **{f"{prefix}_{kind}_events": f"sum(if({of(kind)}, n_{suffix}, 0))" for kind in kinds},
+            f"{prefix}_unique_events": f"count_if(event IS NOT NULL AND first_offset <= {windows[suffix]})",
+        }
+
+    measures = {
+        "total_events": "sum(n_ids)",
+        "unique_event_types": "count(event)",
+        "first_seen": "min(first_at)",
+        "last_seen": "max(last_at)",
+        **{f"{kind}_events": f"sum(if({of(kind)}, n, 0))" for kind in categories},
+        **window("fw", "week", list(categories)),
+        **window("d3", "early", ("agent", "production", "canvas")),
+        **{name: f"if((bit_or(mask) & {bits[name]}) <> 0, 1, 0)" for name in flags},
+        "first_agent_ts": f"min(if({of('agent')}, first_at, NULL))",
+        "first_value_ts": f"min(if({of('production')}, first_at, NULL))",
+        "first_signup_ts": f"min(if({of('signup')}, first_at, NULL))",
         **{
-            column_slug("evt_", name): F.sum(F.when(is_event & (value == name), F.col("n")).otherwise(F.lit(0)))
-            for name in matrix_events
+            column_slug("evt_", name): f"sum(if(slot = {slot}, n, 0))"
+            for slot, name in enumerate(matrix_events)
         },
     }
-    grouped = _facets(activity, settings).groupBy("person_id")
-    return add_derived(grouped.agg(*[c.alias(name) for name, c in aggregates.items()]), settings)
+    return placed.groupBy("person_id").agg(*[F.expr(text).alias(name) for name, text in measures.items()])
+
+
+def active_time(activity: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct active days (lifetime and per window) and weeks: one bit per weekday of a week."""
+    monday = F.date_trunc("week", "date").cast("date").alias("monday")
+    bit = F.expr("1 << weekday(date)").alias("bit")
+    per_week = (
+        _moved(activity, monday, "week", "days_since_first", bit)
+        .groupBy("person_id", "monday", "week")
+        .agg(
+            F.bit_or("bit").alias("days"),
+            F.expr(f"bit_or(if(days_since_first <= {settings.first_week_days}, bit, 0))").alias("fw"),
+            F.expr(f"bit_or(if(days_since_first <= {settings.early_days}, bit, 0))").alias("d3"),
+        )
+    )
+    # ISO numbers repeat every year and count once; they fit the bits of a long.
+    weeks = "count(1)" if settings.week_mode == "continuous" else "bigint(bit_count(bit_or(1L << week)))"
+    return per_week.groupBy("person_id").agg(
+        F.expr("sum(bit_count(days))").alias("active_days"),
+        F.expr(weeks).alias("active_weeks"),
+        F.expr("sum(bit_count(fw))").alias("fw_active_days"),
+        F.expr("sum(bit_count(d3))").alias("d3_active_days"),
+    )
+
+
+def usual_platform(activity: DataFrame) -> DataFrame:
+    """Most frequent operating system per person, the smallest name on ties."""
+    per_os = _moved(activity, "os", "n").groupBy("person_id", "os").agg(F.sum("n").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("rank"), "os"))
+    return per_os.groupBy("person_id").agg(best.getField("os").alias("os_platform"))
+
+
+def opening_event(activity: DataFrame) -> DataFrame:
+    """Earliest named event per person, the smallest name among simultaneous ones."""
+    earliest = F.min(F.when(F.col("event").isNotNull(), F.struct("first_at", "event")))
+    rows = _moved(activity, "event", "first_at").groupBy("person_id")
+    return rows.agg(earliest.getField("event").alias("first_event"))
+
+
+def person_features(activity: DataFrame, settings: Settings, matrix_events: Sequence[str]) -> DataFrame:
+    """Lifetime, first-week and early aggregates plus the event matrix, one row per person.
+
+    The four parts are narrow hash aggregates over the rollup, each shuffled once by person;
+    their joins find both sides in place.
+    """
+    counts = event_counts(activity, settings, matrix_events)
+    for part in (active_time(activity, settings), usual_platform(activity), opening_event(activity)):
+        counts = counts.join(part, "person_id")
+    return add_derived(counts, settings)
 
 
 def add_derived(people: DataFrame, settings: Settings) -> DataFrame:

@@ -7,6 +7,9 @@ bounded table that is broadcast, and windows only run inside one range.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,20 +108,43 @@ def shuffled_rank(
     )
 
 
-def exact_quantile(frame: DataFrame, value: str, share: float, buckets: int = 256) -> DataFrame:
-    """One row ``quantile``: linear interpolation between the two neighbouring order statistics."""
-    counts = frame.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, value, ["n"], buckets=buckets)
-    wanted = counts.agg((F.lit(share) * (F.sum("n") - 1)).alias("_at"))
-    low, high = F.floor("_at"), F.ceil("_at")
+def exact_quantile(
+    frame: DataFrame, value: str, share: float, small: int = 10_000, accuracy: int = 10_000
+) -> float | None:
+    """Exact quantile with linear interpolation between the two neighbouring order statistics.
 
-    def holds(rank: Column) -> Column:
-        return (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
-
-    picked = ranked.crossJoin(F.broadcast(wanted)).agg(
-        F.max(F.when(holds(low), F.col(value).cast("double"))).alias("_low"),
-        F.max(F.when(holds(high), F.col(value).cast("double"))).alias("_high"),
-        F.max("_at").alias("_at"),
-    )
-    step = (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
-    return picked.select((F.col("_low") + step).alias("quantile"))
+    Each round asks a mergeable sketch for two values enclosing the wanted ranks and counts
+    what lies below and between them; no row is moved. When at most ``small`` rows are left in
+    between (or all of them are equal), their distinct values are fetched.
+    """
+    present = frame.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    total = present.count()
+    if total == 0:
+        return None
+    at = share * (total - 1)
+    first, last = math.floor(at), math.ceil(at)
+    inside, below, size = present, 0, total
+    while size > small:
+        margin = 2 / accuracy
+        shares = [
+            max((first - below) / size - margin, 0.0),
+            min((last - below + 1) / size + margin, 1.0),
+        ]
+        low, high = inside.agg(F.percentile_approx("v", shares, accuracy)).first()[0]
+        passed, enclosed = inside.agg(
+            F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))
+        ).first()
+        covered = below + passed <= first and last < below + passed + enclosed
+        if not covered or (enclosed == size and low < high):
+            accuracy *= 10
+            continue
+        inside, below, size = inside.filter(F.col("v").between(low, high)), below + passed, enclosed
+        if low == high:
+            break
+    counts = inside.groupBy("v").count().orderBy("v").limit(small).collect()
+    ends = list(itertools.accumulate((row["count"] for row in counts), initial=below))
+
+    def at_rank(rank: int) -> float:
+        return counts[bisect.bisect_right(ends, rank) - 1]["v"]
+
+    return at_rank(first) + (at_rank(last) - at_rank(first)) * (at - first)

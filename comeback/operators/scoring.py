@@ -26,49 +26,49 @@ VOLUME_PARTS = ("total_events", "unique_event_types", "credit_events")
 def add_scores(people: DataFrame, settings: Settings) -> DataFrame:
     """Sub-scores and weighted score from globally min-max scaled features.
 
-    The extremes are one broadcast row, so the people are scanned but never moved.
+    The extremes are a fixed number of scalars fetched by one small job, so scoring is a plain
+    projection: the people are not moved.
     """
     sources = [c for c in (*RETENTION_PARTS, *DEPTH_PARTS, *VOLUME_PARTS) if c != "event_diversity"]
-    extremes = people.agg(
-        *[F.min(c).alias(f"_min_{c}") for c in sources],
-        *[F.max(c).alias(f"_max_{c}") for c in sources],
-    )
-    types, most = "unique_event_types", F.col("_max_unique_event_types")
-    joined = people.crossJoin(F.broadcast(extremes)).withColumns(
-        {
-            "event_diversity": F.col(types) / most,
-            "_min_event_diversity": F.col(f"_min_{types}") / most,
-            "_max_event_diversity": most / most,
-        }
-    )
-
-    def scaled(name: str) -> Column:
-        return min_max(F.col(name), F.col(f"_min_{name}"), F.col(f"_max_{name}"))
+    row = people.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in sources for f in (F.min, F.max)]).first()
+    extremes = {c: (row[f"min_{c}"], row[f"max_{c}"]) for c in sources}
+    fewest, most = extremes["unique_event_types"]
+    diversity = F.col("unique_event_types") / F.lit(most)
+    if most:
+        extremes["event_diversity"] = (fewest / most, 1.0)
+    else:
+        extremes["event_diversity"] = (None, None)
 
     def score(parts: tuple[str, ...]) -> Column:
-        return row_mean([scaled(name) for name in parts]) * 100
+        scaled = [min_max(F.col(name), F.lit(extremes[name][0]), F.lit(extremes[name][1])) for name in parts]
+        return row_mean(scaled) * 100
 
     retention, depth, volume = settings.score_weights
-    scored = joined.withColumns(
-        {
-            "retention_score": score(RETENTION_PARTS),
-            "depth_score": score(DEPTH_PARTS),
-            "volume_score": score(VOLUME_PARTS),
-        }
-    ).withColumn(
-        "success_score",
-        retention * F.col("retention_score") + depth * F.col("depth_score") + volume * F.col("volume_score"),
+    return (
+        people.withColumn("event_diversity", diversity)
+        .withColumns(
+            {
+                "retention_score": score(RETENTION_PARTS),
+                "depth_score": score(DEPTH_PARTS),
+                "volume_score": score(VOLUME_PARTS),
+            }
+        )
+        .withColumn(
+            "success_score",
+            retention * F.col("retention_score") + depth * F.col("depth_score") + volume * F.col("volume_score"),
+        )
     )
-    return scored.drop(*[c for c in scored.columns if c.startswith(("_min_", "_max_"))])
 
 
 def add_label(scored: DataFrame, settings: Settings) -> DataFrame:
     """``is_successful``: score at or above the quantile, ties included."""
-    threshold = exact_quantile(
-        scored, "success_score", settings.success_quantile, settings.running_total_buckets
+    threshold = F.lit(exact_quantile(scored, "success_score", settings.success_quantile)).cast("double")
+    return scored.withColumns(
+        {
+            "success_threshold": threshold,
+            "is_successful": (F.col("success_score") >= threshold).cast("int"),
+        }
     )
-    joined = scored.crossJoin(F.broadcast(threshold.withColumnRenamed("quantile", "success_threshold")))
-    return joined.withColumn("is_successful", (F.col("success_score") >= F.col("success_threshold")).cast("int"))
 
 
 def success_summary(mart: DataFrame) -> DataFrame:
