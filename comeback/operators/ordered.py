@@ -109,7 +109,7 @@ def shuffled_rank(
 
 
 def exact_quantile(
-    frame: DataFrame, value: str, share: float, small: int = 10_000, accuracy: int = 10_000
+    frame: DataFrame, value: str, share: float, small: int = 100_000, accuracy: int = 10_000
 ) -> float | None:
     """Exact quantile with linear interpolation between the two neighbouring order statistics.
 

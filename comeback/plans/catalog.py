@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comeback.functions.scalars import round_half_even
 from comeback.operators import activity as act
-from comeback.operators import cleaning, cohorts, features, funnel, rates, trends
+from comeback.operators import (
+    cleaning,
+    cohorts,
+    evaluation,
+    features,
+    funnel,
+    learning,
+    rates,
+    sampling,
+    segments,
+    trends,
+)
 from comeback.operators.scoring import success_summary
 from comeback.plans.testlog import TEST_SETTINGS, dirty_event_log, event_log
 from comeback.plans.workspace import Workspace
@@ -201,4 +213,208 @@ RELATIONAL: dict[str, Query] = {
     "user_funnel": on_workspace(lambda ws: funnel.user_funnel(ws.mart, ws.settings)),
     "funnel_dropoff": on_workspace(lambda ws: funnel.funnel_dropoff(funnel.user_funnel(ws.mart, ws.settings))),
 }
-QUERIES = dict(RELATIONAL)
+
+
+def _scored_by_ratio(ws: Workspace) -> DataFrame:
+    """A deterministic score for the evaluation queries: share of early agent events."""
+    ratio = F.col("d3_agent_events") / (F.col("d3_total_events") + 1)
+    scored = ws.mart.select("person_id", F.col("is_successful").alias("label"), ratio.alias("probability"))
+    return scored.withColumn("prediction", (F.col("probability") > 0.3).cast("int"))
+
+
+def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return frame.withColumns({c: round_half_even(F.col(c), digits) for c in columns})
+
+
+def _feature_matrix(ws: Workspace) -> DataFrame:
+    columns = learning.full_columns(ws.mart)
+    matrix = learning.feature_matrix(ws.mart, columns, "is_successful")
+    return _rounded(matrix, *columns)
+
+
+def _zscores(ws: Workspace) -> DataFrame:
+    return _rounded(segments.standardised(ws.mart), *segments.CLUSTER_COLUMNS)
+
+
+def _split(ws: Workspace) -> DataFrame:
+    people = ws.mart.select("person_id", F.col("is_successful").alias("label"))
+    return sampling.train_test_split(people, ws.settings, "label")
+
+
+def _plain_split(ws: Workspace) -> DataFrame:
+    return sampling.train_test_split(ws.mart.select("person_id"), ws.settings)
+
+
+def _sample(ws: Workspace) -> DataFrame:
+    return sampling.stratified_sample(ws.mart.select("person_id", "is_successful"), "is_successful", 200)
+
+
+def _folds(ws: Workspace) -> DataFrame:
+    people = ws.mart.select("person_id", F.col("is_successful").alias("label"))
+    return sampling.cross_validation_folds(people, "label", ws.settings.folds)
+
+
+def _lloyd(ws: Workspace) -> DataFrame:
+    scaled = segments.standardised(ws.mart)
+    step = segments.lloyd_step(scaled, segments.seed_centres(scaled, 4))
+    return _rounded(step, "inertia", *segments.CLUSTER_COLUMNS)
+
+
+def _stump(ws: Workspace) -> DataFrame:
+    matrix = learning.feature_matrix(ws.mart, features.EARLY_COLUMNS, "is_successful")
+    return learning.best_stump(matrix, features.EARLY_COLUMNS)
+
+
+RELATIONAL.update(
+    {
+        "feature_matrix": on_workspace(_feature_matrix),
+        "zscore_features": on_workspace(_zscores),
+        "stratified_split": on_workspace(_split),
+        "random_split": on_workspace(_plain_split),
+        "stratified_sample": on_workspace(_sample),
+        "simple_sample": on_workspace(lambda ws: sampling.simple_sample(ws.mart.select("person_id"), 300)),
+        "cv_folds": on_workspace(_folds),
+        "lloyd_step": on_workspace(_lloyd),
+        "best_stump": on_workspace(_stump),
+        "roc_points": on_workspace(
+            lambda ws: _rounded(evaluation.roc_points(_scored_by_ratio(ws)), "threshold", "fpr", "tpr")
+        ),
+        "roc_auc": on_workspace(lambda ws: _rounded(evaluation.roc_auc(_scored_by_ratio(ws)), "auc")),
+        "confusion": on_workspace(lambda ws: evaluation.confusion(_scored_by_ratio(ws))),
+        "precision_recall_f1": on_workspace(lambda ws: evaluation.precision_recall_f1(_scored_by_ratio(ws))),
+        "threshold_sweep": on_workspace(lambda ws: evaluation.threshold_sweep(_scored_by_ratio(ws))),
+        "selected_thresholds": on_workspace(
+            lambda ws: evaluation.selected_thresholds(evaluation.threshold_sweep(_scored_by_ratio(ws)))
+        ),
+        "classification_report": on_workspace(lambda ws: evaluation.classification_report(_scored_by_ratio(ws))),
+    }
+)
+
+
+# Models: fitted once per workspace; their scored test rows are staged.
+
+
+def _personas(ws: Workspace) -> segments.Personas:
+    return ws.once("personas", lambda: segments.fit_personas(ws.mart, ws.settings.seed))
+
+
+def _segmented(ws: Workspace) -> DataFrame:
+    """The mart with cluster, segment and components."""
+
+    def build() -> DataFrame:
+        return _personas(ws).assign(segments.vectors(segments.standardised(ws.mart)))
+
+    return ws.mart.join(ws.staged("segments", build), "person_id")
+
+
+def _elbow(ws: Workspace) -> DataFrame:
+    points = segments.vectors(segments.standardised(ws.mart)).persist()
+    try:
+        return segments.kmeans_elbow(points, ws.settings.seed)
+    finally:
+        points.unpersist()
+
+
+def _fitted(ws: Workspace, name: str) -> tuple[PipelineModel, DataFrame]:
+    """A fitted model with its staged scored test split."""
+    seed = ws.settings.seed
+    early, full = features.EARLY_COLUMNS, learning.full_columns(ws.mart)
+    plans = {
+        "full": (full, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed)),
+        "early": (early, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed)),
+        "upgrade": (early, "is_upgrade_candidate", learning.stump_forest(learning.UPGRADE_TREES, seed)),
+        **{
+            model: (full, "is_successful", estimator)
+            for model, estimator in learning.comparison_models(seed).items()
+        },
+    }
+
+    def build() -> tuple[PipelineModel, DataFrame]:
+        columns, label, estimator = plans[name]
+        model, tested = learning.fit_and_score(ws.mart, columns, label, estimator, ws.settings)
+        return model, ws.staged(f"scored_{name.lower().replace(' ', '_')}", lambda: tested)
+
+    return ws.once(f"model_{name}", build)
+
+
+def _scored(name: str) -> Query:
+    return on_workspace(lambda ws: _fitted(ws, name)[1])
+
+
+def _side_by_side(ws: Workspace, names: Iterable[str]) -> DataFrame:
+    return learning.compare_models(learning.union_scored((n, _fitted(ws, n)[1]) for n in names))
+
+
+def _model_curves(ws: Workspace) -> DataFrame:
+    scored = learning.union_scored((n, _fitted(ws, n)[1]) for n in ("full", "early", "upgrade"))
+    return evaluation.roc_points(scored, ["model"])
+
+
+def _best_report(ws: Workspace) -> DataFrame:
+    names = learning.comparison_models(ws.settings.seed)
+    best = evaluation.best_model(_side_by_side(ws, names)).first()["model"]
+    return evaluation.classification_report(_fitted(ws, best)[1]).withColumn("model", F.lit(best))
+
+
+def _cv(ws: Workspace) -> DataFrame:
+    def build() -> DataFrame:
+        columns = learning.full_columns(ws.mart)
+        estimator = learning.stump_forest(learning.FOREST_TREES, ws.settings.seed)
+        return learning.cross_validated_auc(
+            ws.mart, columns, "is_successful", estimator, ws.settings, ws.staged
+        )
+
+    return ws.once("cv", build)
+
+
+def _importance(ws: Workspace) -> DataFrame:
+    return learning.feature_importance(_fitted(ws, learning.FOREST)[0], learning.full_columns(ws.mart))
+
+
+def _permutation(ws: Workspace) -> DataFrame:
+    columns = learning.full_columns(ws.mart)
+    matrix = learning.feature_matrix(ws.mart, columns, "is_successful")
+    tested = sampling.train_test_split(matrix, ws.settings, "label").filter("split = 'test'")
+    return learning.permutation_importance(_fitted(ws, learning.FOREST)[0], tested, columns, ws.settings)
+
+
+def _risks(ws: Workspace) -> DataFrame:
+    return ws.staged("risks", lambda: learning.risk_scores(_fitted(ws, "early")[0], ws.mart, ws.settings))
+
+
+def _business_case(ws: Workspace) -> DataFrame:
+    return learning.business_case(
+        _risks(ws), rates.success_by_milestones(ws.mart), rates.upgrade_candidates(ws.mart), ws.settings
+    )
+
+
+MODELS: dict[str, Query] = {
+    "kmeans_segments": on_workspace(lambda ws: _segmented(ws).select("person_id", "cluster", "segment")),
+    "kmeans_elbow": on_workspace(_elbow),
+    "pca_projection": on_workspace(lambda ws: _segmented(ws).select("person_id", "segment", "pca_x", "pca_y")),
+    "segment_success": on_workspace(lambda ws: segments.segment_success(_segmented(ws))),
+    "segment_sizes": on_workspace(lambda ws: segments.segment_sizes(_segmented(ws))),
+    "segment_profile": on_workspace(lambda ws: segments.segment_profile(_segmented(ws))),
+    "cluster_profile": on_workspace(lambda ws: segments.segment_profile(_segmented(ws), "cluster")),
+    "segment_radar": on_workspace(lambda ws: segments.segment_radar(_segmented(ws))),
+    "segment_upgrade": on_workspace(lambda ws: segments.segment_upgrade(_segmented(ws))),
+    "rf_full": _scored("full"),
+    "rf_day3": _scored("early"),
+    "rf_upgrade": _scored("upgrade"),
+    "model_evaluation": on_workspace(lambda ws: _side_by_side(ws, ("full", "early", "upgrade"))),
+    "model_roc_curves": on_workspace(_model_curves),
+    "day3_threshold_sweep": on_workspace(lambda ws: evaluation.threshold_sweep(_fitted(ws, "early")[1])),
+    "cv_auc": on_workspace(_cv),
+    "cv_auc_interval": on_workspace(lambda ws: learning.auc_interval(_cv(ws))),
+    "risk_scores": on_workspace(_risks),
+    "risk_distribution": on_workspace(lambda ws: learning.risk_distribution(_risks(ws))),
+    "business_case": on_workspace(_business_case),
+    "model_comparison": on_workspace(
+        lambda ws: _side_by_side(ws, learning.comparison_models(ws.settings.seed))
+    ),
+    "best_model_report": on_workspace(_best_report),
+    "feature_importance": on_workspace(_importance),
+    "permutation_importance": on_workspace(_permutation),
+}
+
+QUERIES: dict[str, Query] = {**RELATIONAL, **MODELS}

@@ -541,3 +541,184 @@ SQL: dict[str, str] = {
         _STAGE_EVENTS,
     ),
 }
+
+_KEY = "((person_id % 1000003) * 2654435761) % 4294967296"
+_RANKED = f"""ranked AS (
+  SELECT person_id, is_successful AS label, row_number() OVER (PARTITION BY is_successful ORDER BY {_KEY}, person_id) AS rn,
+         count(*) OVER (PARTITION BY is_successful) AS size,
+         row_number() OVER (ORDER BY {_KEY}, person_id) AS rn_all, count(*) OVER () AS all_size
+  FROM mart)"""
+
+_CLUSTER = (
+    "total_events",
+    "active_days",
+    "tenure_days",
+    "retention_score",
+    "depth_score",
+    "volume_score",
+    "agent_ratio",
+    "production_ratio",
+    "ever_published_app",
+    "ever_scheduled",
+    "used_addon_credits",
+)
+_Z = f"""z AS (SELECT person_id, {", ".join(
+    f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END AS {c}"
+    for c in _CLUSTER
+)} FROM mart)"""
+
+_EARLY = (
+    "d3_total_events",
+    "d3_agent_events",
+    "d3_production_events",
+    "d3_canvas_events",
+    "d3_unique_events",
+    "d3_active_days",
+)
+_STUMP_PARTS = f"""cells AS ({unpivot([
+    f"SELECT {i} AS feature_no, '{c}' AS feature, {c}::DOUBLE AS x, is_successful AS label FROM mart"
+    for i, c in enumerate(_EARLY)
+])}),
+cuts AS (SELECT DISTINCT feature_no, feature, x AS threshold FROM cells),
+rules AS (
+  SELECT feature_no, feature, threshold, polarity,
+         count(*) FILTER (WHERE CAST(polarity * (x - threshold) >= 0 AS INT) <> label) AS errors, count(*) AS n
+  FROM cuts JOIN cells USING (feature_no, feature) CROSS JOIN (VALUES (1), (-1)) AS p(polarity) GROUP BY ALL)"""
+
+_SCORED = """scores AS (
+  SELECT person_id, is_successful AS label, d3_agent_events / (d3_total_events + 1) AS p FROM mart),
+confused AS (
+  SELECT count(*) FILTER (WHERE p > 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE p > 0.3 AND label = 0) AS fp,
+         count(*) FILTER (WHERE p <= 0.3 AND label = 1) AS fn, count(*) FILTER (WHERE p <= 0.3 AND label = 0) AS tn
+  FROM scores)"""
+
+
+def r4(expression: str) -> str:
+    return f"round_even(({expression}) * 1e4, 0) / 1e4"
+
+
+_PREC, _REC = "(tp / greatest(tp + fp, 1))", "(tp / greatest(tp + fn, 1))"
+_RATES = (
+    f"{r4(_PREC)} AS precision, {r4(_REC)} AS recall, "
+    f"{r4(f'2 * {_PREC} * {_REC} / greatest({_PREC} + {_REC}, 0.001)')} AS f1, "
+    f"{r4('(tp + tn) / greatest(tp + fp + fn + tn, 1)')} AS accuracy"
+)
+_SWEEP = f"""sweep AS (
+  SELECT threshold, tp, fp, fn, tn, {_RATES} FROM (
+    SELECT round_even((0.1 + i * 0.05) * 100, 0)::DOUBLE / 100 AS threshold,
+           count(*) FILTER (WHERE p >= t AND label = 1) AS tp, count(*) FILTER (WHERE p >= t AND label = 0) AS fp,
+           count(*) FILTER (WHERE p < t AND label = 1) AS fn, count(*) FILTER (WHERE p < t AND label = 0) AS tn
+    FROM scores, (SELECT i, 0.1::DOUBLE + i * ((0.9::DOUBLE - 0.1::DOUBLE) / 16) AS t FROM range(17) AS steps(i))
+    GROUP BY i))"""
+
+
+def _class_row(name: str, right: str, wrong: str, missed: str) -> str:
+    return (
+        f"SELECT '{name}' AS class, {right} / greatest({right} + {wrong}, 1) AS p, "
+        f"{right} / greatest({right} + {missed}, 1) AS r, {right} + {missed} AS support FROM confused"
+    )
+
+
+_REPORT = f"""per_class AS (
+  SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f
+  FROM ({_class_row("Not Successful", "tn", "fn", "fp")} UNION ALL {_class_row("Successful", "tp", "fp", "fn")})),
+report AS (
+  SELECT class, p, r, f, support FROM per_class
+  UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(support)::BIGINT FROM per_class
+  UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
+                   sum(f * support) / sum(support), sum(support)::BIGINT FROM per_class)"""
+
+_FULL = (
+    "total_events unique_event_types active_days active_weeks tenure_days events_per_day weekly_cadence "
+    "event_diversity agent_events production_events collab_events credit_events agent_ratio production_ratio "
+    "collab_ratio credit_ratio ever_published_app ever_scheduled ever_shared used_addon_credits fw_total_events "
+    "fw_agent_events fw_production_events fw_canvas_events fw_unique_events fw_active_days"
+).split()
+
+_DISTANCES = [
+    " + ".join(f"(z.{c} - s{i}.{c}) * (z.{c} - s{i}.{c})" for c in _CLUSTER) for i in range(4)
+]
+_LLOYD = f"""seeds AS (SELECT *, row_number() OVER (ORDER BY person_id) - 1 AS i FROM z ORDER BY person_id LIMIT 4),
+distances AS (
+  SELECT z.*, {", ".join(f"{d} AS d{i}" for i, d in enumerate(_DISTANCES))}
+  FROM z, {", ".join(f"(SELECT * FROM seeds WHERE i = {i}) AS s{i}" for i in range(4))}),
+placed AS (
+  SELECT *, least(d0, d1, d2, d3) AS d,
+         CASE least(d0, d1, d2, d3) WHEN d0 THEN 0 WHEN d1 THEN 1 WHEN d2 THEN 2 ELSE 3 END AS cluster
+  FROM distances)"""
+
+SQL.update(
+    {
+        "feature_matrix": with_parts(
+            "mart",
+            f"""SELECT person_id, is_successful AS label, {", ".join(f"{r6(c)} AS {c}" for c in _FULL)},
+                       {", ".join(f"evt_{n}::DOUBLE AS evt_{n}" for n in _EVENT_NAMES)}
+                FROM mart JOIN matrix USING (person_id)""",
+            f"matrix AS (SELECT person_id, {_MATRIX} FROM ev GROUP BY person_id)",
+        ),
+        "zscore_features": with_parts(
+            "mart", "SELECT person_id, " + ", ".join(f"{r6(c)} AS {c}" for c in _CLUSTER) + " FROM z", _Z
+        ),
+        "stratified_split": with_parts(
+            "mart",
+            """SELECT person_id, label,
+                      CASE WHEN rn <= greatest(1, floor(size * 0.2)) THEN 'test' ELSE 'train' END AS split FROM ranked""",
+            _RANKED,
+        ),
+        "random_split": with_parts(
+            "mart",
+            """SELECT person_id, CASE WHEN rn_all <= floor(all_size * 0.2) THEN 'test' ELSE 'train' END AS split
+               FROM ranked""",
+            _RANKED,
+        ),
+        "stratified_sample": with_parts(
+            "mart", "SELECT person_id, label AS is_successful FROM ranked WHERE rn <= 200", _RANKED
+        ),
+        "simple_sample": with_parts("mart", "SELECT person_id FROM ranked WHERE rn_all <= 300", _RANKED),
+        "cv_folds": with_parts(
+            "mart", "SELECT person_id, label, ((rn - 1) % 5)::INT AS fold FROM ranked", _RANKED
+        ),
+        "lloyd_step": with_parts(
+            "mart",
+            f"""SELECT i::INT AS cluster, coalesce(users, 0) AS users, coalesce(inertia, 0::DOUBLE) AS inertia,
+                       {", ".join(f"coalesce(m_{c}, {r6(c)}) AS {c}" for c in _CLUSTER)}
+                FROM seeds LEFT JOIN (
+                  SELECT cluster, count(*) AS users, {r6("sum(d)")} AS inertia,
+                         {", ".join(f"{r6(f'avg({c})')} AS m_{c}" for c in _CLUSTER)}
+                  FROM placed GROUP BY cluster) ON i = cluster""",
+            _Z,
+            _LLOYD,
+        ),
+        "best_stump": with_parts(
+            "mart",
+            f"""SELECT feature, threshold, polarity, errors, {r6("errors / n")} AS error FROM rules
+                ORDER BY errors, feature_no, threshold, polarity DESC LIMIT 1""",
+            _STUMP_PARTS,
+        ),
+        "roc_points": with_parts(
+            "mart",
+            f"""SELECT {r6("t")} AS threshold, {r6("count(*) FILTER (WHERE label = 0 AND p >= t) / (SELECT count(*) FROM scores WHERE label = 0)")} AS fpr,
+                       {r6("count(*) FILTER (WHERE label = 1 AND p >= t) / (SELECT count(*) FROM scores WHERE label = 1)")} AS tpr
+                FROM scores, (SELECT DISTINCT p AS t FROM scores UNION ALL SELECT max(p) + 1 FROM scores) GROUP BY t""",
+            _SCORED,
+        ),
+        "roc_auc": with_parts(
+            "mart",
+            f"""SELECT {r6("avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)")} AS auc
+                FROM (SELECT p FROM scores WHERE label = 1) a, (SELECT p FROM scores WHERE label = 0) b""",
+            _SCORED,
+        ),
+        "confusion": with_parts("mart", "SELECT tp, fp, fn, tn FROM confused", _SCORED),
+        "precision_recall_f1": with_parts("mart", f"SELECT tp, fp, fn, tn, {_RATES} FROM confused", _SCORED),
+        "threshold_sweep": with_parts("mart", "SELECT * FROM sweep", _SCORED, _SWEEP),
+        "selected_thresholds": with_parts(
+            "mart", "SELECT * FROM sweep WHERE threshold IN (0.2, 0.3, 0.4, 0.5, 0.6)", _SCORED, _SWEEP
+        ),
+        "classification_report": with_parts(
+            "mart",
+            f"""SELECT class, {r4("p")} AS precision, {r4("r")} AS recall, {r4("f")} AS f1, support FROM report""",
+            _SCORED,
+            _REPORT,
+        ),
+    }
+)

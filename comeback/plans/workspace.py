@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,14 +15,16 @@ from comeback.operators import features, scoring
 from comeback.operators.cleaning import clean_events
 from comeback.sources.storage import shared_folder, write_table
 
+T = TypeVar("T")
+
 
 class Workspace:
     """Builds each table on first use, writes it to the shared folder and reads it back.
 
     Order of tables: ``events`` (deduplicated, classified) -> ``people`` (first activity)
-    -> ``activity`` (rollup) -> ``features`` (one row per person) -> ``mart`` (with score and
-    label). A written table cuts the lineage and survives the loss of executors. The raw log is
-    taken as unchanging while the workspace is in use.
+    -> ``activity`` (rollup) -> ``features`` (one row per person). A written table cuts the
+    lineage and survives the loss of executors. ``mart`` adds score and label on top. The raw
+    log is taken as unchanging while the workspace is in use.
     """
 
     def __init__(
@@ -32,6 +35,7 @@ class Workspace:
         self.settings = settings or Settings()
         self._folder = folder
         self._tables: dict[str, DataFrame] = {}
+        self._made: dict[str, Any] = {}
         self._lock = threading.RLock()
 
     @property
@@ -47,12 +51,19 @@ class Workspace:
                 self._tables[name] = write_table(build(), f"{self.folder}/{name}")
             return self._tables[name]
 
+    def once(self, name: str, build: Callable[[], T]) -> T:
+        """A fitted model or a plan with fetched constants, made when asked for the first time."""
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = build()
+            return self._made[name]
+
     @classmethod
     def reopen(cls, spark: SparkSession, folder: str, settings: Settings | None = None) -> Workspace:
         """Work on the tables a previous session wrote to ``folder``."""
         events = spark.read.parquet(f"{folder}/events")
         workspace = cls(spark, events, settings, folder)
-        for name in ("events", "people", "activity", "features", "mart"):
+        for name in ("events", "people", "activity", "features"):
             workspace._tables[name] = spark.read.parquet(f"{folder}/{name}")
         return workspace
 
@@ -78,10 +89,12 @@ class Workspace:
 
     @property
     def mart(self) -> DataFrame:
+        """Features with scores and label: a projection with a few fetched constants."""
+
         def build() -> DataFrame:
             return scoring.add_label(scoring.add_scores(self.features, self.settings), self.settings)
 
-        return self.staged("mart", build)
+        return self.once("mart", build)
 
     def offsets(self) -> DataFrame:
         """Events with their offsets; the count of the stored people decides how they are joined."""
