@@ -92,10 +92,18 @@ def in_no_category(taxonomy: Taxonomy) -> Column:
     return ~reduce(or_, [F.col(f"is_{kind}_event") == 1 for kind in taxonomy.categories()])
 
 
-def clean_events(raw: DataFrame, settings: Settings) -> DataFrame:
-    """Parse, deduplicate, trim, date and classify the raw log."""
+def keep_events(raw: DataFrame, settings: Settings) -> DataFrame:
+    """Parse, deduplicate and trim: the contract columns of the events that count."""
     events = parse_times(raw)
     if settings.dedupe:
         events = drop_repeated_events(events)
-    events = events.withColumn("prop_$os", blank_trim(F.col("`prop_$os`"), UNKNOWN_OS))
-    return add_flags(add_calendar(events, settings), settings.taxonomy)
+    return events.withColumn("prop_$os", blank_trim(F.col("`prop_$os`"), UNKNOWN_OS))
+
+
+def describe_events(kept: DataFrame, settings: Settings) -> DataFrame:
+    """Add calendar columns and category flags."""
+    return add_flags(add_calendar(kept, settings), settings.taxonomy)
+
+
+def clean_events(raw: DataFrame, settings: Settings) -> DataFrame:
+    return describe_events(keep_events(raw, settings), settings)

@@ -17,13 +17,13 @@ def cohort_sizes(people: DataFrame, settings: Settings) -> DataFrame:
     return sizes.select("cohort", week, "cohort_size").orderBy("cohort")
 
 
-def cohort_retention(activity: DataFrame, people: DataFrame, settings: Settings) -> DataFrame:
+def cohort_retention(weeks: DataFrame, people: DataFrame, settings: Settings) -> DataFrame:
     """Distinct active users and their share per cohort and week offset."""
     offset = F.col("weeks_since_first")
-    kept = activity.filter(offset.between(0, settings.max_week_offset))
-    active = kept.groupBy((F.col("week_key") - offset).alias("cohort"), offset.alias("week_offset")).agg(
-        F.count_distinct("person_id").alias("users")
-    )
+    kept = weeks.filter(offset.between(0, settings.max_week_offset))
+    users = F.count("person_id") if settings.week_mode == "continuous" else F.count_distinct("person_id")
+    cohort = (F.col("week_key") - offset).alias("cohort")
+    active = kept.groupBy(cohort, offset.alias("week_offset")).agg(users.alias("users"))
     # One row per week of history, so small for any number of users.
     sized = active.join(cohort_sizes(people, settings), "cohort")
     rate = percent(F.col("users"), F.col("cohort_size")).alias("retention_rate")
@@ -66,16 +66,15 @@ def retention_cliff(curve: DataFrame) -> DataFrame:
     return drops.orderBy("change", "week_offset").limit(1).select("week_offset", "avg_rate", "change")
 
 
-def survival_curve(activity: DataFrame, settings: Settings) -> DataFrame:
+def survival_curve(mart: DataFrame, settings: Settings) -> DataFrame:
     """Users with any activity at or after each week offset; always all offsets.
 
     A user counts at every offset up to the last one, so users are grouped by last offset and
     only those few groups meet the offsets.
     """
     last = settings.max_week_offset
-    known = activity.filter(F.col("person_id").isNotNull())
-    reach = known.groupBy("person_id").agg(F.max("weeks_since_first").alias("reach"))
-    groups = reach.groupBy(F.least("reach", F.lit(last)).alias("reach")).agg(F.count(F.lit(1)).alias("users"))
+    reach = F.least("weeks_reached", F.lit(last)).alias("reach")
+    groups = mart.groupBy(reach).agg(F.count(F.lit(1)).alias("users"))
     weeks = F.explode(F.sequence(F.lit(0), F.lit(last)))
     per_week = groups.select(weeks.alias("week"), "reach", "users").groupBy("week").agg(
         F.sum(F.when(F.col("reach") >= F.col("week"), F.col("users")).otherwise(0)).alias("active"),

@@ -130,26 +130,31 @@ def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequenc
     return placed.groupBy("person_id").agg(*[F.expr(text).alias(name) for name, text in measures.items()])
 
 
-def active_time(activity: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct active days (lifetime and per window) and weeks: one bit per weekday of a week."""
+def person_weeks(activity: DataFrame, settings: Settings) -> DataFrame:
+    """One row per person and active calendar week, with one bit per active weekday.
+
+    ``fw_days`` and ``d3_days`` keep only the days of the first-week and early windows.
+    """
     monday = F.date_trunc("week", "date").cast("date").alias("monday")
     bit = F.expr("1 << weekday(date)").alias("bit")
-    per_week = (
-        _moved(activity, monday, "week", "days_since_first", bit)
-        .groupBy("person_id", "monday", "week")
-        .agg(
-            F.bit_or("bit").alias("days"),
-            F.expr(f"bit_or(if(days_since_first <= {settings.first_week_days}, bit, 0))").alias("fw"),
-            F.expr(f"bit_or(if(days_since_first <= {settings.early_days}, bit, 0))").alias("d3"),
-        )
+    rows = _moved(activity, monday, "week_key", "week", "weeks_since_first", "days_since_first", bit)
+    return rows.groupBy("person_id", "monday", "week_key", "week", "weeks_since_first").agg(
+        F.bit_or("bit").alias("days"),
+        F.expr(f"bit_or(if(days_since_first <= {settings.first_week_days}, bit, 0))").alias("fw_days"),
+        F.expr(f"bit_or(if(days_since_first <= {settings.early_days}, bit, 0))").alias("d3_days"),
     )
+
+
+def active_time(weeks: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct active days (lifetime and per window) and weeks, and the last week offset."""
     # ISO numbers repeat every year and count once; they fit the bits of a long.
-    weeks = "count(1)" if settings.week_mode == "continuous" else "bigint(bit_count(bit_or(1L << week)))"
-    return per_week.groupBy("person_id").agg(
+    distinct = "count(1)" if settings.week_mode == "continuous" else "bigint(bit_count(bit_or(1L << week)))"
+    return weeks.groupBy("person_id").agg(
         F.expr("sum(bit_count(days))").alias("active_days"),
-        F.expr(weeks).alias("active_weeks"),
-        F.expr("sum(bit_count(fw))").alias("fw_active_days"),
-        F.expr("sum(bit_count(d3))").alias("d3_active_days"),
+        F.expr(distinct).alias("active_weeks"),
+        F.expr("sum(bit_count(fw_days))").alias("fw_active_days"),
+        F.expr("sum(bit_count(d3_days))").alias("d3_active_days"),
+        F.max("weeks_since_first").alias("weeks_reached"),
     )
 
 
@@ -167,20 +172,22 @@ def opening_event(activity: DataFrame) -> DataFrame:
     return rows.agg(earliest.getField("event").alias("first_event"))
 
 
-def person_features(activity: DataFrame, settings: Settings, matrix_events: Sequence[str]) -> DataFrame:
+def person_features(
+    activity: DataFrame, weeks: DataFrame, settings: Settings, matrix_events: Sequence[str]
+) -> DataFrame:
     """Lifetime, first-week and early aggregates plus the event matrix, one row per person.
 
-    The four parts are narrow hash aggregates over the rollup, each shuffled once by person;
-    their joins find both sides in place.
+    Columns that follow from these (``add_derived``) are left to the reader. The parts are narrow hash aggregates, each shuffled once by person; their joins find both
+    sides in place.
     """
     counts = event_counts(activity, settings, matrix_events)
-    for part in (active_time(activity, settings), usual_platform(activity), opening_event(activity)):
+    for part in (active_time(weeks, settings), usual_platform(activity), opening_event(activity)):
         counts = counts.join(part, "person_id")
-    return add_derived(counts, settings)
+    return counts
 
 
 def add_derived(people: DataFrame, settings: Settings) -> DataFrame:
-    """Ratios with smoothed denominators, elapsed times, buckets and milestones."""
+    """Per-row consequences: ratios with smoothed denominators, elapsed times, buckets, milestones."""
     events, days, weeks = F.col("total_events"), F.col("active_days"), F.col("active_weeks")
     first = F.col("first_seen")
     ratios = {f"{kind}_ratio": F.col(f"{kind}_events") / (events + 1) for kind in settings.taxonomy.categories()}

@@ -179,9 +179,11 @@ def fit_and_score(
     return model, tested.select(ID, "label", "probability", "prediction", "split")
 
 
-def comparison_models(seed: int) -> dict[str, Estimator]:
+def comparison_models(seed: int, train_rows: float) -> dict[str, Estimator]:
+    """The three compared classifiers; the logistic penalty is half the squared weights, unit strength."""
+    penalty = 1.0 / max(train_rows, 1.0)
     return {
-        LOGISTIC: LogisticRegression(maxIter=1000),
+        LOGISTIC: LogisticRegression(maxIter=1000, regParam=penalty, standardization=False),
         FOREST: forest(FOREST_TREES, 10, seed),
         BOOSTING: GBTClassifier(maxIter=BOOSTING_ROUNDS, maxDepth=3, seed=seed),
     }

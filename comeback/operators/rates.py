@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comeback.config import Settings
-from comeback.functions.buckets import UNKNOWN
+from comeback.functions.buckets import AGENT_SPEED_LABELS, UNKNOWN
 from comeback.functions.scalars import percent, percent_text, round_half_even
 from comeback.functions.statistics import wilson_interval
 from comeback.operators.features import MILESTONES
@@ -203,9 +203,23 @@ def volume_correlation(mart: DataFrame) -> DataFrame:
     )
 
 
-def scalar_of(report: DataFrame, key: str, value: object, column: str, default: object = None) -> Column:
-    """One cell of a report as a scalar subquery; ``default`` when the row is absent."""
-    cell = report.filter(F.col(key) == F.lit(value)).agg(F.first(column)).scalar()
-    return cell if default is None else F.coalesce(cell, F.lit(default))
+def cell(report: DataFrame, key: str, value: object, column: str) -> Column:
+    """One cell of a report as a scalar subquery; null when the row is absent."""
+    return report.filter(F.col(key) == F.lit(value)).agg(F.first(column)).scalar()
 
 
+def headline_numbers(mart: DataFrame, settings: Settings) -> DataFrame:
+    """The closing summary in one row: publishing, early use, patience and one-time visitors."""
+    speed = success_by_agent_speed(mart)
+    publish = publish_effect(mart)
+    within, _, later, _ = AGENT_SPEED_LABELS
+    return one_time_visitors(mart, settings).select(
+        "users",
+        F.col("pct").alias("one_time_pct"),
+        cell(publish, "ever_published_app", 1, "success_rate").alias("publisher_rate"),
+        cell(publish, "ever_published_app", 0, "success_rate").alias("other_rate"),
+        cell(speed, "agent_speed", within, "success_rate").alias("fast_rate"),
+        cell(speed, "agent_speed", later, "success_rate").alias("patient_rate"),
+        F.coalesce(cell(speed, "agent_speed", later, "ci_lo"), F.lit(0.0)).alias("patient_lo"),
+        F.coalesce(cell(speed, "agent_speed", later, "ci_hi"), F.lit(0.0)).alias("patient_hi"),
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +18,8 @@ from comeback.functions.scalars import percent, round_half_even
 from comeback.operators.learning import ID, Scaler, stable_layout
 from comeback.operators.rates import flagged
 
+PARALLEL_FITS = 4
+
 # Clustered features, persona names from the highest mean score down, radar axes.
 CLUSTER_COLUMNS = (
     "total_events",
@@ -51,19 +56,32 @@ def vectors(scaled: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> Data
     return stable_layout(assembled.select(ID, "features"))
 
 
+def fit_all(points: DataFrame, runs: Sequence[tuple[int, int]], iterations: int) -> list[KMeansModel]:
+    """One model per (clusters, seed); a few fits share the cluster, as their jobs are short."""
+
+    def fit(run: tuple[int, int]) -> KMeansModel:
+        k, seed = run
+        return KMeans(k=k, initMode="random", maxIter=iterations, seed=seed).fit(points)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(inheritable_thread_target(points.sparkSession)(fit), runs))
+
+
 def best_kmeans(points: DataFrame, k: int, seed: int, starts: int = 10, iterations: int = 300) -> KMeansModel:
     """The model with the lowest inertia over several random starts; ``points`` should be persisted."""
-    models = [
-        KMeans(k=k, initMode="random", maxIter=iterations, seed=seed + start).fit(points)
-        for start in range(starts)
-    ]
+    models = fit_all(points, [(k, seed + start) for start in range(starts)], iterations)
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
-def kmeans_elbow(points: DataFrame, seed: int, ks: Sequence[int] = range(2, 9), starts: int = 3) -> DataFrame:
-    """Inertia for each number of clusters."""
-    rows = [(k, float(best_kmeans(points, k, seed, starts).summary.trainingCost)) for k in ks]
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double")
+def kmeans_elbow(
+    points: DataFrame, seed: int, ks: Sequence[int] = range(2, 9), starts: int = 3, iterations: int = 300
+) -> DataFrame:
+    """Lowest inertia over several starts for each number of clusters."""
+    runs = [(k, seed + start) for k in ks for start in range(starts)]
+    costs: dict[int, float] = {}
+    for (k, _), model in zip(runs, fit_all(points, runs, iterations)):
+        costs[k] = min(costs.get(k, math.inf), float(model.summary.trainingCost))
+    return points.sparkSession.createDataFrame(sorted(costs.items()), "k int, inertia double")
 
 
 @dataclass(frozen=True)

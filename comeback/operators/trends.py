@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comeback.config import Taxonomy
+from comeback.config import Settings, Taxonomy
 from comeback.functions.scalars import is_any
 
 # Report labels and their order.
@@ -48,9 +48,10 @@ def weekly_events(activity: DataFrame, names: tuple[str, ...] | None = None, ali
     return chosen.groupBy("week_key", "week").agg(F.sum("n").alias(alias)).orderBy("week_key")
 
 
-def weekly_active_users(activity: DataFrame) -> DataFrame:
-    weeks = activity.groupBy("week_key", "week")
-    return weeks.agg(F.count_distinct("person_id").alias("users")).orderBy("week_key")
+def weekly_active_users(weeks: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct users per week; in continuous mode a person has one row per week."""
+    users = F.count("person_id") if settings.week_mode == "continuous" else F.count_distinct("person_id")
+    return weeks.groupBy("week_key", "week").agg(users.alias("users")).orderBy("week_key")
 
 
 def hourly_events(activity: DataFrame) -> DataFrame:

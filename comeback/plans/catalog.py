@@ -6,6 +6,7 @@ import threading
 from collections.abc import Callable, Iterable
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def _scores(ws: Workspace) -> DataFrame:
 
 
 def _retention(ws: Workspace) -> DataFrame:
-    return cohorts.cohort_retention(ws.activity, ws.people, ws.settings)
+    return cohorts.cohort_retention(ws.weeks, ws.people, ws.settings)
 
 
 def _weekly(kind: str, alias: str) -> Query:
@@ -148,7 +149,7 @@ RELATIONAL: dict[str, Query] = {
     "top_events": on_workspace(lambda ws: features.event_frequency(ws.activity).limit(15)),
     "category_breakdown": on_workspace(lambda ws: trends.category_breakdown(ws.activity, ws.settings.taxonomy)),
     "weekly_events": on_workspace(lambda ws: trends.weekly_events(ws.activity)),
-    "weekly_active_users": on_workspace(lambda ws: trends.weekly_active_users(ws.activity)),
+    "weekly_active_users": on_workspace(lambda ws: trends.weekly_active_users(ws.weeks, ws.settings)),
     "weekly_signups": _weekly("signup", "signups"),
     "weekly_new_accounts": _weekly("created", "signups"),
     "weekly_agent_events": _weekly("agent", "events"),
@@ -206,11 +207,12 @@ RELATIONAL: dict[str, Query] = {
     "retention_cliff": on_workspace(
         lambda ws: cohorts.retention_cliff(cohorts.average_retention_curve(_retention(ws)))
     ),
-    "survival_curve": on_workspace(lambda ws: cohorts.survival_curve(ws.activity, ws.settings)),
+    "survival_curve": on_workspace(lambda ws: cohorts.survival_curve(ws.features, ws.settings)),
     "daily_cumulative_events": on_workspace(
         lambda ws: cohorts.daily_cumulative_events(ws.activity, ws.mart, ws.settings)
     ),
     "user_funnel": on_workspace(lambda ws: funnel.user_funnel(ws.mart, ws.settings)),
+    "headline_numbers": on_workspace(lambda ws: rates.headline_numbers(ws.mart, ws.settings)),
     "funnel_dropoff": on_workspace(lambda ws: funnel.funnel_dropoff(funnel.user_funnel(ws.mart, ws.settings))),
 }
 
@@ -315,6 +317,11 @@ def _elbow(ws: Workspace) -> DataFrame:
         points.unpersist()
 
 
+def _compared(ws: Workspace) -> dict[str, Estimator]:
+    rows = ws.once("rows", ws.features.count)
+    return learning.comparison_models(ws.settings.seed, rows * (1 - ws.settings.test_share))
+
+
 def _fitted(ws: Workspace, name: str) -> tuple[PipelineModel, DataFrame]:
     """A fitted model with its staged scored test split."""
     seed = ws.settings.seed
@@ -325,7 +332,7 @@ def _fitted(ws: Workspace, name: str) -> tuple[PipelineModel, DataFrame]:
         "upgrade": (early, "is_upgrade_candidate", learning.stump_forest(learning.UPGRADE_TREES, seed)),
         **{
             model: (full, "is_successful", estimator)
-            for model, estimator in learning.comparison_models(seed).items()
+            for model, estimator in _compared(ws).items()
         },
     }
 
@@ -351,7 +358,7 @@ def _model_curves(ws: Workspace) -> DataFrame:
 
 
 def _best_report(ws: Workspace) -> DataFrame:
-    names = learning.comparison_models(ws.settings.seed)
+    names = _compared(ws)
     best = evaluation.best_model(_side_by_side(ws, names)).first()["model"]
     return evaluation.classification_report(_fitted(ws, best)[1]).withColumn("model", F.lit(best))
 
@@ -361,7 +368,12 @@ def _cv(ws: Workspace) -> DataFrame:
         columns = learning.full_columns(ws.mart)
         estimator = learning.stump_forest(learning.FOREST_TREES, ws.settings.seed)
         return learning.cross_validated_auc(
-            ws.mart, columns, "is_successful", estimator, ws.settings, ws.staged
+            ws.mart,
+            columns,
+            "is_successful",
+            estimator,
+            ws.settings,
+            lambda name, frame: ws.staged(name, lambda: frame),
         )
 
     return ws.once("cv", build)
@@ -409,9 +421,7 @@ MODELS: dict[str, Query] = {
     "risk_scores": on_workspace(_risks),
     "risk_distribution": on_workspace(lambda ws: learning.risk_distribution(_risks(ws))),
     "business_case": on_workspace(_business_case),
-    "model_comparison": on_workspace(
-        lambda ws: _side_by_side(ws, learning.comparison_models(ws.settings.seed))
-    ),
+    "model_comparison": on_workspace(lambda ws: _side_by_side(ws, _compared(ws))),
     "best_model_report": on_workspace(_best_report),
     "feature_importance": on_workspace(_importance),
     "permutation_importance": on_workspace(_permutation),

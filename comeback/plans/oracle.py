@@ -531,6 +531,20 @@ SQL: dict[str, str] = {
            FROM stages""",
         _STAGE_EVENTS,
     ),
+    "headline_numbers": with_parts(
+        "mart",
+        f"""SELECT users, one_time_pct,
+                   (SELECT success_rate FROM publish WHERE ever_published_app = 1) AS publisher_rate,
+                   (SELECT success_rate FROM publish WHERE ever_published_app = 0) AS other_rate,
+                   (SELECT success_rate FROM speed WHERE agent_speed = '1_Within 2 Hours') AS fast_rate,
+                   (SELECT success_rate FROM speed WHERE agent_speed = '3_After 24 Hours') AS patient_rate,
+                   (SELECT ci_lo FROM speed WHERE agent_speed = '3_After 24 Hours') AS patient_lo,
+                   (SELECT ci_hi FROM speed WHERE agent_speed = '3_After 24 Hours') AS patient_hi
+            FROM (SELECT count(*) AS users,
+                         {r1("count(*) FILTER (WHERE total_events <= 5) / count(*) * 100")} AS one_time_pct FROM mart)""",
+        f"speed AS ({rate('agent_speed', extra=', ' + wilson('successful', 'users'))})",
+        f"publish AS ({rate('ever_published_app')})",
+    ),
     "funnel_dropoff": with_parts(
         "mart",
         f"""SELECT position, from_stage, to_stage, lost,

@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from comeback.config import Settings
 from comeback.operators import activity as act
 from comeback.operators import features, scoring
-from comeback.operators.cleaning import clean_events
+from comeback.operators.cleaning import describe_events, keep_events
 from comeback.sources.storage import shared_folder, write_table
 
 T = TypeVar("T")
+TABLES = ("events", "people", "activity", "weeks", "features")
 
 
 class Workspace:
     """Builds each table on first use, writes it to the shared folder and reads it back.
 
-    Order of tables: ``events`` (deduplicated, classified) -> ``people`` (first activity)
-    -> ``activity`` (rollup) -> ``features`` (one row per person). A written table cuts the
-    lineage and survives the loss of executors. ``mart`` adds score and label on top. The raw
-    log is taken as unchanging while the workspace is in use.
+    Order of tables: ``events`` (parsed, deduplicated) -> ``people`` (first activity) ->
+    ``activity`` (rollup) -> ``weeks`` (person and week) -> ``features`` (one row per person).
+    A written table cuts the lineage and survives the loss of executors. ``mart`` adds score
+    and label on top. The raw log is taken as unchanging while the workspace is in use.
     """
 
     def __init__(
@@ -63,13 +64,15 @@ class Workspace:
         """Work on the tables a previous session wrote to ``folder``."""
         events = spark.read.parquet(f"{folder}/events")
         workspace = cls(spark, events, settings, folder)
-        for name in ("events", "people", "activity", "features"):
+        for name in TABLES:
             workspace._tables[name] = spark.read.parquet(f"{folder}/{name}")
         return workspace
 
     @property
     def events(self) -> DataFrame:
-        return self.staged("events", lambda: clean_events(self.raw, self.settings))
+        """Stored as the contract columns only; calendar and flags are computed when read."""
+        kept = self.staged("events", lambda: keep_events(self.raw, self.settings))
+        return self.once("events", lambda: describe_events(kept, self.settings))
 
     @property
     def people(self) -> DataFrame:
@@ -79,20 +82,25 @@ class Workspace:
     def activity(self) -> DataFrame:
         return self.staged("activity", lambda: act.activity_rollup(self.offsets(), self.settings))
 
+    @property
+    def weeks(self) -> DataFrame:
+        return self.staged("weeks", lambda: features.person_weeks(self.activity, self.settings))
+
     @property
     def features(self) -> DataFrame:
         def build() -> DataFrame:
             names = features.most_frequent_events(self.activity, self.settings.top_events)
-            return features.person_features(self.activity, self.settings, names)
+            return features.person_features(self.activity, self.weeks, self.settings, names)
 
         return self.staged("features", build)
 
     @property
     def mart(self) -> DataFrame:
-        """Features with scores and label: a projection with a few fetched constants."""
+        """Features with ratios, buckets, scores and label: a projection with a few fetched constants."""
 
         def build() -> DataFrame:
-            return scoring.add_label(scoring.add_scores(self.features, self.settings), self.settings)
+            people = features.add_derived(self.features, self.settings)
+            return scoring.add_label(scoring.add_scores(people, self.settings), self.settings)
 
         return self.once("mart", build)
 

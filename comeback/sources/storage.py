@@ -32,13 +32,9 @@ def write_table(frame: DataFrame, path: str) -> DataFrame:
 
 
 def write_report(frame: DataFrame, folder: str, name: str) -> str:
-    """Store an aggregated report as a single Parquet file in its sorted order.
-
-    Meant for report tables whose size does not depend on the data; larger results belong
-    in ``write_table``.
-    """
+    """Store a report in its sorted order; returns the path."""
     path = f"{folder.rstrip('/')}/{name}"
-    frame.coalesce(1).write.mode("overwrite").parquet(path)
+    frame.write.mode("overwrite").parquet(path)
     return path
 
 

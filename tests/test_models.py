@@ -1,0 +1,110 @@
+"""Learning operators: reproducible, ordered as they must be, and better than chance."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from comeback.operators import evaluation, learning, segments
+from comeback.plans.catalog import workspace
+from comeback.plans.testlog import TEST_SETTINGS
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def ws(spark):
+    return workspace(spark, FOLDER)
+
+
+@pytest.fixture(scope="module")
+def early(ws):
+    estimator = learning.stump_forest(30, 42)
+    return learning.fit_and_score(ws.mart, learning.EARLY_COLUMNS, "is_successful", estimator, TEST_SETTINGS)
+
+
+def test_early_model_beats_chance_and_repeats(ws, early):
+    _, tested = early
+    assert 0.6 < evaluation.roc_auc(tested).first()["auc"] <= 1
+    again = learning.fit_and_score(
+        ws.mart.repartition(3), learning.EARLY_COLUMNS, "is_successful", learning.stump_forest(30, 42), TEST_SETTINGS
+    )[1]
+    assert tested.exceptAll(again).count() == 0
+
+
+def test_votes_equal_the_trees_own_predictions(ws, early):
+    model, _ = early
+    matrix = learning.feature_matrix(ws.mart, learning.EARLY_COLUMNS, "is_successful").limit(40)
+    ready = learning.PipelineModel(model.stages[:-1]).transform(matrix)
+    trees = model.stages[-1].trees
+    rows = ready.withColumn("share", learning.vote_share(model.stages[-1])).select("features", "share").collect()
+    for row in rows:
+        votes = [tree.predict(row["features"]) for tree in trees]
+        assert row["share"] == pytest.approx(sum(votes) / len(votes))
+
+
+def test_confusion_adds_up(early):
+    _, tested = early
+    row = evaluation.confusion(tested).first()
+    assert row["tp"] + row["fp"] + row["fn"] + row["tn"] == tested.count()
+
+
+def test_risks_cover_everybody(ws, early):
+    risks = learning.risk_scores(early[0], ws.mart, TEST_SETTINGS)
+    total = learning.risk_distribution(risks).agg(F.sum("users")).first()[0]
+    assert total == ws.mart.count()
+
+
+def test_standardised_features(ws):
+    scaled = segments.standardised(ws.mart)
+    for name in ("total_events", "depth_score"):
+        mean, deviation = scaled.agg(F.avg(name), F.stddev_pop(name)).first()
+        assert mean == pytest.approx(0, abs=1e-9) and deviation == pytest.approx(1)
+
+
+def test_lloyd_steps_lower_inertia(ws):
+    scaled = segments.standardised(ws.mart)
+    centres = segments.seed_centres(scaled, 3)
+    inertias = []
+    for _ in range(4):
+        rows = segments.lloyd_step(scaled, centres).orderBy("cluster").collect()
+        inertias.append(sum(row["inertia"] for row in rows))
+        centres = [[row[c] for c in segments.CLUSTER_COLUMNS] for row in rows]
+    assert inertias == sorted(inertias, reverse=True)
+
+
+def test_empty_cluster_keeps_its_centre(spark):
+    points = spark.createDataFrame([(1, 0.0), (2, 2.0)], "person_id int, x double")
+    rows = segments.lloyd_step(points, [[0.0], [0.0], [50.0]], ["x"]).orderBy("cluster").collect()
+    assert [(r["users"], r["x"]) for r in rows] == [(2, 1.0), (0, 0.0), (0, 50.0)]
+
+
+def test_personas_are_named_by_score(ws):
+    personas = segments.fit_personas(ws.mart, seed=42, starts=2)
+    placed = personas.assign(segments.vectors(segments.standardised(ws.mart)))
+    means = placed.join(ws.mart.select("person_id", "success_score"), "person_id")
+    order = means.groupBy("segment").agg(F.avg("success_score").alias("m")).orderBy(F.desc("m")).collect()
+    assert [row["segment"] for row in order] == list(segments.PERSONAS)
+    spread = placed.agg(F.var_pop("pca_x"), F.var_pop("pca_y")).first()
+    assert spread[0] >= spread[1]
+
+
+def test_permutation_importance_covers_all_features(ws, early):
+    matrix = learning.feature_matrix(ws.mart, learning.EARLY_COLUMNS, "is_successful")
+    rows = learning.permutation_importance(early[0], matrix, learning.EARLY_COLUMNS, TEST_SETTINGS).collect()
+    assert {row["feature"] for row in rows} == set(learning.EARLY_COLUMNS)
+    assert max(row["auc_loss"] for row in rows) > 0
+
+
+def test_cross_validation(ws):
+    stored = {}
+
+    def stage(name, frame):
+        return ws.staged(f"test_{name}", lambda: stored.setdefault(name, frame))
+
+    folds = learning.cross_validated_auc(
+        ws.mart, learning.EARLY_COLUMNS, "is_successful", learning.stump_forest(10, 1), TEST_SETTINGS, stage
+    )
+    assert [row["fold"] for row in folds.collect()] == [0, 1, 2, 3, 4]
+    row = learning.auc_interval(folds).first()
+    assert row["ci_lo"] <= row["mean_auc"] <= row["ci_hi"]
