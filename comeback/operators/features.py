@@ -55,20 +55,17 @@ def event_dimension(
     return spark.createDataFrame(rows, "event string, mask int, slot int")
 
 
-def _moved(activity: DataFrame, *columns: str | Column) -> DataFrame:
-    """The named columns of the rollup, brought to their person.
-
-    Every part of the mart starts like this, so they are joined where they are.
-    """
-    known = activity.filter(F.col("person_id").isNotNull())
-    return known.select("person_id", *columns).repartition("person_id")
+def _known(activity: DataFrame, *columns: str | Column) -> DataFrame:
+    return activity.filter(F.col("person_id").isNotNull()).select("person_id", *columns)
 
 
 def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequence[str]) -> DataFrame:
     """Everything counted from event names: totals, categories, windows, flags, matrix.
 
-    Events are first summed per (person, name). A distinct count inside a window is then the
-    number of names whose first offset lies in the window, so no distinct aggregate is needed.
+    Events are first summed per (person, name), combined before they are shuffled. A distinct
+    count inside a window is then the number of names whose first offset lies in the window, so
+    no distinct aggregate is needed. Only these sums, one row per name a person ever used, are
+    brought to the person; the wide row of measures is made there and not shuffled again.
     """
     taxonomy = settings.taxonomy
     categories = taxonomy.categories()
@@ -83,7 +80,7 @@ def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequenc
     bits = {kind: 1 << i for i, kind in enumerate(named)}
     windows = {"week": settings.first_week_days, "early": settings.early_days}
 
-    rows = _moved(activity, "event", "n", "n_ids", "days_since_first", "first_at", "last_at")
+    rows = _known(activity, "event", "n", "n_ids", "days_since_first", "first_at", "last_at")
     sums = {
         f"{amount}_{window}": f"sum(if(days_since_first <= {days}, {amount}, 0))"
         for window, days in windows.items()
@@ -98,7 +95,8 @@ def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequenc
         F.max("last_at").alias("last_at"),
     )
     dimension = event_dimension(activity.sparkSession, named, matrix_events)
-    placed = per_name.join(F.broadcast(dimension), "event", "left").fillna({"mask": 0, "slot": -1})
+    placed = per_name.repartition("person_id").join(F.broadcast(dimension), "event", "left")
+    placed = placed.fillna({"mask": 0, "slot": -1})
 
     def of(kind: str) -> str:
         return f"(mask & {bits[kind]}) <> 0"
@@ -137,7 +135,7 @@ def person_weeks(activity: DataFrame, settings: Settings) -> DataFrame:
     """
     monday = F.date_trunc("week", "date").cast("date").alias("monday")
     bit = F.expr("1 << weekday(date)").alias("bit")
-    rows = _moved(activity, monday, "week_key", "week", "weeks_since_first", "days_since_first", bit)
+    rows = _known(activity, monday, "week_key", "week", "weeks_since_first", "days_since_first", bit)
     return rows.groupBy("person_id", "monday", "week_key", "week", "weeks_since_first").agg(
         F.bit_or("bit").alias("days"),
         F.expr(f"bit_or(if(days_since_first <= {settings.first_week_days}, bit, 0))").alias("fw_days"),
@@ -160,7 +158,7 @@ def active_time(weeks: DataFrame, settings: Settings) -> DataFrame:
 
 def usual_platform(activity: DataFrame) -> DataFrame:
     """Most frequent operating system per person, the smallest name on ties."""
-    per_os = _moved(activity, "os", "n").groupBy("person_id", "os").agg(F.sum("n").alias("n"))
+    per_os = _known(activity, "os", "n").groupBy("person_id", "os").agg(F.sum("n").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("rank"), "os"))
     return per_os.groupBy("person_id").agg(best.getField("os").alias("os_platform"))
 
@@ -168,7 +166,7 @@ def usual_platform(activity: DataFrame) -> DataFrame:
 def opening_event(activity: DataFrame) -> DataFrame:
     """Earliest named event per person, the smallest name among simultaneous ones."""
     earliest = F.min(F.when(F.col("event").isNotNull(), F.struct("first_at", "event")))
-    rows = _moved(activity, "event", "first_at").groupBy("person_id")
+    rows = _known(activity, "event", "first_at").groupBy("person_id")
     return rows.agg(earliest.getField("event").alias("first_event"))
 
 
@@ -177,8 +175,8 @@ def person_features(
 ) -> DataFrame:
     """Lifetime, first-week and early aggregates plus the event matrix, one row per person.
 
-    Columns that follow from these (``add_derived``) are left to the reader. The parts are narrow hash aggregates, each shuffled once by person; their joins find both
-    sides in place.
+    Columns that follow from these (``add_derived``) are left to the reader. Every part ends
+    partitioned by person, so their joins find both sides in place.
     """
     counts = event_counts(activity, settings, matrix_events)
     for part in (active_time(weeks, settings), usual_platform(activity), opening_event(activity)):

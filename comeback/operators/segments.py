@@ -18,7 +18,7 @@ from comeback.functions.scalars import percent, round_half_even
 from comeback.operators.learning import ID, Scaler, stable_layout
 from comeback.operators.rates import flagged
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 # Clustered features, persona names from the highest mean score down, radar axes.
 CLUSTER_COLUMNS = (

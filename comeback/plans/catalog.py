@@ -207,7 +207,7 @@ RELATIONAL: dict[str, Query] = {
     "retention_cliff": on_workspace(
         lambda ws: cohorts.retention_cliff(cohorts.average_retention_curve(_retention(ws)))
     ),
-    "survival_curve": on_workspace(lambda ws: cohorts.survival_curve(ws.features, ws.settings)),
+    "survival_curve": on_workspace(lambda ws: cohorts.survival_curve(ws.mart, ws.settings)),
     "daily_cumulative_events": on_workspace(
         lambda ws: cohorts.daily_cumulative_events(ws.activity, ws.mart, ws.settings)
     ),

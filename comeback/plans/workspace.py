@@ -16,16 +16,16 @@ from comeback.operators.cleaning import describe_events, keep_events
 from comeback.sources.storage import shared_folder, write_table
 
 T = TypeVar("T")
-TABLES = ("events", "people", "activity", "weeks", "features")
+TABLES = ("events", "people", "activity", "weeks", "features", "mart")
 
 
 class Workspace:
     """Builds each table on first use, writes it to the shared folder and reads it back.
 
     Order of tables: ``events`` (parsed, deduplicated) -> ``people`` (first activity) ->
-    ``activity`` (rollup) -> ``weeks`` (person and week) -> ``features`` (one row per person).
-    A written table cuts the lineage and survives the loss of executors. ``mart`` adds score
-    and label on top. The raw log is taken as unchanging while the workspace is in use.
+    ``activity`` (rollup) -> ``weeks`` (person and week) -> ``features`` (one row per person)
+    -> ``mart`` (with score and label). A written table cuts the lineage and survives the loss
+    of executors. The raw log is taken as unchanging while the workspace is in use.
     """
 
     def __init__(
@@ -96,13 +96,13 @@ class Workspace:
 
     @property
     def mart(self) -> DataFrame:
-        """Features with ratios, buckets, scores and label: a projection with a few fetched constants."""
+        """Features with ratios, buckets, scores and label, the table most reports read."""
 
         def build() -> DataFrame:
             people = features.add_derived(self.features, self.settings)
             return scoring.add_label(scoring.add_scores(people, self.settings), self.settings)
 
-        return self.once("mart", build)
+        return self.staged("mart", build)
 
     def offsets(self) -> DataFrame:
         """Events with their offsets; the count of the stored people decides how they are joined."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from comeback.operators import activity as act
-from comeback.operators import features, rates, trends
+from comeback.operators import features, rates, scoring, segments, trends
 from comeback.plans.catalog import RELATIONAL, workspace
 from comeback.plans.testlog import TEST_SETTINGS
 
@@ -41,9 +43,10 @@ def test_small_people_do_not_move_events(ws):
 def test_mart_parts_meet_in_place(ws):
     names = features.most_frequent_events(ws.activity, 20)
     plan = plan_of(features.person_features(ws.activity, ws.weeks, TEST_SETTINGS, names))
-    # Three parts of the rollup are moved to their person, plus the week table's own aggregate.
-    assert plan.count("REPARTITION_BY_COL") == 3
-    assert plan.count("Exchange hashpartitioning(person_id") == 4
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    keys = [re.sub(r"#\d+L?", "", keys) for keys in exchanges]
+    # Names and platforms are combined per person first; the four parts then meet without another shuffle.
+    assert sorted(keys) == ["person_id"] * 4 + ["person_id, event", "person_id, os"]
 
 
 def test_mart_report_is_one_pass(ws):
@@ -52,6 +55,14 @@ def test_mart_report_is_one_pass(ws):
     assert "Join" not in plan
 
 
-def test_label_is_a_projection(ws):
-    plan = plan_of(ws.mart.select("person_id", "is_successful"))
-    assert "Exchange" not in plan and "Join" not in plan
+def test_score_and_label_are_projections(ws):
+    people = features.add_derived(ws.features, TEST_SETTINGS)
+    plan = plan_of(scoring.add_label(scoring.add_scores(people, TEST_SETTINGS), TEST_SETTINGS))
+    assert "Exchange" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_lloyd_step_moves_means_only(ws):
+    scaled = segments.standardised(ws.mart)
+    plan = plan_of(segments.lloyd_step(scaled, segments.seed_centres(scaled, 4)))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["cluster"]
+    assert "partial_avg" in plan and "CartesianProduct" not in plan
