@@ -117,7 +117,14 @@ def exact_quantile(
     what lies below and between them; no row is moved. When at most ``small`` rows are left in
     between (or all of them are equal), their distinct values are fetched.
     """
-    present = frame.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    present = frame.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).persist()
+    try:
+        return _quantile_of(present, share, small, accuracy)
+    finally:
+        present.unpersist()
+
+
+def _quantile_of(present: DataFrame, share: float, small: int, accuracy: int) -> float | None:
     total = present.count()
     if total == 0:
         return None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,22 @@ from comeback.sources.storage import shared_folder, write_table
 
 T = TypeVar("T")
 TABLES = ("events", "people", "activity", "weeks", "features", "mart")
+# HotSpot interprets methods beyond this size; below it, Spark uses its split projections instead.
+JIT_METHOD_BYTES = "8000"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the duration of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 class Workspace:
@@ -102,7 +119,9 @@ class Workspace:
             people = features.add_derived(self.features, self.settings)
             return scoring.add_label(scoring.add_scores(people, self.settings), self.settings)
 
-        return self.staged("mart", build)
+        # The projection has more columns than the JIT compiler takes as one method.
+        with setting(self.spark, "spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES):
+            return self.staged("mart", build)
 
     def offsets(self) -> DataFrame:
         """Events with their offsets; the count of the stored people decides how they are joined."""
