@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
@@ -30,6 +31,7 @@ from comeback.operators.ordered import running_totals, shuffled_rank
 from comeback.operators.sampling import cross_validation_folds, train_test_split
 
 ID = "person_id"
+ROWS_PER_PARTITION = 100_000
 LIFETIME_COLUMNS = (
     "total_events",
     "unique_event_types",
@@ -77,13 +79,15 @@ class Scaler:
     columns: tuple[str, ...]
     means: tuple[float, ...]
     deviations: tuple[float, ...]
+    rows: int
 
     @classmethod
     def fit(cls, frame: DataFrame, columns: Sequence[str]) -> Scaler:
-        """One pass; the result is two numbers per column."""
-        row = frame.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
-        means, deviations = row[: len(columns)], row[len(columns) :]
-        return cls(tuple(columns), tuple(m or 0.0 for m in means), tuple(d or 1.0 for d in deviations))
+        """One pass; the result is the row count and two numbers per column."""
+        stats = [f(c) for f in (F.avg, F.stddev_pop) for c in columns]
+        rows, *values = frame.agg(F.count(F.lit(1)), *stats).first()
+        means, deviations = values[: len(columns)], values[len(columns) :]
+        return cls(tuple(columns), tuple(m or 0.0 for m in means), tuple(d or 1.0 for d in deviations), rows)
 
     def scaled(self) -> list[Column]:
         return [
@@ -100,9 +104,13 @@ class Scaler:
         return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
-def stable_layout(frame: DataFrame) -> DataFrame:
-    """Rows placed and ordered by person, so that seeded training repeats under any input layout."""
-    return frame.repartition(ID).sortWithinPartitions(ID)
+def stable_layout(frame: DataFrame, rows: int) -> DataFrame:
+    """Rows placed and ordered by person, so that seeded training repeats under any input layout.
+
+    The number of partitions follows the data, as every iteration runs one task for each.
+    """
+    parts = max(1, math.ceil(rows / ROWS_PER_PARTITION))
+    return frame.repartition(parts, ID).sortWithinPartitions(ID)
 
 
 def forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
@@ -124,7 +132,7 @@ def fit_classifier(train: DataFrame, columns: Sequence[str], estimator: Estimato
         VectorAssembler(inputCols=[f"z{i}" for i in range(len(columns))], outputCol="features"),
     ]
     ready = PipelineModel(prepare).transform(train).select(ID, F.col("label").cast("double"), "features")
-    ready = stable_layout(ready).persist()
+    ready = stable_layout(ready, scaler.rows).persist()
     try:
         return PipelineModel([*prepare, estimator.fit(ready)])
     finally:

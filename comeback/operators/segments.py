@@ -53,7 +53,7 @@ def standardised(mart: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> D
 
 def vectors(scaled: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> DataFrame:
     assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
-    return stable_layout(assembled.select(ID, "features"))
+    return stable_layout(assembled.select(ID, "features"), scaled.count())
 
 
 def fit_all(points: DataFrame, runs: Sequence[tuple[int, int]], iterations: int) -> list[KMeansModel]:
