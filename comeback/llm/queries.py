@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comeback.llm import personal, piece_table, quality
+from comeback.llm import licenses, personal, piece_table, quality, warc
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def model_file() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge_documents(table(spark, folder, "documents"))
 
@@ -34,9 +38,28 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.token_digests(table(spark, folder, "documents"), model_file())
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_warc": op5_warc,
+}
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+SQL: dict[str, str] = {
+    "op1_license_scans": licenses.scan_sql(),
+    "op5_warc": WARC_SQL,
 }
-SQL: dict[str, str] = {}
