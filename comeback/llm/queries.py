@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comeback.llm import licenses, personal, piece_table, quality, warc
+from comeback.llm import decontaminate, licenses, personal, piece_table, quality, warc
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -42,12 +42,17 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
     "op3_personal_data": op3_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_warc": op5_warc,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
