@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comeback.llm import decontaminate, licenses, personal, piece_table, quality, warc
+from comeback.llm import decontaminate, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -42,6 +42,14 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeated_words(table(spark, folder, "documents"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_arrays.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 WARC_SQL = """
