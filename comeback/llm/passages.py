@@ -176,8 +176,8 @@ def send(table: pa.Table, rule: Windows, shards: int) -> pa.Table:
     found = strips(chunk, rule, shards)
     out: dict[str, list] = {k: [] for k in ("shard", "chunk", "n", "raw", "packed")}
     firsts = found.order[found.edges] if len(found.edges) else found.order
-    cuts = np.flatnonzero(np.diff(found.shard, prepend=-1)) if len(firsts) else []
-    for low, high in zip(cuts, [*cuts[1:], len(firsts)], strict=True):
+    cuts = [*np.flatnonzero(np.diff(found.shard, prepend=-1)), len(firsts)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         pick = firsts[low:high]
         a, b = chunk.span(found.begin[pick], found.begin[pick] + found.count[pick] + rule.size - 1)
         data, offsets = gathered(chunk.data, a, b)
