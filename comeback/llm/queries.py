@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comeback.llm import decontaminate, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
+from comeback.llm import decontaminate, jaccard, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -54,6 +54,10 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
