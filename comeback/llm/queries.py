@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from comeback.llm import decontaminate, jaccard, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
+from comeback.llm import decontaminate, fuzzy_lines, jaccard, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -50,6 +51,11 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_arrays.remove_repeated_bytes(table(spark, folder, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = fuzzy_lines.without_repeated_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", "lines_in", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
