@@ -278,6 +278,11 @@ def _links(members: DataFrame, rule: SetJoin, bins: int) -> DataFrame:
     return binned.groupBy("bin").applyInArrow(join, "a bigint, b bigint")
 
 
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = docs[text_column].cast("string")
+    return docs.select(docs[id_column].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def similar_documents(
     docs: DataFrame, rule: SetJoin | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -288,9 +293,34 @@ def similar_documents(
     component; rows that share an id are linked each by its own text. Other columns are not looked
     at. Hashes of 3-grams have 64 bits, classes of equal sets 128.
     """
-    rule = rule or SetJoin()
-    source = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    source = source.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = _components(_keyed(docs, id_column, text_column), rule or SetJoin())
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each_group(
+    docs: DataFrame, rule: SetJoin | None = None, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, all columns unchanged.
+
+    Of each component the row with the smallest id stays (of rows that repeat it, the one with the
+    smallest text hash, once). Rows without an id, without a text or without words all stay.
+    """
+    keyed = _keyed(docs, id_column, text_column)
+    found = _components(keyed, rule or SetJoin()).where("doc_id is not null and n > 0")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("one")).select("one.*")
+    packed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs[id_column].cast("bigint").alias("doc_id"),
+        F.xxhash64(docs[text_column].cast("string")).alias("h"),
+        docs[text_column].cast("string").rlike(r"[^\x20\x09-\x0D]").alias("worded"),
+    )
+    joins = F.coalesce("worded", F.lit(False)) & F.col("doc_id").isNotNull()
+    stays = packed.where(joins).join(staged(first, "keepers"), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+    return stays.select("row.*").unionByName(packed.where(~joins).select("row.*"))
+
+
+def _components(source: DataFrame, rule: SetJoin) -> DataFrame:
+    """(doc_id, h, n, component) of every row of (doc_id, h, text)."""
     profiles = staged(_profiles(source, rule), "profiles")
     usable = profiles.where("doc_id is not null and n > 0")
     # Equal sets: a map-side combined minimum, however many copies there are.
@@ -318,7 +348,7 @@ def similar_documents(
     multiple = named.join(classes.select("f", "g", "n", "copies", "doc_id"), ["f", "g", "n"]).where("copies > 1 or component <> doc_id")
     joined = profiles.join(multiple.select("f", "g", "n", "component"), ["f", "g", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return joined.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
 
 
 def _across_blocks(texts: DataFrame, links: DataFrame, rule: SetJoin) -> DataFrame:
