@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comeback.llm.common import staged
-from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_hashes, words
+from comeback.llm.textarrays import U64, buffers, mix, run_hashes, small_batches, span_hashes, words
 
 #: A-Z in lower case, ASCII that is no letter or digit as space.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -227,7 +227,7 @@ def contaminated(
 
     def finder(items: Items, everything: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in small_batches([whole], whole.num_columns - 1)):
                 hashes, first = folded(batch.column(batch.num_columns - 1))
                 found = matches(hashes, first, items)
                 rows = [found.get(i, {}) for i in range(batch.num_rows)]
@@ -245,7 +245,7 @@ def contaminated(
 
     def dropper(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches, text_place):
                 hashes, first = folded(batch.column(text_place).cast(pa.string()))
                 found = matches(hashes, first, items)
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))

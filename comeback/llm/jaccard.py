@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from comeback.llm.common import staged
 from comeback.llm.components import connected
-from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_hashes, words
+from comeback.llm.textarrays import U64, buffers, mix, run_hashes, small_batches, span_hashes, words
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -208,7 +208,7 @@ def _profiles(docs: DataFrame, rule: SetJoin) -> DataFrame:
     """(doc_id, h, n, f, g): id, hash of the text, size and fingerprint of the set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             sets = shingles(batch.column(2), rule.gram)
             marks = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +224,7 @@ def _candidates(docs: DataFrame, rule: SetJoin) -> DataFrame:
     """(node, least): each class that shares a bucket with others, and the least of them."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             sets = [s for s in shingles(batch.column(2), rule.gram) if len(s)]
             if not sets:
                 continue

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 PIECE = 1 << 22
@@ -23,6 +26,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], place: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of the text column at ``place``; a longer text
+    has a batch of its own. Arrays over a batch's bytes then stay small whatever Spark's batch size."""
+    for batch in batches:
+        if batch.num_rows < 2:
+            yield batch
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0)).astype(np.int64)
+        group = np.cumsum(sizes) // limit
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and where each begins (one more offset than texts); null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
