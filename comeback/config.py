@@ -126,11 +126,15 @@ class Settings:
     test_share: float = 0.2
     folds: int = 5
     seed: int = 42
+    # Candidate limits per feature, and depths of the compared models. More bins come nearer to
+    # trying every distinct value and cost memory and time in proportion.
+    tree_bins: int = 256
+    forest_depth: int = 10
+    boosting_depth: int = 3
 
     # Physical limits, see README "Scale".
     broadcast_people_rows: int = 1_000_000
     rows_per_slice: int = 5_000_000
-    running_total_buckets: int = 256
 
     def __post_init__(self) -> None:
         if self.week_mode not in ("continuous", "iso"):

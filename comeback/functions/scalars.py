@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MICROS_PER_DAY = 86_400_000_000
 KEY_MODULUS = 1 << 32
@@ -57,14 +56,11 @@ def column_slug(prefix: str, name: str) -> str:
     return prefix + name.lower().replace(" ", "_")
 
 
-def order_key(identifier: Column, data_type: T.DataType) -> Column:
-    """Reproducible shuffle key in [0, 2^32): arithmetic for integers, xxhash64 for the rest."""
-    if isinstance(data_type, T.IntegralType):
-        reduced = F.pmod(identifier.cast("bigint"), F.lit(1_000_003).cast("bigint"))
-        return F.pmod(reduced * F.lit(2_654_435_761), F.lit(KEY_MODULUS))
-    return F.pmod(F.xxhash64(identifier), F.lit(KEY_MODULUS))
+def order_key(identifier: Column, seed: int = 0) -> Column:
+    """Reproducible shuffle key in [0, 2^32) for ids of any type and number.
 
-
-def seeded_key(identifier: Column, seed: int) -> Column:
-    """A second, independent shuffle key."""
-    return F.pmod(F.xxhash64(identifier, F.lit(seed)), F.lit(KEY_MODULUS))
+    The first eight hexadecimal digits of the MD5 of the id's text and the seed, which other
+    engines can compute too.
+    """
+    digest = F.md5(F.concat_ws(":", identifier.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")

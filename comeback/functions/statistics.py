@@ -19,11 +19,6 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return (value - low) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
 
 
-def standard_score(value: Column, mean: Column, deviation: Column) -> Column:
-    """Population z-score; a constant column becomes 0."""
-    return (value - mean) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
-
-
 def row_mean(values: list[Column]) -> Column:
     return reduce(add, values) / len(values)
 

@@ -11,6 +11,7 @@ from comeback.config import Settings
 from comeback.functions import buckets
 from comeback.functions.scalars import column_slug, elapsed_hours, whole_days
 
+# Feature and milestone names.
 EARLY_COLUMNS = (
     "d3_total_events",
     "d3_agent_events",
@@ -76,7 +77,11 @@ def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequenc
         "used_addon_credits": (taxonomy.addon,),
         "is_upgrade_candidate": taxonomy.upgrade,
     }
-    named = {**categories, **flags, "signup": taxonomy.signup}
+    stages = {
+        "opened_canvas": (taxonomy.opened_canvas,),
+        "created_block": (taxonomy.created_block,),
+    }
+    named = {**categories, **flags, **stages, "signup": taxonomy.signup}
     bits = {kind: 1 << i for i, kind in enumerate(named)}
     windows = {"week": settings.first_week_days, "early": settings.early_days}
 
@@ -117,6 +122,9 @@ def event_counts(activity: DataFrame, settings: Settings, matrix_events: Sequenc
         **window("fw", "week", list(categories)),
         **window("d3", "early", ("agent", "production", "canvas")),
         **{name: f"if((bit_or(mask) & {bits[name]}) <> 0, 1, 0)" for name in flags},
+        **{f"{name}_events": f"sum(if({of(name)}, n, 0))" for name in stages},
+        # Earliest named event, the smallest name among simultaneous ones.
+        "first_event": "min(if(event IS NOT NULL, struct(first_at, event), NULL)).event",
         "first_agent_ts": f"min(if({of('agent')}, first_at, NULL))",
         "first_value_ts": f"min(if({of('production')}, first_at, NULL))",
         "first_signup_ts": f"min(if({of('signup')}, first_at, NULL))",
@@ -163,13 +171,6 @@ def usual_platform(activity: DataFrame) -> DataFrame:
     return per_os.groupBy("person_id").agg(best.getField("os").alias("os_platform"))
 
 
-def opening_event(activity: DataFrame) -> DataFrame:
-    """Earliest named event per person, the smallest name among simultaneous ones."""
-    earliest = F.min(F.when(F.col("event").isNotNull(), F.struct("first_at", "event")))
-    rows = _known(activity, "event", "first_at").groupBy("person_id")
-    return rows.agg(earliest.getField("event").alias("first_event"))
-
-
 def person_features(
     activity: DataFrame, weeks: DataFrame, settings: Settings, matrix_events: Sequence[str]
 ) -> DataFrame:
@@ -179,7 +180,7 @@ def person_features(
     partitioned by person, so their joins find both sides in place.
     """
     counts = event_counts(activity, settings, matrix_events)
-    for part in (active_time(weeks, settings), usual_platform(activity), opening_event(activity)):
+    for part in (active_time(weeks, settings), usual_platform(activity)):
         counts = counts.join(part, "person_id")
     return counts
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from comeback.config import Settings
-from comeback.functions.scalars import column_slug, percent, percent_text, round_half_even
+from comeback.functions.scalars import percent, percent_text, round_half_even
 from comeback.operators.trends import rows_from
 
 # Stage names in order.
@@ -23,19 +23,11 @@ STAGES = (
 
 
 def user_funnel(mart: DataFrame, settings: Settings) -> DataFrame:
-    """Users passing each stage, counted independently in one pass.
-
-    A stage event outside the event matrix counts nobody.
-    """
-
-    def did(event: str) -> Column:
-        name = column_slug("evt_", event)
-        return F.col(name) > 0 if name in mart.columns else F.lit(False)
-
+    """Users passing each stage, counted independently in one pass."""
     tests = [
         F.lit(True),
-        did(settings.taxonomy.opened_canvas),
-        did(settings.taxonomy.created_block),
+        F.col("opened_canvas_events") > 0,
+        F.col("created_block_events") > 0,
         F.col("agent_events") > 0,
         F.col("production_events") > 0,
         F.col("tenure_days") >= settings.retained_days,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from comeback.config import Settings
 from comeback.functions.buckets import RISK_LABELS, risk_level
-from comeback.functions.scalars import order_key, round_half_even, seeded_key
+from comeback.functions.scalars import order_key, round_half_even
 from comeback.operators.evaluation import precision_recall_f1, roc_auc
 from comeback.operators.features import EARLY_COLUMNS, FIRST_WEEK_COLUMNS, matrix_columns
 from comeback.operators.ordered import running_totals, shuffled_rank
@@ -113,15 +112,15 @@ def stable_layout(frame: DataFrame, rows: int) -> DataFrame:
     return frame.repartition(parts, ID).sortWithinPartitions(ID)
 
 
-def forest(trees: int, depth: int, seed: int) -> RandomForestClassifier:
-    """Bootstrapped trees over sqrt(p) features per node."""
+def forest(trees: int, depth: int, seed: int, bins: int = Settings.tree_bins) -> RandomForestClassifier:
+    """Bootstrapped trees over sqrt(p) features per node; ``bins`` candidate limits per feature."""
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed
+        numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed
     )
 
 
-def stump_forest(trees: int, seed: int) -> RandomForestClassifier:
-    return forest(trees, 1, seed)
+def stump_forest(trees: int, seed: int, bins: int = Settings.tree_bins) -> RandomForestClassifier:
+    return forest(trees, 1, seed, bins)
 
 
 def fit_classifier(train: DataFrame, columns: Sequence[str], estimator: Estimator) -> PipelineModel:
@@ -139,22 +138,20 @@ def fit_classifier(train: DataFrame, columns: Sequence[str], estimator: Estimato
         ready.unpersist()
 
 
-_STUMP = re.compile(
-    r"If \(feature (\d+) <= (\S+)\)\s+Predict: (\S+)\s+Else \(feature \d+ > \S+\)\s+Predict: (\S+)"
-)
-
-
 def vote_share(model: RandomForestClassificationModel) -> Column:
     """Share of one-level trees voting for class 1, as a projection over ``features``."""
     votes: Counter[tuple[int, float, float, float]] = Counter()
     always = 0
     for tree in model.trees:
-        found = _STUMP.search(tree.toDebugString)
-        if found:
-            feature, limit, low, high = found.groups()
-            votes[int(feature), float(limit), float(low), float(high)] += 1
+        root = tree._call_java("rootNode")
+        if tree.depth == 0:
+            always += int(root.prediction() == 1.0)
+        elif tree.depth == 1:
+            split = root.split()
+            sides = root.leftChild().prediction(), root.rightChild().prediction()
+            votes[(split.featureIndex(), split.threshold(), *sides)] += 1
         else:
-            always += int("Predict: 1.0" in tree.toDebugString)
+            raise ValueError("only one-level trees can vote in a projection")
     values = vector_to_array("features")
     terms = [
         F.when(values[feature] <= limit, low * count).otherwise(high * count)
@@ -187,13 +184,15 @@ def fit_and_score(
     return model, tested.select(ID, "label", "probability", "prediction", "split")
 
 
-def comparison_models(seed: int, train_rows: float) -> dict[str, Estimator]:
+def comparison_models(settings: Settings, train_rows: float) -> dict[str, Estimator]:
     """The three compared classifiers; the logistic penalty is half the squared weights, unit strength."""
     penalty = 1.0 / max(train_rows, 1.0)
     return {
         LOGISTIC: LogisticRegression(maxIter=1000, regParam=penalty, standardization=False),
-        FOREST: forest(FOREST_TREES, 10, seed),
-        BOOSTING: GBTClassifier(maxIter=BOOSTING_ROUNDS, maxDepth=3, seed=seed),
+        FOREST: forest(FOREST_TREES, settings.forest_depth, settings.seed, settings.tree_bins),
+        BOOSTING: GBTClassifier(
+            maxIter=BOOSTING_ROUNDS, maxDepth=settings.boosting_depth, maxBins=settings.tree_bins, seed=settings.seed
+        ),
     }
 
 
@@ -247,16 +246,22 @@ def feature_importance(model: PipelineModel, columns: Sequence[str], limit: int
 
 
 def permutation_importance(
-    model: PipelineModel, tested: DataFrame, columns: Sequence[str], settings: Settings
+    model: PipelineModel,
+    tested: DataFrame,
+    columns: Sequence[str],
+    settings: Settings,
+    stage: Callable[[str, DataFrame], DataFrame],
 ) -> DataFrame:
-    """AUC lost when one feature is exchanged between rows, for all features in one job.
+    """AUC lost when one feature is exchanged between rows, for all features in one scoring pass.
+
+    ``stage`` stores the exchanged rows' scores, which the AUC reads several times.
 
     Rows get two independent hash orders; the row at position i of one takes its values from
     the row at position i of the other. Each row then appears once per feature with only that
     feature exchanged.
     """
-    here = order_key(F.col(ID), tested.schema[ID].dataType)
-    there = seeded_key(F.col(ID), settings.seed)
+    here = order_key(F.col(ID))
+    there = order_key(F.col(ID), settings.seed)
     base = shuffled_rank(tested, here, ID)
     donors = shuffled_rank(tested.select(ID, *columns), there, ID)
     donors = donors.select("position", F.struct(*columns).alias("donor"))
@@ -270,7 +275,8 @@ def permutation_importance(
             *[F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(c)).alias(c) for c in columns],
         )
     )
-    areas = roc_auc(score(model, exchanged), ["feature"])
+    scored = stage("permuted", score(model, exchanged).select("feature", "label", "probability"))
+    areas = roc_auc(scored, ["feature"])
     original = areas.filter("feature = ''").select(F.col("auc").alias("base_auc"))
     lost = areas.filter("feature <> ''").crossJoin(F.broadcast(original))
     return lost.select(

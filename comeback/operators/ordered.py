@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +108,58 @@ def shuffled_rank(
     )
 
 
+def cut_points(
+    frame: DataFrame,
+    key: Column,
+    tie_break: str,
+    strata: Sequence[str],
+    positions: Callable[[Column], Sequence[Column]],
+) -> DataFrame:
+    """The rows at certain positions of each stratum's hash order: ``cuts``, an array with one
+    (key, tie-break) per position, null where the position is 0.
+
+    ``positions`` makes them from the stratum's size. Ranges of the key are counted; only the one
+    range that holds a position is ranked, by key and tie-break alone. So rows are compared with a
+    few constants afterwards, and no column of ``frame`` is shuffled.
+    """
+    strata = list(strata)
+    width = KEY_MODULUS // RANK_BUCKETS
+    placed = frame.select(*strata, key.alias("_key"), F.col(tie_break).alias("_tie"))
+    placed = placed.withColumn("_range", F.floor(F.col("_key") / width))
+    per_range = placed.groupBy(*strata, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    ranges = per_range.select(
+        *strata,
+        "_range",
+        F.sum("_rows").over(Window.partitionBy(*strata).orderBy("_range")).alias("_last"),
+        "_rows",
+        F.sum("_rows").over(Window.partitionBy(*strata)).alias("_size"),
+    )
+    wanted = ranges.select("*", F.posexplode(F.array(*[p.cast("bigint") for p in positions(F.col("_size"))])).alias("_n", "_position"))
+    wanted = wanted.withColumn("_position", F.least("_position", "_size"))
+    # A position of 0 is noted at the stratum's first range and matches no row.
+    first = F.col("_last") == F.col("_rows")
+    holds = (F.col("_position") > F.col("_last") - F.col("_rows")) & (F.col("_position") <= F.col("_last"))
+    wanted = wanted.where(holds | (first & (F.col("_position") <= 0)))
+    wanted = wanted.select(*strata, "_range", "_n", (F.col("_position") - F.col("_last") + F.col("_rows")).alias("_at"))
+    targets = wanted.groupBy(*strata, "_range").agg(F.collect_list(F.struct("_n", "_at")).alias("_targets"))
+    near = placed.join(F.broadcast(targets), [*strata, "_range"])
+    inside = Window.partitionBy(*strata, "_range").orderBy("_key", "_tie")
+    ranked = near.withColumn("_at", F.row_number().over(inside)).select(*strata, "_key", "_tie", "_at", F.inline("_targets").alias("_n", "_want"))
+    point = F.when(F.col("_at") == F.col("_want"), F.struct("_key", "_tie"))
+    met = ranked.where("_at = _want or (_want <= 0 and _at = 1)").select(*strata, "_n", point.alias("_cut"))
+    both = F.array_sort(F.collect_list(F.struct("_n", "_cut")))
+    return met.groupBy(*strata).agg(F.transform(both, lambda c: c["_cut"]).alias("cuts"))
+
+
+def passed_cuts(frame: DataFrame, key: Column, tie_break: str, strata: Sequence[str], cuts: DataFrame) -> DataFrame:
+    """Add ``_passed``: how many of its stratum's cut points lie before the row."""
+    strata = list(strata)
+    joined = frame.join(F.broadcast(cuts), strata) if strata else frame.crossJoin(F.broadcast(cuts))
+    here = F.struct(key.alias("_key"), F.col(tie_break).alias("_tie"))
+    before = F.filter("cuts", lambda cut: cut.isNull() | (cut < here))
+    return joined.select(*frame.columns, F.size(before).alias("_passed"))
+
+
 def exact_quantile(
     frame: DataFrame, value: str, share: float, small: int = 100_000, accuracy: int = 10_000
 ) -> float | None:
@@ -148,7 +200,7 @@ def _quantile_of(present: DataFrame, share: float, small: int, accuracy: int) ->
         inside, below, size = inside.filter(F.col("v").between(low, high)), below + passed, enclosed
         if low == high:
             break
-    counts = inside.groupBy("v").count().orderBy("v").limit(small).collect()
+    counts = inside.groupBy("v").count().orderBy("v").collect()
     ends = list(itertools.accumulate((row["count"] for row in counts), initial=below))
 
     def at_rank(rank: int) -> float:

@@ -12,6 +12,7 @@ from comeback.functions.buckets import AGENT_SPEED_LABELS, UNKNOWN
 from comeback.functions.scalars import percent, percent_text, round_half_even
 from comeback.functions.statistics import wilson_interval
 from comeback.operators.features import MILESTONES
+from comeback.operators.sampling import stratified_sample
 from comeback.operators.trends import rows_from
 
 # Report labels and feature lists.
@@ -168,13 +169,35 @@ def feature_means_by_label(mart: DataFrame, columns: Sequence[str]) -> DataFrame
     )
 
 
-def score_histogram(mart: DataFrame, bins: int = 60) -> DataFrame:
-    """Users per equal-width bin of the success score between its extremes; empty bins are absent."""
+def score_histogram(mart: DataFrame, bins: int = 60, dense: bool = False) -> DataFrame:
+    """Users per equal-width bin of the success score between its extremes.
+
+    Empty bins are absent, or have no users if ``dense``.
+    """
     extremes = mart.agg(F.min("success_score").alias("low"), F.max("success_score").alias("high"))
     spread = F.col("high") - F.col("low")
     place = F.floor((F.col("success_score") - F.col("low")) / F.when(spread == 0, 1.0).otherwise(spread) * bins)
     placed = mart.crossJoin(F.broadcast(extremes)).withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
-    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("users")).orderBy("bin")
+    counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("users"))
+    if dense:
+        every = mart.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+        counts = every.join(F.broadcast(counts), "bin", "left").fillna(0, ["users"])
+    return counts.orderBy("bin")
+
+
+def volume_points(mart: DataFrame, limit: int = 800) -> DataFrame:
+    """Logarithm of the number of events of at most ``limit`` persons of each label."""
+    sample = stratified_sample(mart.select("person_id", "is_successful", "total_events"), "is_successful", limit)
+    return sample.select("person_id", "is_successful", round_half_even(F.log1p("total_events"), 6).alias("log_events"))
+
+
+def retention_depth_points(mart: DataFrame, limit: int = 1500) -> DataFrame:
+    """Both scores of at most ``limit`` persons of each label, with their events clipped to [1, 500]."""
+    columns = ("person_id", "is_successful", "retention_score", "depth_score", "total_events")
+    sample = stratified_sample(mart.select(*columns), "is_successful", limit)
+    clipped = F.greatest(F.lit(1), F.least("total_events", F.lit(500))).cast("bigint")
+    scores = [round_half_even(F.col(c), 6).alias(c) for c in ("retention_score", "depth_score")]
+    return sample.select("person_id", "is_successful", *scores, clipped.alias("size"))
 
 
 def agent_histogram(mart: DataFrame, limit: int = 200, bins: int = 50) -> DataFrame:

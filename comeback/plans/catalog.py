@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
@@ -27,7 +28,8 @@ from comeback.operators import (
 from comeback.operators.scoring import success_summary
 from comeback.plans.testlog import TEST_SETTINGS, dirty_event_log, event_log
 from comeback.plans.workspace import Workspace
-from comeback.sources.events import dataset_profile
+from comeback.sources.events import dataset_profile, head_rows, read_events
+from comeback.sources.storage import write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +39,6 @@ _guard = threading.Lock()
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
     """One workspace per application and input folder; its tables are built on first use."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, folder)
     with _guard:
         if key not in _workspaces:
@@ -50,7 +51,6 @@ def on_workspace(report: Callable[[Workspace], DataFrame]) -> Query:
 
 
 def _dirty(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return dirty_event_log(spark, folder)
 
 
@@ -71,7 +71,6 @@ def _clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     taxonomy = TEST_SETTINGS.taxonomy
     flagged = cleaning.add_flags(event_log(spark, folder), taxonomy)
     names = [f"is_{kind}_event" for kind in taxonomy.categories()]
@@ -80,7 +79,6 @@ def _flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _offsets(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = cleaning.clean_events(event_log(spark, folder), TEST_SETTINGS)
     placed = act.event_offsets(events, act.first_activity(events), TEST_SETTINGS)
     return placed.select("uuid", "person_id", "days_since_first", "weeks_since_first")
@@ -139,6 +137,31 @@ def _weekly(kind: str, alias: str) -> Query:
     return on_workspace(lambda ws: trends.weekly_events(ws.activity, names(ws), alias))
 
 
+def _read_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log written as a wide Parquet table and read by the contract."""
+    ws = workspace(spark, folder)
+    path = f"{ws.folder}/log"
+    wide = ws.raw.withColumn("created_at", F.col("timestamp"))
+    ws.once("log", lambda: wide.write.mode("overwrite").parquet(path))
+    log = read_events(spark, path)
+    return log.select("uuid", "person_id", "event", F.col("timestamp").cast("timestamp_ntz").alias("event_time"), F.col("`prop_$os`").alias("os"))
+
+
+def _stored_report(spark: SparkSession, folder: str) -> DataFrame:
+    """A report as it is read back from storage."""
+    ws = workspace(spark, folder)
+    report = rates.success_by_agent_speed(ws.mart)
+    path = ws.once("report", lambda: write_report(report, f"{ws.folder}/reports", "agent_speed"))
+    return spark.read.parquet(path)
+
+
+def _narrow_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    """The funnel of a workspace whose event matrix holds three names only."""
+    wide = workspace(spark, folder)
+    narrow = wide.once("narrow", lambda: Workspace(spark, wide.raw, replace(TEST_SETTINGS, top_events=3)))
+    return funnel.user_funnel(narrow.mart, narrow.settings)
+
+
 RELATIONAL: dict[str, Query] = {
     "dataset_profile": lambda spark, folder: dataset_profile(_dirty(spark, folder)),
     "clean_events": _clean,
@@ -211,6 +234,15 @@ RELATIONAL: dict[str, Query] = {
     "daily_cumulative_events": on_workspace(
         lambda ws: cohorts.daily_cumulative_events(ws.activity, ws.mart, ws.settings)
     ),
+    "top_20_events": on_workspace(lambda ws: features.event_frequency(ws.activity).limit(20)),
+    "top_30_events": on_workspace(lambda ws: features.event_frequency(ws.activity).limit(30)),
+    "score_histogram_dense": on_workspace(lambda ws: rates.score_histogram(ws.mart, dense=True)),
+    "volume_points": on_workspace(lambda ws: rates.volume_points(ws.mart)),
+    "retention_depth_points": on_workspace(lambda ws: rates.retention_depth_points(ws.mart)),
+    "read_log": _read_log,
+    "log_head": lambda spark, folder: head_rows(_read_log(spark, folder)),
+    "stored_report": _stored_report,
+    "user_funnel_of_3_names": _narrow_funnel,
     "user_funnel": on_workspace(lambda ws: funnel.user_funnel(ws.mart, ws.settings)),
     "headline_numbers": on_workspace(lambda ws: rates.headline_numbers(ws.mart, ws.settings)),
     "funnel_dropoff": on_workspace(lambda ws: funnel.funnel_dropoff(funnel.user_funnel(ws.mart, ws.settings))),
@@ -306,30 +338,33 @@ def _segmented(ws: Workspace) -> DataFrame:
     def build() -> DataFrame:
         return _personas(ws).assign(segments.vectors(segments.standardised(ws.mart)))
 
-    return ws.mart.join(ws.staged("segments", build), "person_id")
+    return ws.staged("segmented", lambda: ws.mart.join(ws.staged("segments", build), "person_id"))
 
 
 def _elbow(ws: Workspace) -> DataFrame:
-    points = segments.vectors(segments.standardised(ws.mart)).persist()
-    try:
-        return segments.kmeans_elbow(points, ws.settings.seed)
-    finally:
-        points.unpersist()
+    def build() -> DataFrame:
+        points = segments.vectors(segments.standardised(ws.mart)).persist()
+        try:
+            return segments.kmeans_elbow(points, ws.settings.seed)
+        finally:
+            points.unpersist()
+
+    return ws.once("elbow", build)
 
 
 def _compared(ws: Workspace) -> dict[str, Estimator]:
     rows = ws.once("rows", ws.features.count)
-    return learning.comparison_models(ws.settings.seed, rows * (1 - ws.settings.test_share))
+    return learning.comparison_models(ws.settings, rows * (1 - ws.settings.test_share))
 
 
 def _fitted(ws: Workspace, name: str) -> tuple[PipelineModel, DataFrame]:
     """A fitted model with its staged scored test split."""
-    seed = ws.settings.seed
+    seed, bins = ws.settings.seed, ws.settings.tree_bins
     early, full = features.EARLY_COLUMNS, learning.full_columns(ws.mart)
     plans = {
-        "full": (full, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed)),
-        "early": (early, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed)),
-        "upgrade": (early, "is_upgrade_candidate", learning.stump_forest(learning.UPGRADE_TREES, seed)),
+        "full": (full, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed, bins)),
+        "early": (early, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed, bins)),
+        "upgrade": (early, "is_upgrade_candidate", learning.stump_forest(learning.UPGRADE_TREES, seed, bins)),
         **{
             model: (full, "is_successful", estimator)
             for model, estimator in _compared(ws).items()
@@ -366,7 +401,7 @@ def _best_report(ws: Workspace) -> DataFrame:
 def _cv(ws: Workspace) -> DataFrame:
     def build() -> DataFrame:
         columns = learning.full_columns(ws.mart)
-        estimator = learning.stump_forest(learning.FOREST_TREES, ws.settings.seed)
+        estimator = learning.stump_forest(learning.FOREST_TREES, ws.settings.seed, ws.settings.tree_bins)
         return learning.cross_validated_auc(
             ws.mart,
             columns,
@@ -386,8 +421,16 @@ def _importance(ws: Workspace) -> DataFrame:
 def _permutation(ws: Workspace) -> DataFrame:
     columns = learning.full_columns(ws.mart)
     matrix = learning.feature_matrix(ws.mart, columns, "is_successful")
-    tested = sampling.train_test_split(matrix, ws.settings, "label").filter("split = 'test'")
-    return learning.permutation_importance(_fitted(ws, learning.FOREST)[0], tested, columns, ws.settings)
+    split = sampling.train_test_split(matrix, ws.settings, "label")
+    tested = ws.staged("tested", lambda: split.filter("split = 'test'"))
+
+    def build() -> DataFrame:
+        model = _fitted(ws, learning.FOREST)[0]
+        return learning.permutation_importance(
+            model, tested, columns, ws.settings, lambda name, frame: ws.staged(name, lambda: frame)
+        )
+
+    return ws.once("permutation", build)
 
 
 def _risks(ws: Workspace) -> DataFrame:

@@ -115,6 +115,7 @@ def _score(columns: tuple[str, ...]) -> str:
     return "((" + " + ".join(_scaled(c) for c in columns) + f") / {len(columns)}) * 100"
 
 
+# Fixed values, as in the operators.
 _RETENTION = ("tenure_days", "active_days", "active_weeks", "events_per_day", "weekly_cadence")
 _DEPTH = (
     "agent_ratio",
@@ -556,13 +557,44 @@ SQL: dict[str, str] = {
     ),
 }
 
-_KEY = "((person_id % 1000003) * 2654435761) % 4294967296"
+SQL["user_funnel_of_3_names"] = SQL["user_funnel"]
+SQL["stored_report"] = SQL["success_by_agent_speed"]
+for _count in (20, 30):
+    SQL[f"top_{_count}_events"] = with_parts(
+        "ev", f"SELECT event, count(*) AS count FROM ev GROUP BY event ORDER BY count DESC, event LIMIT {_count}"
+    )
+SQL["read_log"] = with_parts("ev", "SELECT uuid, person_id, event, ts AS event_time, raw_os AS os FROM ev")
+SQL["log_head"] = SQL["read_log"] + " ORDER BY uuid LIMIT 5"
+SQL["score_histogram_dense"] = with_parts(
+    "mart",
+    """SELECT r.bin::INT AS bin, count(m.bin) AS users FROM range(60) AS r(bin) LEFT JOIN (
+         SELECT least(floor((success_score - min(success_score) OVER ())
+                / (max(success_score) OVER () - min(success_score) OVER ()) * 60), 59)::INT AS bin FROM mart) m USING (bin)
+       GROUP BY r.bin""",
+)
+
+_KEY = "CAST('0x' || substr(md5(CAST(person_id AS VARCHAR) || ':0'), 1, 8) AS BIGINT)"
 _RANKED = f"""ranked AS (
   SELECT person_id, is_successful AS label, row_number() OVER (PARTITION BY is_successful ORDER BY {_KEY}, person_id) AS rn,
          count(*) OVER (PARTITION BY is_successful) AS size,
          row_number() OVER (ORDER BY {_KEY}, person_id) AS rn_all, count(*) OVER () AS all_size
   FROM mart)"""
 
+SQL["volume_points"] = with_parts(
+    "mart",
+    f"""SELECT person_id, is_successful, {r6("ln(1 + total_events)")} AS log_events
+        FROM mart JOIN (SELECT person_id, rn FROM ranked) USING (person_id) WHERE rn <= 800""",
+    _RANKED,
+)
+SQL["retention_depth_points"] = with_parts(
+    "mart",
+    f"""SELECT person_id, is_successful, {r6("retention_score")} AS retention_score, {r6("depth_score")} AS depth_score,
+               greatest(1, least(total_events, 500))::BIGINT AS size
+        FROM mart JOIN (SELECT person_id, rn FROM ranked) USING (person_id) WHERE rn <= 1500""",
+    _RANKED,
+)
+
+# Fixed values, as in the operators.
 _CLUSTER = (
     "total_events",
     "active_days",
@@ -581,6 +613,7 @@ _Z = f"""z AS (SELECT person_id, {", ".join(
     for c in _CLUSTER
 )} FROM mart)"""
 
+# Fixed values, as in the operators.
 _EARLY = (
     "d3_total_events",
     "d3_agent_events",
@@ -642,12 +675,35 @@ report AS (
   UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support),
                    sum(f * support) / sum(support), sum(support)::BIGINT FROM per_class)"""
 
+# The full model's features in order.
 _FULL = (
-    "total_events unique_event_types active_days active_weeks tenure_days events_per_day weekly_cadence "
-    "event_diversity agent_events production_events collab_events credit_events agent_ratio production_ratio "
-    "collab_ratio credit_ratio ever_published_app ever_scheduled ever_shared used_addon_credits fw_total_events "
-    "fw_agent_events fw_production_events fw_canvas_events fw_unique_events fw_active_days"
-).split()
+    "total_events",
+    "unique_event_types",
+    "active_days",
+    "active_weeks",
+    "tenure_days",
+    "events_per_day",
+    "weekly_cadence",
+    "event_diversity",
+    "agent_events",
+    "production_events",
+    "collab_events",
+    "credit_events",
+    "agent_ratio",
+    "production_ratio",
+    "collab_ratio",
+    "credit_ratio",
+    "ever_published_app",
+    "ever_scheduled",
+    "ever_shared",
+    "used_addon_credits",
+    "fw_total_events",
+    "fw_agent_events",
+    "fw_production_events",
+    "fw_canvas_events",
+    "fw_unique_events",
+    "fw_active_days",
+)
 
 _DISTANCES = [
     " + ".join(f"(z.{c} - s{i}.{c}) * (z.{c} - s{i}.{c})" for c in _CLUSTER) for i in range(4)
@@ -690,7 +746,7 @@ SQL.update(
         ),
         "simple_sample": with_parts("mart", "SELECT person_id FROM ranked WHERE rn_all <= 300", _RANKED),
         "cv_folds": with_parts(
-            "mart", "SELECT person_id, label, ((rn - 1) % 5)::INT AS fold FROM ranked", _RANKED
+            "mart", "SELECT person_id, label, ((rn - 1) * 5 // size)::INT AS fold FROM ranked", _RANKED
         ),
         "lloyd_step": with_parts(
             "mart",

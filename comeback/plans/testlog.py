@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from comeback.config import Settings, Taxonomy
 from comeback.functions.buckets import ladder
+from comeback.sources.storage import use_utc
 
 # Upper limits of the number in ``props`` for the persons 0 to 7 of a user; person 8 has the rest.
 PERSON_LIMITS = (40, 60, 75, 85, 92, 96, 98, 99)
@@ -46,6 +47,7 @@ def _platform(event_id: Column) -> Column:
 
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
+    use_utc(spark)
     events = spark.read.parquet(f"{folder}/events.parquet")
     number = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     person = ladder([number < limit for limit in PERSON_LIMITS], range(len(PERSON_LIMITS) + 1))

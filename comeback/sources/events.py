@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from comeback.operators.cleaning import parsed_time
+from comeback.sources.storage import use_utc
 
 EVENT_COLUMNS = ("person_id", "uuid", "event", "timestamp", "prop_$os")
 
@@ -26,6 +27,7 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | None = No
 
     ``schema`` skips the footer inspection when the types are known.
     """
+    use_utc(spark)
     reader = spark.read if schema is None else spark.read.schema(schema)
     log = reader.parquet(path)
     missing = [name for name in EVENT_COLUMNS if name not in log.columns]
@@ -52,6 +54,6 @@ def dataset_profile(raw: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def head_rows(frame: DataFrame, rows: int = 5) -> DataFrame:
-    """A few rows for display."""
-    return frame.limit(rows)
+def head_rows(frame: DataFrame, by: str = "uuid", rows: int = 5) -> DataFrame:
+    """The first rows in the order of a column, for display; each task keeps its own first ones."""
+    return frame.orderBy(by).limit(rows)

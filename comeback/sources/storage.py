@@ -7,6 +7,14 @@ import tempfile
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
+
+def use_utc(spark: SparkSession) -> None:
+    """All times of a log are UTC: dates, hours and weeks don't depend on the session's time zone."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -20,9 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    created = tempfile.mkdtemp(prefix="comeback-")
-    context.setCheckpointDir(created)
-    return created
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="comeback-")
+    return _local_folders[context.applicationId]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_table(frame: DataFrame, path: str) -> DataFrame:

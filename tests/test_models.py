@@ -91,7 +91,9 @@ def test_personas_are_named_by_score(ws):
 
 def test_permutation_importance_covers_all_features(ws, early):
     matrix = learning.feature_matrix(ws.mart, learning.EARLY_COLUMNS, "is_successful")
-    rows = learning.permutation_importance(early[0], matrix, learning.EARLY_COLUMNS, TEST_SETTINGS).collect()
+    rows = learning.permutation_importance(
+        early[0], matrix, learning.EARLY_COLUMNS, TEST_SETTINGS, lambda name, frame: frame.cache()
+    ).collect()
     assert {row["feature"] for row in rows} == set(learning.EARLY_COLUMNS)
     assert max(row["auc_loss"] for row in rows) > 0
 

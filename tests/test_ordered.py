@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from comeback.config import Settings
 from comeback.functions.scalars import order_key
 from comeback.functions.statistics import wilson_interval
 from comeback.operators import evaluation, learning
-from comeback.operators.ordered import exact_quantile, running_totals, shuffled_rank
+from comeback.operators.ordered import cut_points, exact_quantile, passed_cuts, running_totals, shuffled_rank
+from comeback.operators.sampling import train_test_split
 
 
 def heavy_tailed(rows: int, seed: int = 3) -> pd.DataFrame:
@@ -37,16 +40,16 @@ def test_running_totals(spark, descending, by):
 
 def test_shuffled_rank_is_the_hash_order(spark):
     people = spark.range(5000).select(F.col("id").alias("person_id"), (F.col("id") % 3).alias("g"))
-    key = order_key(F.col("person_id"), people.schema["person_id"].dataType)
+    key = order_key(F.col("person_id"))
     got = shuffled_rank(people, key, "person_id", ["g"]).toPandas()
-    got["key"] = (got["person_id"] % 1000003) * 2654435761 % 2**32
+    got["key"] = [int(hashlib.md5(f"{i}:0".encode()).hexdigest()[:8], 16) for i in got["person_id"]]
     want = got.sort_values(["key", "person_id"]).groupby("g").cumcount() + 1
     assert (got["position"] == want.reindex(got.index)).all()
 
 
 def test_text_ids_have_an_order(spark):
     people = spark.range(1000).select(F.concat(F.lit("p"), "id").alias("person_id"))
-    key = order_key(F.col("person_id"), people.schema["person_id"].dataType)
+    key = order_key(F.col("person_id"))
     positions = shuffled_rank(people, key, "person_id").toPandas()["position"]
     assert sorted(positions) == list(range(1, 1001))
 
@@ -93,3 +96,32 @@ def test_wilson(spark):
     low, high = wilson_interval(F.col("s"), F.col("n"))
     rows = spark.createDataFrame([(8, 39), (0, 0), (5, 5)], "s int, n int").select(low, high).collect()
     assert [tuple(r) for r in rows] == [(10.8, 35.5), (0.0, 0.0), (56.6, 100.0)]
+
+
+def test_order_key_spreads_congruent_ids(spark):
+    """Ids that are equal modulo a million and three, and ids as text, land on both sides of a cut."""
+    ids = spark.range(3000).selectExpr("id * 1000003 AS person_id")
+    low = (order_key(F.col("person_id")) < (1 << 32) // 5).cast("int")
+    share = ids.select(F.avg(low)).first()[0]
+    assert 0.17 < share < 0.23
+    text = ids.select(order_key(F.col("person_id").cast("string")).alias("k")).collect()
+    assert text == ids.select(order_key(F.col("person_id")).alias("k")).collect()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 5000])
+def test_cut_points_are_those_of_the_full_order(spark, rows):
+    people = spark.range(rows).selectExpr("id AS person_id", "cast(id % 3 as int) AS g")
+    cuts = cut_points(people, order_key(F.col("person_id")), "person_id", ["g"], lambda n: [F.lit(0), F.floor(n * 0.3), n * 2])
+    got = passed_cuts(people, order_key(F.col("person_id")), "person_id", ["g"], cuts)
+    ranked = shuffled_rank(got, order_key(F.col("person_id")), "person_id", ["g"]).toPandas()
+    size = ranked.groupby("g")["person_id"].transform("count")
+    want = 1 + (ranked["position"] > (size * 0.3).astype(int)).astype(int)
+    assert (ranked["_passed"] == want).all()
+
+
+def test_a_split_moves_no_feature(spark):
+    wide = spark.range(1000).selectExpr("id AS person_id", "cast(id % 2 as int) AS label", *[f"rand({i}) AS f{i}" for i in range(5)])
+    split = train_test_split(wide, Settings(), "label")
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    assert moved and not any("f0#" in line for line in moved)

@@ -45,8 +45,8 @@ def test_mart_parts_meet_in_place(ws):
     plan = plan_of(features.person_features(ws.activity, ws.weeks, TEST_SETTINGS, names))
     exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     keys = [re.sub(r"#\d+L?", "", keys) for keys in exchanges]
-    # Names and platforms are combined per person first; the four parts then meet without another shuffle.
-    assert sorted(keys) == ["person_id"] * 4 + ["person_id, event", "person_id, os"]
+    # Names and platforms are combined per person first; the three parts then meet without another shuffle.
+    assert sorted(keys) == ["person_id"] * 3 + ["person_id, event", "person_id, os"]
 
 
 def test_mart_report_is_one_pass(ws):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from comeback import Workspace
+from comeback.config import Taxonomy
 from comeback.operators import learning, rates
 from comeback.plans.testlog import TEST_SETTINGS, event_log
 from comeback.sources.events import EVENT_SCHEMA, read_events
@@ -44,6 +48,37 @@ def test_reopened_workspace_continues(spark, tmp_path):
     assert want.count() == 0
 
 
+def test_reopening_with_other_settings_is_refused(spark, tmp_path):
+    folder = str(tmp_path / "stage")
+    first = Workspace(spark, event_log(spark, FOLDER), TEST_SETTINGS, folder)
+    assert first.mart.count()
+    with pytest.raises(ValueError, match="success_quantile"):
+        Workspace.reopen(spark, folder, replace(TEST_SETTINGS, success_quantile=0.5))
+    with pytest.raises(ValueError, match="taxonomy"):
+        Workspace.reopen(spark, folder, replace(TEST_SETTINGS, taxonomy=Taxonomy()))
+    assert Workspace.reopen(spark, folder).settings == TEST_SETTINGS
+
+
+def test_time_zone_of_the_session_makes_no_difference(spark, tmp_path):
+    log = event_log(spark, FOLDER)
+    stamped = log.withColumn("timestamp", F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+    stamped.write.parquet(str(tmp_path / "log"))
+    want = Workspace(spark, read_events(spark, str(tmp_path / "log")), TEST_SETTINGS).mart.collect()
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    got = Workspace(other, read_events(other, str(tmp_path / "log")), TEST_SETTINGS).mart.collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_closed_workspace_leaves_no_tables(spark):
+    ws = Workspace(spark, sample.log(spark), sample.SETTINGS)
+    assert ws.people.count()
+    path = ws.folder
+    ws.close()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(f"{path}/people")
+
+
 def session_like(master: str, settings: dict[str, str]):
     """As much of a session as ``shared_folder`` looks at."""
     context = SimpleNamespace(master=master, getConf=lambda: settings, getCheckpointDir=lambda: None)
