@@ -32,7 +32,7 @@ from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_hashes,
 #: Stands for a null id: larger than all others, and equal to itself.
 NO_ID = np.iinfo(np.int64).max
 #: Symbols whose windows are looked at together.
-SLICE = 1 << 21
+SLICE = 1 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 #: (bytes of strips, byte offsets, ids) -> for each strip the starts of windows found in a strip with a smaller id

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE = 1 << 22
+#: Bytes hashed together, and bytes of text in a small batch.
+PIECE = 1 << 20
+BATCH = 1 << 22
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TABLES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.int64).astype(U64)
@@ -26,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], place: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], place: int, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of the text column at ``place``; a longer text
     has a batch of its own. Arrays over a batch's bytes then stay small whatever Spark's batch size."""
     for batch in batches:
