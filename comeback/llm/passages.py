@@ -94,14 +94,17 @@ def load(table: pa.Table, by_word: bool) -> Chunk:
 
 @dataclass
 class Strips:
-    """Strips of a chunk: symbol of the first window, number of windows, place of the minimizer in
-    the strip, text, shard; and the distinct ones in the order they are sent."""
+    """Strips of a chunk (symbol of the first window, number of windows, text) and the distinct ones
+    in the order they are sent: strips ``order[low:high]``, their smallest id, shard, and place of the
+    minimizer. ``which`` is the distinct strip of each of ``order``."""
 
     begin: np.ndarray
     count: np.ndarray
     text: np.ndarray
     order: np.ndarray
-    edges: np.ndarray
+    which: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     least: np.ndarray
     shard: np.ndarray
     place: np.ndarray
@@ -149,14 +152,22 @@ def strips(chunk: Chunk, rule: Windows, shards: int) -> Strips:
     text = np.searchsorted(chunk.first, begin, side="right") - 1
     shard = (mix(value) % U64(shards)).astype(np.int64)
     if not len(begin):
-        return Strips(begin, count, text, empty, empty, empty, empty, empty)
+        return Strips(begin, count, text, *[empty] * 7)
     a, b = chunk.span(begin, begin + count + size - 1)
     h, g = span_hashes(chunk.data, a, b, 0), span_hashes(chunk.data, a, b, 1)
-    order = np.lexsort((h, shard))
+    order = np.argsort(h, kind="stable")
     h, g = h[order], g[order]
     edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    ends = np.append(edges[1:], len(order))
     least_id = np.minimum.reduceat(chunk.keys[text[order]], edges)
-    return Strips(begin, count, text, order, edges, least_id, shard[order][edges], place[order][edges])
+    one = order[edges]
+    # Sent in the order of the texts, which compresses best.
+    sent = np.lexsort((one, shard[one]))
+    number = np.empty(len(sent), np.int64)
+    number[sent] = np.arange(len(sent))
+    which = np.repeat(number, ends - edges)
+    one = one[sent]
+    return Strips(begin, count, text, order, which, edges[sent], ends[sent], least_id[sent], shard[one], place[one])
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +178,7 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return data[index], offsets
 
 
+CODEC = pa.Codec("zstd", compression_level=7)
 SENT = "shard int, chunk int, n bigint, raw bigint, packed binary"
 
 
@@ -175,7 +187,7 @@ def send(table: pa.Table, rule: Windows, shards: int) -> pa.Table:
     chunk = load(table, rule.by_word)
     found = strips(chunk, rule, shards)
     out: dict[str, list] = {k: [] for k in ("shard", "chunk", "n", "raw", "packed")}
-    firsts = found.order[found.edges] if len(found.edges) else found.order
+    firsts = found.order[found.low]
     cuts = [*np.flatnonzero(np.diff(found.shard, prepend=-1)), len(firsts)]
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         pick = firsts[low:high]
@@ -193,7 +205,7 @@ def send(table: pa.Table, rule: Windows, shards: int) -> pa.Table:
         out["chunk"].append(number)
         out["n"].append(len(pick))
         out["raw"].append(len(raw))
-        out["packed"].append(pa.compress(raw, "zstd", asbytes=True))
+        out["packed"].append(CODEC.compress(raw, asbytes=True))
     kinds = {"shard": pa.int32(), "chunk": pa.int32(), "n": pa.int64(), "raw": pa.int64(), "packed": pa.binary()}
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
@@ -320,18 +332,16 @@ def removed(table: pa.Table, answers: pa.Table, rule: Windows, shards: int) -> t
         np.add.at(cover, begin + high - 1 + rule.size, -1)
 
     if len(found.order):
-        ends = np.append(found.edges[1:], len(found.order))
-        distinct = np.repeat(np.arange(len(found.edges)), ends - found.edges)
         own = chunk.keys[found.text[found.order]]
-        later = found.order[own > found.least[distinct]]
+        later = found.order[own > found.least[found.which]]
         mark(found.begin[later], np.zeros(len(later), np.int64), found.count[later])
         base = {int(s): int(np.searchsorted(found.shard, s)) for s in np.unique(found.shard)}
         for row in answers.to_pylist():
             entry, low, high = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("entry", "low", "high"))
             strip = base[row["shard"]] + entry
             # the answer holds for every place of the strip in the document with the smallest id
-            times = ends[strip] - found.edges[strip]
-            at = np.repeat(found.edges[strip] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            times = found.high[strip] - found.low[strip]
+            at = np.repeat(found.low[strip] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
             which = found.order[at]
             same = own[at] == np.repeat(found.least[strip], times)
             low, high = np.repeat(low, times)[same], np.repeat(high, times)[same]

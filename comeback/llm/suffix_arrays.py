@@ -131,7 +131,7 @@ def remove_repeated_bytes(
     id is larger than all others; rows with the same id (or without one) don't remove each other's
     bytes. Other columns are not looked at. ``texts`` gives the bytes left in place of their SHA-256.
     """
-    rule = Windows(by_word=False, size=size, gram=max(1, min(20, size // 2)))
+    rule = Windows(by_word=False, size=size, gram=max(1, min(12, size // 2)))
     schema = KEPT_SCHEMA if texts else SCHEMA
     return without_repeats(docs, rule, by_intervals(size), _reporter(texts), schema, id_column, text_column)
 
