@@ -177,9 +177,14 @@ class PieceTable:
         return [i for chunk in CHUNK.findall(self.normalize(text)) for i in self._ids(chunk)]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids; bytes that are no UTF-8 become U+FFFD, the first space is dropped."""
+        """Text of ids; bytes that are no UTF-8 become U+FFFD.
+
+        The space before the text is dropped if a piece begins with it; a byte's space stays.
+        """
+        ids = [i for i in ids if i not in self.silent]
         text = self._text(ids)
-        return text[1:] if text.startswith(" ") else text
+        led = bool(ids) and ids[0] not in self.byte_of and ids[0] != self.unknown and text.startswith(" ")
+        return text[1:] if led else text
 
     def _text(self, ids: Iterable[int]) -> str:
         out: list[str] = []

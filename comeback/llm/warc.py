@@ -1,7 +1,7 @@
 """WARC archives: one gzip member per record, and a reader that splits files anywhere.
 
 A reading task owns the records that start in its byte range. It looks for gzip magic, takes a
-candidate only if it decodes to a WARC header, and goes on member by member from there.
+candidate only if it and what follows it decode to WARC records, and goes on member by member.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from comeback.llm.common import scratch, staged
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 BLOCK = 1 << 16
+STORED = 65535
 BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,65 +103,91 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return staged(rows.mapInArrow(write, "path string, size bigint"), "warc-files")
 
 
-def _records(source, start: int, end: int) -> Iterator[bytes]:
-    """Decoded members that start in [start, end) of a seekable file."""
-    size = source.size()
-    held, at = b"", start  # held: bytes of the file from ``at`` on
-
-    def more() -> bool:
-        nonlocal held
-        source.seek(at + len(held))
-        got = source.read(BLOCK)
-        held += got
+class _Window:
+    """Bytes of a seekable file from ``base`` on, read in blocks as they are asked for."""
+
+    def __init__(self, source, base: int):
+        self.source, self.base, self.size = source, base, source.size()
+        self.held = b""
+
+    def more(self) -> bool:
+        self.source.seek(self.base + len(self.held))
+        got = self.source.read(BLOCK)
+        self.held += got
         return bool(got)
 
-    def decoded() -> tuple[bytes, int] | None:
-        """The member at ``at`` and its length, or None if there is none."""
+    def starts(self, at: int, prefix: bytes) -> bool:
+        while len(self.held) < at - self.base + len(prefix) and self.more():
+            pass
+        return self.held.startswith(prefix, at - self.base)
+
+    def forget(self, at: int) -> None:
+        """Drop what lies before ``at``, now and then."""
+        if at - self.base > 4 * BLOCK:
+            self.held, self.base = self.held[at - self.base :], at
+
+    def member(self, at: int) -> tuple[bytes, int] | None:
+        """The WARC record in the gzip member at ``at`` and where the member ends."""
+        if not self.starts(at, MAGIC):
+            return None
         unpack = zlib.decompressobj(31)
         out: list[bytes] = []
-        fed, known = 0, b""
+        fed, known = at - self.base, b""
         while True:
-            if fed == len(held) and not more():
+            if fed == len(self.held) and not self.more():
                 return None
             try:
-                out.append(unpack.decompress(held[fed:]))
+                piece = unpack.decompress(self.held[fed : fed + BLOCK])
             except zlib.error:
                 return None
-            fed = len(held)
+            fed = min(len(self.held), fed + BLOCK)
+            out.append(piece)
             if len(known) < len(VERSION):
-                known += out[-1][: len(VERSION)]
-                if not VERSION.startswith(known[: len(VERSION)]):
+                known += piece[: len(VERSION) - len(known)]
+                if not VERSION.startswith(known):
                     return None
             if unpack.eof:
-                return b"".join(out), fed - len(unpack.unused_data)
-
-    synced = False
-    while at < min(end, size):
-        if len(held) < len(MAGIC) and not more() and len(held) < len(MAGIC):
-            return
-        if not held.startswith(MAGIC):
-            if synced:
-                raise ValueError(f"no gzip member at byte {at}")
-            found = held.find(MAGIC, 1)
-            step = found if found > 0 else max(1, len(held) - len(MAGIC) + 1)
-            held, at = held[step:], at + step
-            continue
-        record = decoded()
-        if record is None:
-            if synced:
-                raise ValueError(f"broken member at byte {at}")
-            held, at = held[1:], at + 1
-            continue
-        body, length = record
-        while len(held) < length + len(MAGIC) and more():
-            pass
-        after = held[length : length + len(MAGIC)]
-        if after and after != MAGIC and not synced:
-            held, at = held[1:], at + 1  # inside the payload of another record
-            continue
-        yield body
-        synced = True
-        held, at = held[length:], at + length
+                body = b"".join(out)
+                return (body, self.base + fed - len(unpack.unused_data)) if body.startswith(VERSION) else None
+
+
+def _records(source, start: int, end: int) -> Iterator[bytes]:
+    """Decoded members that start in [start, end) of a seekable file.
+
+    A payload may hold an archive of its own. Deflate keeps it as it is in stored blocks at most,
+    whose headers interrupt it every 65,535 bytes; so a candidate counts if whole members follow
+    it for longer than that, or up to the end of the file.
+    """
+    window = _Window(source, start)
+    at, end = start, min(end, window.size)
+
+    def follows(low: int) -> bool:
+        here = low
+        while here < window.size and here - low <= STORED:
+            found = window.member(here)
+            if found is None:
+                return False
+            here = found[1]
+        return True
+
+    while at < end and not (window.starts(at, MAGIC) and follows(at)):
+        if at == 0:
+            raise ValueError("the file doesn't start with a WARC record")
+        place = window.held.find(MAGIC, at + 1 - window.base)
+        if place >= 0:
+            at = window.base + place
+        else:
+            at = max(at + 1, window.base + len(window.held) - len(MAGIC) + 1)
+            if not window.more() and at + len(MAGIC) > window.size:
+                return
+        window.forget(at)
+    while at < end:
+        found = window.member(at)
+        if found is None:
+            raise ValueError(f"no whole WARC record at byte {at}")
+        yield found[0]
+        at = found[1]
+        window.forget(at)
 
 
 def parsed(record: bytes) -> dict:
