@@ -325,8 +325,13 @@ def best_stump(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 def risk_scores(model: PipelineModel, mart: DataFrame, settings: Settings) -> DataFrame:
     """Every person scored with the early model, with risk level."""
     matrix = feature_matrix(mart, EARLY_COLUMNS, "is_successful")
-    scored = score(model, matrix).withColumnRenamed("probability", "success_probability")
-    return scored.select(
+    return with_risk(score(model, matrix), settings)
+
+
+def with_risk(scored: DataFrame, settings: Settings) -> DataFrame:
+    """Person, probability and risk level."""
+    named = scored.withColumnRenamed("probability", "success_probability")
+    return named.select(
         ID, "success_probability", risk_level(F.col("success_probability"), settings).alias("risk_flag")
     )
 

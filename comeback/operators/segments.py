@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from comeback.functions.scalars import percent, round_half_even
 from comeback.operators.learning import ID, Scaler, stable_layout
 from comeback.operators.rates import flagged
+from comeback.operators.trends import rows_from
 
 PARALLEL_FITS = 8
 
@@ -173,6 +174,51 @@ def seed_centres(scaled: DataFrame, k: int, columns: Sequence[str] = CLUSTER_COL
     return [[row[c] for c in columns] for row in scaled.orderBy(ID).limit(k).collect()]
 
 
+def nearest_centre(
+    scaled: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] = CLUSTER_COLUMNS
+) -> DataFrame:
+    """Add ``cluster``, the nearest centre (the first on ties), and ``_least``, its squared distance."""
+    squares = [
+        sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(columns, centre)), F.lit(0.0))
+        for centre in centres
+    ]
+    placed = scaled.withColumn("_distances", F.array(*squares)).withColumn("_least", F.array_min("_distances"))
+    return placed.withColumn("cluster", (F.array_position("_distances", F.col("_least")) - 1).cast("int"))
+
+
+def lloyd_centres(
+    scaled: DataFrame, k: int, steps: int, columns: Sequence[str] = CLUSTER_COLUMNS
+) -> list[list[float]]:
+    """Centres after a fixed number of steps from the seed centres; each step fetches ``k`` rows."""
+    centres = seed_centres(scaled, k, columns)
+    for _ in range(steps):
+        centres = [[row[c] for c in columns] for row in lloyd_step(scaled, centres, columns).orderBy("cluster").collect()]
+    return centres
+
+
+def centre_segments(mart: DataFrame, steps: int = 2) -> DataFrame:
+    """The mart with cluster and segment by nearest centre, named by descending mean success score."""
+    scaled = standardised(mart)
+    placed = nearest_centre(scaled, lloyd_centres(scaled, len(PERSONAS), steps)).select(ID, "cluster")
+    segmented = mart.join(placed, ID)
+    order = segmented.groupBy("cluster").agg(F.avg("success_score").alias("m")).orderBy(F.desc("m"), "cluster").collect()
+    names = {row["cluster"]: name for row, name in zip(order, PERSONAS)}
+    return segmented.withColumn("segment", name_of(F.col("cluster"), names))
+
+
+def centre_elbow(mart: DataFrame, ks: Sequence[int] = range(2, 9), steps: int = 1) -> DataFrame:
+    """Sum of squared distances to the nearest centre for each number of clusters, in one pass."""
+    scaled = standardised(mart)
+    total = scaled
+    for k in ks:
+        nearest = nearest_centre(total, lloyd_centres(scaled, k, steps))
+        total = nearest.withColumnRenamed("_least", f"_k{k}").drop("cluster", "_distances")
+    sums = total.agg(*[F.sum(f"_k{k}").alias(f"_k{k}") for k in ks])
+    return rows_from(sums, "name", "inertia", [(str(k), F.col(f"_k{k}")) for k in ks]).select(
+        F.col("name").cast("int").alias("k"), "inertia"
+    )
+
+
 def lloyd_step(
     scaled: DataFrame, centres: Sequence[Sequence[float]], columns: Sequence[str] = CLUSTER_COLUMNS
 ) -> DataFrame:
@@ -181,12 +227,7 @@ def lloyd_step(
     ``inertia`` is the sum of squared distances to the old centre; an empty cluster keeps its
     centre. The centres are constants of the plan, so nothing but partial means is shuffled.
     """
-    squares = [
-        sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(columns, centre)), F.lit(0.0))
-        for centre in centres
-    ]
-    placed = scaled.withColumn("_distances", F.array(*squares)).withColumn("_least", F.array_min("_distances"))
-    placed = placed.withColumn("cluster", (F.array_position("_distances", F.col("_least")) - 1).cast("int"))
+    placed = nearest_centre(scaled, centres, columns)
     means = placed.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("users"),
         F.sum("_least").alias("inertia"),

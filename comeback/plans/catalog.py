@@ -325,6 +325,73 @@ RELATIONAL.update(
 )
 
 
+# Model reports on scores and centres that plain SQL can restate.
+
+
+def _three_scores(ws: Workspace) -> DataFrame:
+    """Early agent share, early production share, early active days."""
+    label = F.col("is_successful").alias("label")
+    scores = {
+        "agent": F.col("d3_agent_events") / (F.col("d3_total_events") + 1),
+        "production": F.col("d3_production_events") / (F.col("d3_total_events") + 1),
+        "days": F.col("d3_active_days") / 4,
+    }
+    plans = [ws.mart.select("person_id", label, p.alias("probability"), F.lit(n).alias("model")) for n, p in scores.items()]
+    union = plans[0].unionAll(plans[1]).unionAll(plans[2])
+    return union.withColumn("prediction", (F.col("probability") > 0.3).cast("int"))
+
+
+def _best_of_three(ws: Workspace) -> DataFrame:
+    scored = _three_scores(ws)
+    best = evaluation.best_model(learning.compare_models(scored)).first()["model"]
+    return evaluation.classification_report(scored.filter(F.col("model") == best)).withColumn("model", F.lit(best))
+
+
+def _ratio_folds(ws: Workspace) -> DataFrame:
+    folded = sampling.cross_validation_folds(_scored_by_ratio(ws), "label", ws.settings.folds)
+    return evaluation.roc_auc(folded, ["fold"])
+
+
+def _ratio_risks(ws: Workspace) -> DataFrame:
+    return learning.with_risk(_scored_by_ratio(ws), ws.settings)
+
+
+def _centred(ws: Workspace) -> DataFrame:
+    return ws.staged("centred", lambda: segments.centre_segments(ws.mart))
+
+
+RELATIONAL.update(
+    {
+        "centre_segments": on_workspace(lambda ws: _centred(ws).select("person_id", "cluster", "segment")),
+        "centre_elbow": on_workspace(lambda ws: _rounded(segments.centre_elbow(ws.mart), "inertia", digits=4)),
+        "centre_segment_success": on_workspace(
+            lambda ws: _rounded(segments.segment_success(_centred(ws)), "avg_events", "avg_tenure")
+        ),
+        "centre_segment_sizes": on_workspace(lambda ws: segments.segment_sizes(_centred(ws))),
+        "centre_segment_profile": on_workspace(lambda ws: segments.segment_profile(_centred(ws))),
+        "centre_cluster_profile": on_workspace(lambda ws: segments.segment_profile(_centred(ws), "cluster")),
+        "centre_segment_radar": on_workspace(
+            lambda ws: _rounded(segments.segment_radar(_centred(ws)), *segments.RADAR_COLUMNS)
+        ),
+        "centre_segment_upgrade": on_workspace(lambda ws: segments.segment_upgrade(_centred(ws))),
+        "ratio_model_evaluation": on_workspace(lambda ws: learning.compare_models(_three_scores(ws))),
+        "ratio_roc_curves": on_workspace(
+            lambda ws: _rounded(evaluation.roc_points(_three_scores(ws), ["model"]), "threshold", "fpr", "tpr")
+        ),
+        "ratio_best_report": on_workspace(_best_of_three),
+        "ratio_fold_auc": on_workspace(lambda ws: _rounded(_ratio_folds(ws), "auc")),
+        "ratio_fold_interval": on_workspace(lambda ws: learning.auc_interval(_ratio_folds(ws))),
+        "ratio_risks": on_workspace(_ratio_risks),
+        "ratio_risk_distribution": on_workspace(lambda ws: learning.risk_distribution(_ratio_risks(ws))),
+        "ratio_business_case": on_workspace(
+            lambda ws: learning.business_case(
+                _ratio_risks(ws), rates.success_by_milestones(ws.mart), rates.upgrade_candidates(ws.mart), ws.settings
+            )
+        ),
+    }
+)
+
+
 # Models: fitted once per workspace; their scored test rows are staged.
 
 

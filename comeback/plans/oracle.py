@@ -792,3 +792,139 @@ SQL.update(
         ),
     }
 )
+
+
+def _centres(k: int, steps: int, tag: str = "") -> str:
+    """Centres and nearest centres: ``c<tag>_<step>`` and ``n<tag>_<step>``."""
+    distance = " + ".join(f"(z.{c} - s.{c}) * (z.{c} - s.{c})" for c in _CLUSTER)
+    parts = [
+        f"c{tag}_0 AS (SELECT *, row_number() OVER (ORDER BY person_id) - 1 AS cluster FROM z ORDER BY person_id LIMIT {k})"
+    ]
+    for step in range(steps + 1):
+        parts.append(
+            f"""n{tag}_{step} AS (
+  SELECT person_id, cluster, d FROM (
+    SELECT z.person_id, s.cluster, {distance} AS d, row_number() OVER (PARTITION BY z.person_id ORDER BY {distance}, s.cluster) AS rn
+    FROM z, c{tag}_{step} AS s) WHERE rn = 1)"""
+        )
+        if step < steps:
+            means = ", ".join(f"coalesce(m.{c}, o.{c}) AS {c}" for c in _CLUSTER)
+            averages = ", ".join(f"avg(z.{c}) AS {c}" for c in _CLUSTER)
+            parts.append(
+                f"""c{tag}_{step + 1} AS (
+  SELECT o.cluster, {means} FROM c{tag}_{step} o LEFT JOIN (
+    SELECT n.cluster, {averages} FROM n{tag}_{step} n JOIN z USING (person_id) GROUP BY n.cluster) m ON o.cluster = m.cluster)"""
+            )
+    return ",\n".join(parts)
+
+
+# Fixed values, as in the operators.
+_PERSONAS = ("Power Users", "Casual Explorers", "Rising Stars", "One-time Visitors")
+_RADAR = ("total_events", "active_days", "tenure_days", "retention_score", "depth_score", "success_score")
+_NAMED = f"""named AS (
+  SELECT cluster, CASE row_number() OVER (ORDER BY avg(success_score) DESC, cluster)
+    {" ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(_PERSONAS, 1))} END AS segment
+  FROM mart JOIN n_2 USING (person_id) GROUP BY cluster),
+seg AS (SELECT mart.*, cluster, segment FROM mart JOIN n_2 USING (person_id) JOIN named USING (cluster))"""
+
+
+def _segmented(body: str) -> str:
+    return with_parts("mart", body, _Z, _centres(4, 2), _NAMED)
+
+
+def r2(expression: str) -> str:
+    return f"round_even(({expression}) * 100, 0) / 100"
+
+
+_PROFILE = ", ".join(f"{r2(f'avg({c})')} AS {c}" for c in (*_CLUSTER, "success_score"))
+_THREE = """three AS (
+  SELECT person_id, is_successful AS label, 'agent' AS model, d3_agent_events / (d3_total_events + 1) AS p FROM mart UNION ALL
+  SELECT person_id, is_successful, 'production', d3_production_events / (d3_total_events + 1) FROM mart UNION ALL
+  SELECT person_id, is_successful, 'days', d3_active_days / 4 FROM mart),
+counts3 AS (
+  SELECT model, count(*) FILTER (WHERE p > 0.3 AND label = 1) AS tp, count(*) FILTER (WHERE p > 0.3 AND label = 0) AS fp,
+         count(*) FILTER (WHERE p <= 0.3 AND label = 1) AS fn, count(*) FILTER (WHERE p <= 0.3 AND label = 0) AS tn
+  FROM three GROUP BY model),
+area3 AS (
+  SELECT model, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS auc
+  FROM (SELECT * FROM three WHERE label = 1) a JOIN (SELECT * FROM three WHERE label = 0) b USING (model) GROUP BY model),
+best3 AS (SELECT model FROM area3 ORDER BY round_even(auc * 1e4, 0) DESC, model LIMIT 1)"""
+_FOLDS = """folded AS (SELECT p, scores.label, ((rn - 1) * 5 // size)::INT AS fold FROM scores JOIN ranked USING (person_id)),
+fold_areas AS (
+  SELECT fold, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS auc
+  FROM (SELECT * FROM folded WHERE label = 1) a JOIN (SELECT * FROM folded WHERE label = 0) b USING (fold) GROUP BY fold)"""
+_RISK = """risk AS (
+  SELECT person_id, p AS success_probability,
+         CASE WHEN p < 0.3 THEN '🔴 High Risk' WHEN p < 0.6 THEN '🟡 Medium Risk' ELSE '🟢 Likely Success' END AS risk_flag FROM scores)"""
+
+SQL.update(
+    {
+        "centre_segments": _segmented("SELECT person_id, cluster::INT AS cluster, segment FROM seg"),
+        "centre_elbow": with_parts(
+            "mart",
+            unpivot([f"SELECT {k}::INT AS k, round_even(sum(d) * 1e4, 0) / 1e4 AS inertia FROM n{k}_1" for k in range(2, 9)]),
+            _Z,
+            *[_centres(k, 1, str(k)) for k in range(2, 9)],
+        ),
+        "centre_segment_success": _segmented(
+            f"""SELECT segment, count(*) AS users, sum(is_successful)::BIGINT AS successful, {r6("avg(total_events)")} AS avg_events,
+                       {r6("avg(tenure_days)")} AS avg_tenure, {pct("sum(is_successful)", "count(*)")} AS success_rate
+                FROM seg GROUP BY segment"""
+        ),
+        "centre_segment_sizes": _segmented("SELECT segment, count(*) AS count FROM seg GROUP BY segment"),
+        "centre_segment_profile": _segmented(f"SELECT segment, {_PROFILE} FROM seg GROUP BY segment"),
+        "centre_cluster_profile": _segmented(f"SELECT cluster::INT AS cluster, {_PROFILE} FROM seg GROUP BY cluster"),
+        "centre_segment_radar": _segmented(
+            f"SELECT segment, {', '.join(f'{r6(f"avg({c})")} AS {c}' for c in _RADAR)} FROM seg GROUP BY segment"
+        ),
+        "centre_segment_upgrade": _segmented(
+            f"""SELECT segment, count(*) AS users, {r1("avg(is_upgrade_candidate) * 100")} AS upgrade_rate,
+                       {r1("avg(is_successful) * 100")} AS success_rate FROM seg GROUP BY segment"""
+        ),
+        "ratio_model_evaluation": with_parts(
+            "mart", f"SELECT model, tp, fp, fn, tn, {_RATES}, {r4('auc')} AS auc FROM counts3 JOIN area3 USING (model)", _THREE
+        ),
+        "ratio_roc_curves": with_parts(
+            "mart",
+            f"""SELECT model, {r6("t")} AS threshold,
+                       {r6("count(*) FILTER (WHERE label = 0 AND p >= t) / count(*) FILTER (WHERE label = 0)")} AS fpr,
+                       {r6("count(*) FILTER (WHERE label = 1 AND p >= t) / count(*) FILTER (WHERE label = 1)")} AS tpr
+                FROM three JOIN (SELECT DISTINCT model, p AS t FROM three UNION ALL SELECT model, max(p) + 1 FROM three GROUP BY model)
+                USING (model) GROUP BY model, t""",
+            _THREE,
+        ),
+        "ratio_best_report": with_parts(
+            "mart",
+            f"""SELECT class, {r4("p")} AS precision, {r4("r")} AS recall, {r4("f")} AS f1, support, model FROM report, best3""",
+            _THREE,
+            "confused AS (SELECT tp, fp, fn, tn FROM counts3 JOIN best3 USING (model))",
+            _REPORT,
+        ),
+        "ratio_fold_auc": with_parts("mart", f"SELECT fold, {r6('auc')} AS auc FROM fold_areas", _SCORED, _RANKED, _FOLDS),
+        "ratio_fold_interval": with_parts(
+            "mart",
+            f"""SELECT {r4("avg(auc)")} AS mean_auc, {r4("stddev_pop(auc)")} AS std_auc,
+                       {r4("avg(auc) - 1.96 * stddev_pop(auc)")} AS ci_lo, {r4("avg(auc) + 1.96 * stddev_pop(auc)")} AS ci_hi
+                FROM fold_areas""",
+            _SCORED,
+            _RANKED,
+            _FOLDS,
+        ),
+        "ratio_risks": with_parts("mart", "SELECT * FROM risk", _SCORED, _RISK),
+        "ratio_risk_distribution": with_parts(
+            "mart", "SELECT risk_flag, count(*) AS users FROM risk GROUP BY risk_flag", _SCORED, _RISK
+        ),
+        "ratio_business_case": with_parts(
+            "mart",
+            f"""SELECT high_risk_users, {r6("recovery")} AS recovery_rate,
+                       CAST(trunc(high_risk_users * recovery * 0.10::DOUBLE) AS BIGINT) AS estimated_recoveries,
+                       u.candidates AS upgrade_candidates, u.pct AS upgrade_pct
+                FROM (SELECT count(*) FILTER (WHERE risk_flag = '🔴 High Risk') AS high_risk_users FROM risk),
+                     (SELECT (avg(success_rate) FILTER (WHERE milestones_hit >= 4)
+                              - coalesce(max(success_rate) FILTER (WHERE milestones_hit = 0), 0.0::DOUBLE)) / 100 AS recovery
+                      FROM ({SQL["success_by_milestones"]})), ({SQL["upgrade_candidates"]}) u""",
+            _SCORED,
+            _RISK,
+        ),
+    }
+)
