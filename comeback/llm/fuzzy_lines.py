@@ -1,7 +1,7 @@
 """Line dedup: equal and similar lines keep one occurrence, DataFrame operations only.
 
 Lines are normalised to their words. SimHashes of distinct lines are cut into four blocks, and
-lines that agree in two blocks are compared by edit similarity; lines linked this way, directly
+lines that agree in two blocks and nearly in the others are compared by edit similarity; lines linked this way, directly
 or through others, form a group, and only the group's first occurrence stays.
 """
 
@@ -20,50 +20,55 @@ WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 BLOCKS, BLOCK_BITS = 4, 16
 NO_ID = (1 << 63) - 1
 SLOT_BITS = 17
+LANES, LANE_BITS = 22, 21
+#: Lines of more characters are hashed apart; those below have fewer than 2^20 words.
+LONG = 2_000_000
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``similarity``: 1 - edits / characters of the longer line. ``min_words``: shorter lines stay."""
+    """``similarity``: 1 - edits / characters of the longer line. ``bits``: most SimHash bits in which
+    two lines that agree in two blocks may differ. ``min_words``: shorter lines stay."""
 
     similarity: float = 0.8
+    bits: int = 10
     min_words: int = 5
 
 
-def bit_sums(hashes: Column, count: Column) -> Column:
-    """How many of the hashes have each of the 64 bits.
-
-    Bits are counted in lanes of 64-bit sums, as wide as the number of words needs (the topmost bit is the sign); the lanes'
-    width makes no difference to the result.
-    """
-
-    def lanes(width: int) -> Column:
-        mask = sum(1 << at for at in range(0, 64, width))
-        mask -= (mask >> 63) << 64
-
-        def lane(i: int) -> Column:
-            return F.aggregate(
-                hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(mask))
-            )
-
-        return F.array(*[lane(i) for i in range(width)])
-
-    return F.when(count < 128, lanes(8)).when(count < 32768, lanes(16)).otherwise(lanes(32))
+def bit_sums(word_hash: Column) -> list[Column]:
+    """Aggregates that count how many hashes have each of the 64 bits, three counters of 21 bits to
+    a sum: bits i, i + 22 and i + 44 are counted in sum i."""
+    spread = [
+        sum(
+            (F.shiftleft(F.shiftrightunsigned(word_hash, i + LANES * at).bitwiseAND(F.lit(1).cast("bigint")), LANE_BITS * at) for at in range(3) if i + LANES * at < 64),
+            F.lit(0).cast("bigint"),
+        )
+        for i in range(LANES)
+    ]
+    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(spread)]
 
 
-def majority(sums: Column, count: Column) -> Column:
-    """SimHash: the bits that more than half of the hashes have."""
+def majority(count: Column) -> Column:
+    """SimHash: the bits that more than half of ``count`` hashes have, from the sums."""
+    total = F.lit(0).cast("bigint")
+    for bit in range(64):
+        at, i = divmod(bit, LANES)
+        seen = F.shiftrightunsigned(F.col(f"s{i}"), LANE_BITS * at).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("bigint"))
+        mark = (1 << bit) - ((bit == 63) << 64)
+        total = total.bitwiseOR(F.when(seen * 2 > count, F.lit(mark).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return total
 
-    def bits(width: int) -> Column:
-        total = F.lit(0).cast("bigint")
-        for i in range(width):
-            for at in range(0, 64, width):
-                seen = F.shiftrightunsigned(sums[i], at).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-                bit = (1 << (at + i)) - ((at + i == 63) << 64)
-                total = total.bitwiseOR(F.when(seen * 2 > count, F.lit(bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        return total
 
-    return F.when(F.size(sums) == 8, bits(8)).when(F.size(sums) == 16, bits(16)).otherwise(bits(32))
+def long_simhash(hashes: Column, count: Column) -> Column:
+    """The same for one array of any size, bit by bit; for lines too long for the counters."""
+    total = F.lit(0).cast("bigint")
+    for bit in range(64):
+        seen = F.aggregate(
+            hashes, F.lit(0).cast("bigint"), lambda acc, h: acc + F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1).cast("bigint"))
+        )
+        mark = (1 << bit) - ((bit == 63) << 64)
+        total = total.bitwiseOR(F.when(seen * 2 > count, F.lit(mark).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return total
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -74,13 +79,26 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-def _lines(rows: DataFrame, rule: LineRules) -> DataFrame:
-    """(o, h, at, words) of every line with enough words."""
+def _lines(rows: DataFrame, rule: LineRules, long: bool | None = None) -> DataFrame:
+    """(o, h, at, words) of every line with enough words; with ``long`` only of lines so long, or not."""
     lines = rows.select("o", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    if long is not None:
+        lines = lines.where((F.length("line") > LONG) == F.lit(long))
     cut = lines.select("o", "h", "at", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
     return cut.where(F.size("words") >= rule.min_words)
 
 
+def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
+    """(o, h, at, f, g, sim): occurrence, key and SimHash of every line; rows that repeat are one."""
+    keys = ["o", "h", "at", "f", "g"]
+    words = _marked(_lines(rows, rule, long=False)).select(*keys, F.explode("words").alias("word"))
+    sums = words.groupBy(*keys).agg(*bit_sums(F.xxhash64("word")), F.count(F.lit(1)).alias("n"))
+    short = sums.select(*keys, majority(F.col("n")).alias("sim"))
+    whole = _marked(_lines(rows, rule, long=True))
+    whole = whole.select(*keys, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
+    return short.unionByName(whole.select(*keys, long_simhash(F.col("hs"), F.col("n")).alias("sim")).distinct())
+
+
 def _marked(lines: DataFrame) -> DataFrame:
     norm = F.array_join("words", " ")
     marked = lines.select("o", "h", "at", "words", norm.alias("norm"))
@@ -118,10 +136,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, rule: LineRules) -> DataFrame:
 def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]:
     """Every line's occurrence (o, h, at, f, g), and for lines that occur more than once or have
     similar ones, the occurrence that stays (f, g, keep)."""
-    words = _marked(_lines(rows, rule))
-    hashed = words.select("o", "h", "at", "f", "g", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
-    summed = hashed.select("o", "h", "at", "f", "g", "n", bit_sums(F.col("hs"), F.col("n")).alias("sums"))
-    lines = staged(summed.select("o", "h", "at", "f", "g", majority(F.col("sums"), F.col("n")).alias("sim")), "lines")
+    lines = staged(_hashed(rows, rule), "lines")
     distinct = lines.groupBy("f", "g").agg(
         F.min(F.struct("o", "h", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim")
     )
@@ -132,25 +147,37 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
         F.lit(n << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block[i], BLOCK_BITS) + block[j]
         for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
     ]
-    keyed = distinct.select("f", F.explode(F.array(*keys)).alias("key"))
+    keyed = distinct.select(F.col("f").alias("x"), F.col("sim").alias("xs"), F.explode(F.array(*keys)).alias("key"))
     same_key = Window.partitionBy("key")
-    met = keyed.select("key", F.col("f").alias("x"), F.min("f").over(same_key).alias("lead"), F.max("f").over(same_key).alias("last"))
-    met = staged(met.where("lead <> last").drop("last"), "met")
+    met = keyed.withColumn("lead", F.min(F.struct("x", "xs")).over(same_key)).withColumn("last", F.max("x").over(same_key))
+    met = met.where("lead.x <> last").select("key", "x", "xs", F.col("lead.x").alias("lead"), F.col("lead.xs").alias("ls"))
+    met = staged(met, "met")
+
+    # Each line with the first of its key, and lines whose SimHash differs too much from that one's
+    # with the others of their key.
+    alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= rule.bits
+    ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
+    others = met.where("x <> lead").select("key", F.col("x").alias("y"), F.col("xs").alias("ys"))
+    to_lead = met.where((F.col("x") != F.col("lead")) & alike("xs", "ls")).select("x", F.col("lead").alias("y"))
+    far = met.where((F.col("x") != F.col("lead")) & ~alike("xs", "ls")).select("key", "x", "xs")
+    among = far.join(others, "key").where((F.col("x") != F.col("y")) & alike("xs", "ys"))
+    pairs = staged(to_lead.select(*ordered).unionAll(among.select(*ordered)).distinct(), "pairs")
 
     # Texts of the lines to compare, found by a bitmap and then exactly.
-    wanted = met.select("x").distinct()
-    near = _meet(words.select("f", "g", "norm"), _bitmap(wanted, "x"), "f").where("maybe").drop("maybe")
-    texts = near.groupBy("f", "g").agg(F.first("norm").alias("norm")).join(wanted.withColumnRenamed("x", "f"), "f", "left_semi")
-    texts = staged(texts, "texts")
-
-    # Each line with the first of its key; then those that differ from it with all of their key.
-    to_lead = staged(_similar(met.where("x <> lead").select("x", F.col("lead").alias("y")).distinct(), texts, rule), "to-lead")
-    apart = to_lead.where(~F.col("same")).select("x", F.col("y").alias("lead")).distinct()
-    rest = met.join(apart, ["x", "lead"]).select("key", "x")
-    others = met.where("x <> lead").select("key", F.col("x").alias("y"))
-    crossed = rest.join(others, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    among = _similar(crossed.distinct(), texts, rule)
-    links = to_lead.where("same").select("a", "b").unionAll(among.where("same").select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("f")).distinct()
+    words = _marked(_lines(rows, rule)).select("f", "g", "norm")
+    maybe = _meet(words, _bitmap(wanted, "f"), "f").where("maybe").drop("maybe")
+    texts = staged(maybe.join(wanted, "f", "left_semi").dropDuplicates(["f", "g"]), "texts")
+
+    # Then lines that differ from the first of their key after all, with the others of the key.
+    compared = staged(_similar(pairs, texts, rule), "compared")
+    apart = compared.where(~F.col("same")).select("x", "y").distinct()
+    lead = [F.least("x", "lead").alias("p"), F.greatest("x", "lead").alias("q")]
+    led = met.where((F.col("x") != F.col("lead")) & alike("xs", "ls")).select("key", "x", "xs", *lead)
+    rest = led.join(apart.toDF("p", "q"), ["p", "q"]).select("key", "x", "xs")
+    crossed = rest.join(others, "key").where((F.col("x") != F.col("y")) & alike("xs", "ys")).select(*ordered).distinct()
+    more = _similar(crossed.join(pairs, ["x", "y"], "left_anti"), texts, rule)
+    links = compared.where("same").select("a", "b").unionAll(more.where("same").select("a", "b"))
     groups = connected(links).select("node.f", "node.g", F.col("component").alias("group"))
 
     firsts = groups.join(distinct.select("f", "g", "first"), ["f", "g"])
