@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,30 @@ def test_cross_validation(ws):
     assert [row["fold"] for row in folds.collect()] == [0, 1, 2, 3, 4]
     row = learning.auc_interval(folds).first()
     assert row["ci_lo"] <= row["mean_auc"] <= row["ci_hi"]
+
+
+def test_projection_is_that_of_the_covariance(ws):
+    """Principal components against numpy, up to sign."""
+    points = segments.vectors(segments.standardised(ws.mart))
+    matrix = np.array([row["features"].toArray() for row in points.collect()])
+    components = segments.fit_personas(ws.mart, 42, 1).components.pc.toArray()
+    values, vectors = np.linalg.eigh(np.cov(matrix, rowvar=False))
+    for column, want in zip(components.T, vectors[:, ::-1].T[:2], strict=True):
+        assert min(np.abs(column - want).max(), np.abs(column + want).max()) < 1e-6
+    assert values[-1] >= values[-2]
+
+
+def test_logistic_model_is_at_the_minimum(ws):
+    """The gradient of the penalised loss vanishes at the fitted weights."""
+    columns = learning.full_columns(ws.mart)
+    rows = learning.feature_matrix(ws.mart, columns, "is_successful")
+    count = rows.count()
+    model = learning.fit_classifier(rows, columns, learning.comparison_models(TEST_SETTINGS, count)[learning.LOGISTIC])
+    ready = learning.PipelineModel(model.stages[:-1]).transform(rows).select("features", "label").collect()
+    x = np.array([row["features"].toArray() for row in ready])
+    y = np.array([row["label"] for row in ready], float)
+    fitted = model.stages[-1]
+    weights = fitted.coefficients.toArray()
+    residual = 1 / (1 + np.exp(-(x @ weights + fitted.intercept))) - y
+    assert np.abs(x.T @ residual / count + weights / count).max() < 1e-3
+    assert abs(residual.mean()) < 1e-3
