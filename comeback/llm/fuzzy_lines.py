@@ -1,7 +1,7 @@
 """Line dedup: equal and similar lines keep one occurrence, DataFrame operations only.
 
 Lines are normalised to their words. SimHashes of distinct lines are cut into four blocks, and
-lines that agree in two blocks and nearly in the others are compared by edit similarity; lines linked this way, directly
+lines that agree in two blocks and nearly in the others are compared by the edit similarity of their words; lines linked this way, directly
 or through others, form a group, and only the group's first occurrence stays.
 """
 
@@ -20,14 +20,14 @@ WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 BLOCKS, BLOCK_BITS = 4, 16
 NO_ID = (1 << 63) - 1
 SLOT_BITS = 17
-LANES, LANE_BITS = 22, 21
-#: Lines of more characters are hashed apart; those below have fewer than 2^20 words.
-LONG = 2_000_000
+LANES = 16
+#: Lines of more characters are hashed apart; those below have fewer than 2^15 words.
+LONG = 65_000
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``similarity``: 1 - edits / characters of the longer line. ``bits``: most SimHash bits in which
+    """``similarity``: 1 - word edits / words of the longer line. ``bits``: most SimHash bits in which
     two lines that agree in two blocks may differ. ``min_words``: shorter lines stay."""
 
     similarity: float = 0.8
@@ -36,16 +36,10 @@ class LineRules:
 
 
 def bit_sums(word_hash: Column) -> list[Column]:
-    """Aggregates that count how many hashes have each of the 64 bits, three counters of 21 bits to
-    a sum: bits i, i + 22 and i + 44 are counted in sum i."""
-    spread = [
-        sum(
-            (F.shiftleft(F.shiftrightunsigned(word_hash, i + LANES * at).bitwiseAND(F.lit(1).cast("bigint")), LANE_BITS * at) for at in range(3) if i + LANES * at < 64),
-            F.lit(0).cast("bigint"),
-        )
-        for i in range(LANES)
-    ]
-    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(spread)]
+    """Aggregates that count how many hashes have each of the 64 bits, four counters to a sum: bits
+    i, i + 16, i + 32 and i + 48 are counted in sum i."""
+    mask = F.lit(sum(1 << LANES * at for at in range(64 // LANES))).cast("bigint")
+    return [F.sum(F.shiftrightunsigned(word_hash, i).bitwiseAND(mask)).alias(f"s{i}") for i in range(LANES)]
 
 
 def majority(count: Column) -> Column:
@@ -53,7 +47,7 @@ def majority(count: Column) -> Column:
     total = F.lit(0).cast("bigint")
     for bit in range(64):
         at, i = divmod(bit, LANES)
-        seen = F.shiftrightunsigned(F.col(f"s{i}"), LANE_BITS * at).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("bigint"))
+        seen = F.shiftrightunsigned(F.col(f"s{i}"), LANES * at).bitwiseAND(F.lit((1 << LANES) - 1).cast("bigint"))
         mark = (1 << bit) - ((bit == 63) << 64)
         total = total.bitwiseOR(F.when(seen * 2 > count, F.lit(mark).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return total
@@ -79,12 +73,16 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def _words(line: str) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+
+
 def _lines(rows: DataFrame, rule: LineRules, long: bool | None = None) -> DataFrame:
     """(o, h, at, words) of every line with enough words; with ``long`` only of lines so long, or not."""
     lines = rows.select("o", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     if long is not None:
         lines = lines.where((F.length("line") > LONG) == F.lit(long))
-    cut = lines.select("o", "h", "at", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
+    cut = lines.select("o", "h", "at", _words("line").alias("words"))
     return cut.where(F.size("words") >= rule.min_words)
 
 
@@ -100,9 +98,24 @@ def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
 
 
 def _marked(lines: DataFrame) -> DataFrame:
-    norm = F.array_join("words", " ")
-    marked = lines.select("o", "h", "at", "words", norm.alias("norm"))
-    return marked.select("o", "h", "at", "words", "norm", F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"))
+    """Lines with the key of their words: two hashes."""
+    marked = lines.select("o", "h", "at", "words", F.array_join("words", " ").alias("norm"))
+    return marked.select("o", "h", "at", "words", F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"))
+
+
+def word_codes(words: Column) -> Column:
+    """A text with one character for each word, so that edits of characters are edits of words.
+
+    A word's character is one of the 2^20 beyond the basic plane, by its hash.
+    """
+
+    def pair(word: Column) -> Column:
+        code = F.xxhash64(word).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
+        high = F.lit(0xD800).cast("bigint") + F.shiftrightunsigned(code, 10)
+        low = F.lit(0xDC00).cast("bigint") + code.bitwiseAND(F.lit(1023).cast("bigint"))
+        return F.hex(F.shiftleft(high, 16) + low)
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, pair), "")), "UTF-16BE")
 
 
 def _bitmap(frame: DataFrame, column: str) -> DataFrame:
@@ -122,8 +135,8 @@ def _meet(frame: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame, rule: LineRules) -> DataFrame:
     """(a, b, same) for pairs of line hashes, with the nodes' full keys."""
-    left = texts.select(F.col("f").alias("x"), F.struct("f", "g").alias("a"), F.col("norm").alias("s"))
-    right = texts.select(F.col("f").alias("y"), F.struct("f", "g").alias("b"), F.col("norm").alias("t"))
+    left = texts.select(F.col("f").alias("x"), F.struct("f", "g").alias("a"), F.col("codes").alias("s"))
+    right = texts.select(F.col("f").alias("y"), F.struct("f", "g").alias("b"), F.col("codes").alias("t"))
     joined = pairs.join(left, "x").join(right, "y")
     longest = F.greatest(F.length("s"), F.length("t"))
     near = F.least(F.length("s"), F.length("t")) >= rule.similarity * longest
@@ -163,11 +176,15 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
     among = far.join(others, "key").where((F.col("x") != F.col("y")) & alike("xs", "ys"))
     pairs = staged(to_lead.select(*ordered).unionAll(among.select(*ordered)).distinct(), "pairs")
 
-    # Texts of the lines to compare, found by a bitmap and then exactly.
+    # Words of the lines to compare: their first occurrences, found by a bitmap and then exactly.
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("f")).distinct()
-    words = _marked(_lines(rows, rule)).select("f", "g", "norm")
-    maybe = _meet(words, _bitmap(wanted, "f"), "f").where("maybe").drop("maybe")
-    texts = staged(maybe.join(wanted, "f", "left_semi").dropDuplicates(["f", "g"]), "texts")
+    spot = F.xxhash64("o", "h", "at")
+    spots = distinct.join(wanted, "f", "left_semi").select("f", "g", "first.*").withColumn("spot", spot)
+    here = rows.select("o", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("spot", spot)
+    maybe = _meet(here, _bitmap(spots, "spot"), "spot").where("maybe").select("o", "h", "at", "line")
+    coded = maybe.select("o", "h", "at", word_codes(_words("line")).alias("codes"))
+    texts = coded.join(spots.drop("spot"), ["o", "h", "at"]).select("f", "g", "codes").dropDuplicates(["f", "g"])
+    texts = staged(texts, "texts")
 
     # Then lines that differ from the first of their key after all, with the others of the key.
     compared = staged(_similar(pairs, texts, rule), "compared")
