@@ -33,6 +33,8 @@ from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_hashes,
 NO_ID = np.iinfo(np.int64).max
 #: Symbols whose windows are looked at together.
 SLICE = 1 << 20
+#: Bytes of strips that a shard searches together.
+BLOCK = 1 << 21
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 #: (bytes of strips, byte offsets, ids) -> for each strip the starts of windows found in a strip with a smaller id
@@ -250,17 +252,38 @@ def settle(table: pa.Table, rule: Windows, resolve: Resolve) -> pa.Table:
     member = np.flatnonzero(needed[group])
     found: dict[int, np.ndarray] = {}
     searched = np.zeros(len(plain), bool)
-    if len(member):
-        text, at = gathered(whole, offsets[one[member]], offsets[one[member] + 1])
-        del whole
-        kept = _with_repeats(text, at, least[member], rule)
+    # Groups of a minimizer are independent: they are looked at in blocks of bounded size.
+    member = member[np.argsort(group[member], kind="stable")]
+    sizes_ = np.cumsum(offsets[one[member] + 1] - offsets[one[member]])
+    last = np.flatnonzero(np.append(group[member][1:] != group[member][:-1], True)) + 1 if len(member) else member
+    waiting: list[np.ndarray] = []
+
+    def search() -> None:
+        these = np.concatenate(waiting)
+        waiting.clear()
+        text, at = gathered(whole, offsets[one[these]], offsets[one[these] + 1])
+        for n, starts in zip(these, resolve(text, at, least[these]), strict=True):
+            if len(starts):
+                found[int(n)] = np.asarray(starts, np.int64)
+                searched[n] = True
+
+    low = held = 0
+    for place, high in enumerate(last):
+        following = sizes_[last[place + 1] - 1] - (sizes_[low - 1] if low else 0) if place + 1 < len(last) else BLOCK + 1
+        if following <= BLOCK:
+            continue
+        these = member[low:high]
+        low = high
+        text, at = gathered(whole, offsets[one[these]], offsets[one[these] + 1])
+        kept = _with_repeats(text, at, least[these], rule)
         if len(kept):
-            text, at = gathered(text, at[kept], at[kept + 1])
-            member = member[kept]
-            for n, starts in zip(member, resolve(text, at, least[member]), strict=True):
-                if len(starts):
-                    found[int(n)] = np.asarray(starts, np.int64)
-                    searched[n] = True
+            waiting.append(these[kept])
+            held += int((at[kept + 1] - at[kept]).sum())
+            if held > BLOCK:
+                search()
+                held = 0
+    if waiting:
+        search()
     out: dict[str, list] = {k: [] for k in ("chunk", "shard", "entry", "low", "high")}
     begin = 0
     for number, n in zip(chunks, counts, strict=True):

@@ -6,8 +6,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from comeback.llm import passages as passages_module
 from comeback.llm import substrings, suffix_arrays
 from comeback.llm.passages import Windows, without_repeats
 from tests.llm.fixtures import documents, frame
@@ -112,3 +115,35 @@ def test_kept_text(spark):
     rows = [(1, "a b c d e f"), (2, "x a b c d e y")]
     got = result(substrings.remove_repeated_words(frame(spark, rows), size=4, texts=True))
     assert got == [(1, 6, 0, "a b c d e f"), (2, 7, 5, "x y")]
+
+
+@pytest.mark.parametrize("block", [1, 300, 1 << 21])
+@pytest.mark.parametrize("by", ["word", "byte"])
+def test_blocks_of_a_shard_make_no_difference(monkeypatch, block, by):
+    """The three steps without Spark, with shards searched in blocks of different sizes."""
+    monkeypatch.setattr(passages_module, "BLOCK", block)
+    rows = passages(5)
+    size, rule = (5, Windows(True, 5, 2)) if by == "word" else (12, Windows(False, 12, 4))
+    resolve = substrings.by_automaton(5) if by == "word" else suffix_arrays.by_intervals(12)
+    report = substrings._digest if by == "word" else suffix_arrays._reporter(False)
+    chunks = []
+    for n in range(3):
+        part = rows[n::3]
+        ids = pa.array([d for d, _ in part], pa.int64())
+        texts = pa.array([t or "" for _, t in part])
+        keys = pa.array([hash(t) for _, t in part], pa.int64())
+        chunks.append(pa.table({"doc_id": ids, "text": texts, "h": keys, "chunk": pa.array([n] * len(part), pa.int32())}))
+    sent = pa.concat_tables([passages_module.send(c, rule, 2) for c in chunks])
+    answers = []
+    for shard in (0, 1):
+        mine = sent.filter(pc.equal(sent.column("shard"), shard))
+        if mine.num_rows:
+            answers.append(passages_module.settle(mine, rule, resolve))
+    answers = pa.concat_tables(answers)
+    got = []
+    for n, chunk in enumerate(chunks):
+        found = answers.filter(pc.equal(answers.column("chunk"), n))
+        out = report(*passages_module.removed(chunk, found, rule, 2))
+        got += zip(*(out.column(c).to_pylist() for c in out.column_names), strict=True)
+    want = by_word(rows, size) if by == "word" else by_byte(rows, size)
+    assert sorted(got, key=repr) == want
