@@ -1,7 +1,7 @@
 """Line dedup: equal and similar lines keep one occurrence, DataFrame operations only.
 
 Lines are normalised to their words. SimHashes of distinct lines are cut into four blocks, and
-lines that agree in two blocks and nearly in the others are compared by the edit similarity of their words; lines linked this way, directly
+lines that agree in two blocks are compared by edit similarity; lines linked this way, directly
 or through others, form a group, and only the group's first occurrence stays.
 """
 
@@ -27,11 +27,9 @@ LONG = 65_000
 
 @dataclass(frozen=True)
 class LineRules:
-    """``similarity``: 1 - word edits / words of the longer line. ``bits``: most SimHash bits in which
-    two lines that agree in two blocks may differ. ``min_words``: shorter lines stay."""
+    """``similarity``: 1 - edits / characters of the longer line. ``min_words``: shorter lines stay."""
 
     similarity: float = 0.8
-    bits: int = 10
     min_words: int = 5
 
 
@@ -43,13 +41,20 @@ def bit_sums(word_hash: Column) -> list[Column]:
 
 
 def majority(count: Column) -> Column:
-    """SimHash: the bits that more than half of ``count`` hashes have, from the sums."""
+    """SimHash: the bits that more than half of ``count`` hashes have, from the sums.
+
+    A counter is above half of the count if adding 2^15 - 1 - half carries into its top bit; three
+    counters of a sum are tested at once, the fourth, which has the sign bit, alone.
+    """
+    half = F.floor(count / 2).cast("bigint")
+    low = F.lit(sum(1 << LANES * at for at in range(3))).cast("bigint")
     total = F.lit(0).cast("bigint")
-    for bit in range(64):
-        at, i = divmod(bit, LANES)
-        seen = F.shiftrightunsigned(F.col(f"s{i}"), LANES * at).bitwiseAND(F.lit((1 << LANES) - 1).cast("bigint"))
-        mark = (1 << bit) - ((bit == 63) << 64)
-        total = total.bitwiseOR(F.when(seen * 2 > count, F.lit(mark).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    for i in range(LANES):
+        counters = F.col(f"s{i}").bitwiseAND(F.lit((1 << 48) - 1).cast("bigint")) + low * (F.lit((1 << 15) - 1).cast("bigint") - half)
+        bits = F.shiftleft(F.shiftrightunsigned(counters, LANES - 1).bitwiseAND(low), i)
+        mark = (1 << (48 + i)) - ((i == LANES - 1) << 64)
+        top = F.when(F.shiftrightunsigned(f"s{i}", 48) > half, F.lit(mark).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        total = total.bitwiseOR(bits).bitwiseOR(top)
     return total
 
 
@@ -77,22 +82,24 @@ def _words(line: str) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
 
 
-def _lines(rows: DataFrame, rule: LineRules, long: bool | None = None) -> DataFrame:
-    """(o, h, at, words) of every line with enough words; with ``long`` only of lines so long, or not."""
+def _lines(rows: DataFrame, rule: LineRules, long: bool) -> DataFrame:
+    """(o, h, at, words) of every line that is so long, or not, and may have enough words.
+
+    Words are counted later: a filter on them would cut the line once more.
+    """
     lines = rows.select("o", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    if long is not None:
-        lines = lines.where((F.length("line") > LONG) == F.lit(long))
-    cut = lines.select("o", "h", "at", _words("line").alias("words"))
-    return cut.where(F.size("words") >= rule.min_words)
+    size = F.length("line")
+    lines = lines.where(size > LONG if long else (size <= LONG) & (size >= 2 * rule.min_words - 1))
+    return lines.select("o", "h", "at", _words("line").alias("words"))
 
 
 def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
     """(o, h, at, f, g, sim): occurrence, key and SimHash of every line; rows that repeat are one."""
     keys = ["o", "h", "at", "f", "g"]
-    words = _marked(_lines(rows, rule, long=False)).select(*keys, F.explode("words").alias("word"))
-    sums = words.groupBy(*keys).agg(*bit_sums(F.xxhash64("word")), F.count(F.lit(1)).alias("n"))
-    short = sums.select(*keys, majority(F.col("n")).alias("sim"))
-    whole = _marked(_lines(rows, rule, long=True))
+    words = _marked(_lines(rows, rule, long=False)).select(*keys, F.size("words").alias("n"), F.explode("words").alias("word"))
+    sums = words.groupBy(*keys, "n").agg(*bit_sums(F.xxhash64("word")), F.count(F.lit(1)).alias("counted"))
+    short = sums.where(F.col("n") >= rule.min_words).select(*keys, majority(F.col("counted")).alias("sim"))
+    whole = _marked(_lines(rows, rule, long=True)).where(F.size("words") >= rule.min_words)
     whole = whole.select(*keys, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
     return short.unionByName(whole.select(*keys, long_simhash(F.col("hs"), F.col("n")).alias("sim")).distinct())
 
@@ -103,21 +110,6 @@ def _marked(lines: DataFrame) -> DataFrame:
     return marked.select("o", "h", "at", "words", F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"))
 
 
-def word_codes(words: Column) -> Column:
-    """A text with one character for each word, so that edits of characters are edits of words.
-
-    A word's character is one of the 2^20 beyond the basic plane, by its hash.
-    """
-
-    def pair(word: Column) -> Column:
-        code = F.xxhash64(word).bitwiseAND(F.lit((1 << 20) - 1).cast("bigint"))
-        high = F.lit(0xD800).cast("bigint") + F.shiftrightunsigned(code, 10)
-        low = F.lit(0xDC00).cast("bigint") + code.bitwiseAND(F.lit(1023).cast("bigint"))
-        return F.hex(F.shiftleft(high, 16) + low)
-
-    return F.decode(F.unhex(F.array_join(F.transform(words, pair), "")), "UTF-16BE")
-
-
 def _bitmap(frame: DataFrame, column: str) -> DataFrame:
     """(slot, mask): a bitmap of hashes, of 2^17 rows at most whatever the number of hashes."""
     return frame.groupBy(F.shiftrightunsigned(column, 64 - SLOT_BITS).alias("slot")).agg(
@@ -135,8 +127,8 @@ def _meet(frame: DataFrame, bitmap: DataFrame, column: str) -> DataFrame:
 
 def _similar(pairs: DataFrame, texts: DataFrame, rule: LineRules) -> DataFrame:
     """(a, b, same) for pairs of line hashes, with the nodes' full keys."""
-    left = texts.select(F.col("f").alias("x"), F.struct("f", "g").alias("a"), F.col("codes").alias("s"))
-    right = texts.select(F.col("f").alias("y"), F.struct("f", "g").alias("b"), F.col("codes").alias("t"))
+    left = texts.select(F.col("f").alias("x"), F.struct("f", "g").alias("a"), F.col("norm").alias("s"))
+    right = texts.select(F.col("f").alias("y"), F.struct("f", "g").alias("b"), F.col("norm").alias("t"))
     joined = pairs.join(left, "x").join(right, "y")
     longest = F.greatest(F.length("s"), F.length("t"))
     near = F.least(F.length("s"), F.length("t")) >= rule.similarity * longest
@@ -160,21 +152,15 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
         F.lit(n << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block[i], BLOCK_BITS) + block[j]
         for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
     ]
-    keyed = distinct.select(F.col("f").alias("x"), F.col("sim").alias("xs"), F.explode(F.array(*keys)).alias("key"))
+    keyed = distinct.select(F.col("f").alias("x"), F.explode(F.array(*keys)).alias("key"))
     same_key = Window.partitionBy("key")
-    met = keyed.withColumn("lead", F.min(F.struct("x", "xs")).over(same_key)).withColumn("last", F.max("x").over(same_key))
-    met = met.where("lead.x <> last").select("key", "x", "xs", F.col("lead.x").alias("lead"), F.col("lead.xs").alias("ls"))
-    met = staged(met, "met")
+    met = keyed.withColumn("lead", F.min("x").over(same_key)).withColumn("last", F.max("x").over(same_key))
+    met = staged(met.where("lead <> last").drop("last"), "met")
 
-    # Each line with the first of its key, and lines whose SimHash differs too much from that one's
-    # with the others of their key.
-    alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= rule.bits
+    # Each line with the first of its key.
     ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
-    others = met.where("x <> lead").select("key", F.col("x").alias("y"), F.col("xs").alias("ys"))
-    to_lead = met.where((F.col("x") != F.col("lead")) & alike("xs", "ls")).select("x", F.col("lead").alias("y"))
-    far = met.where((F.col("x") != F.col("lead")) & ~alike("xs", "ls")).select("key", "x", "xs")
-    among = far.join(others, "key").where((F.col("x") != F.col("y")) & alike("xs", "ys"))
-    pairs = staged(to_lead.select(*ordered).unionAll(among.select(*ordered)).distinct(), "pairs")
+    led = met.where("x <> lead")
+    pairs = staged(led.select("x", F.col("lead").alias("y")).select(*ordered).distinct(), "pairs")
 
     # Words of the lines to compare: their first occurrences, found by a bitmap and then exactly.
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("f")).distinct()
@@ -182,17 +168,17 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
     spots = distinct.join(wanted, "f", "left_semi").select("f", "g", "first.*").withColumn("spot", spot)
     here = rows.select("o", "h", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("spot", spot)
     maybe = _meet(here, _bitmap(spots, "spot"), "spot").where("maybe").select("o", "h", "at", "line")
-    coded = maybe.select("o", "h", "at", word_codes(_words("line")).alias("codes"))
-    texts = coded.join(spots.drop("spot"), ["o", "h", "at"]).select("f", "g", "codes").dropDuplicates(["f", "g"])
+    normal = maybe.select("o", "h", "at", F.array_join(_words("line"), " ").alias("norm"))
+    texts = normal.join(spots.drop("spot"), ["o", "h", "at"]).select("f", "g", "norm").dropDuplicates(["f", "g"])
     texts = staged(texts, "texts")
 
-    # Then lines that differ from the first of their key after all, with the others of the key.
+    # Then lines that differ from the first of their key, with the others of the key.
     compared = staged(_similar(pairs, texts, rule), "compared")
-    apart = compared.where(~F.col("same")).select("x", "y").distinct()
-    lead = [F.least("x", "lead").alias("p"), F.greatest("x", "lead").alias("q")]
-    led = met.where((F.col("x") != F.col("lead")) & alike("xs", "ls")).select("key", "x", "xs", *lead)
-    rest = led.join(apart.toDF("p", "q"), ["p", "q"]).select("key", "x", "xs")
-    crossed = rest.join(others, "key").where((F.col("x") != F.col("y")) & alike("xs", "ys")).select(*ordered).distinct()
+    apart = compared.where(~F.col("same")).select(F.col("x").alias("p"), F.col("y").alias("q")).distinct()
+    first = [F.least("x", "lead").alias("p"), F.greatest("x", "lead").alias("q")]
+    rest = led.select("key", "x", *first).join(apart, ["p", "q"]).select("key", "x")
+    others = led.select("key", F.col("x").alias("y"))
+    crossed = rest.join(others, "key").where("x <> y").select(*ordered).distinct()
     more = _similar(crossed.join(pairs, ["x", "y"], "left_anti"), texts, rule)
     links = compared.where("same").select("a", "b").unionAll(more.where("same").select("a", "b"))
     groups = connected(links).select("node.f", "node.g", F.col("component").alias("group"))

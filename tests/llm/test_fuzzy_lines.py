@@ -16,7 +16,7 @@ WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
 BIG = (1 << 63) - 1
 
 
-def edits(a: list[str], b: list[str]) -> int:
+def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -59,9 +59,9 @@ def brute(spark, rows, similarity=0.8, min_words=5):
     for i in range(len(names)):
         for j in range(i):
             agree = sum((sims[i] >> BLOCK_BITS * k & mask) == (sims[j] >> BLOCK_BITS * k & mask) for k in range(BLOCKS))
-            if agree >= 2 and (sims[i] ^ sims[j]).bit_count() <= 10:
-                a, b = names[i].split(" "), names[j].split(" ")
-                if edits(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9):
+            if agree >= 2:
+                longest = max(len(names[i]), len(names[j]))
+                if edits(names[i], names[j]) <= int((1 - similarity) * longest + 1e-9):
                     up[find(i)] = find(j)
     groups: dict[int, list] = {}
     for n, name in enumerate(names):
