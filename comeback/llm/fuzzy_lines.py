@@ -94,8 +94,8 @@ def _lines(rows: DataFrame, rule: LineRules, long: bool) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
-    """(o, h, at, f, g, sim): occurrence, key and SimHash of every line; rows that repeat are one."""
-    keys = ["o", "h", "at", "f", "g"]
+    """(o, h, at, f, g, size, sim): occurrence, key and SimHash of every line; rows that repeat are one."""
+    keys = ["o", "h", "at", "f", "g", "size"]
     words = _marked(_lines(rows, rule, long=False)).select(*keys, F.size("words").alias("n"), F.explode("words").alias("word"))
     sums = words.groupBy(*keys, "n").agg(*bit_sums(F.xxhash64("word")), F.count(F.lit(1)).alias("counted"))
     short = sums.where(F.col("n") >= rule.min_words).select(*keys, majority(F.col("counted")).alias("sim"))
@@ -105,9 +105,10 @@ def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
 
 
 def _marked(lines: DataFrame) -> DataFrame:
-    """Lines with the key of their words: two hashes."""
+    """Lines with the key of their words, two hashes, and their length."""
     marked = lines.select("o", "h", "at", "words", F.array_join("words", " ").alias("norm"))
-    return marked.select("o", "h", "at", "words", F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"))
+    key = [F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"), F.length("norm").alias("size")]
+    return marked.select("o", "h", "at", "words", *key)
 
 
 def _bitmap(frame: DataFrame, column: str) -> DataFrame:
@@ -143,7 +144,7 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
     similar ones, the occurrence that stays (f, g, keep)."""
     lines = staged(_hashed(rows, rule), "lines")
     distinct = lines.groupBy("f", "g").agg(
-        F.min(F.struct("o", "h", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim")
+        F.min(F.struct("o", "h", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim"), F.first("size").alias("size")
     )
     distinct = staged(distinct, "distinct-lines")
 
@@ -152,15 +153,21 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
         F.lit(n << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block[i], BLOCK_BITS) + block[j]
         for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
     ]
-    keyed = distinct.select(F.col("f").alias("x"), F.explode(F.array(*keys)).alias("key"))
+    keyed = distinct.select(F.col("f").alias("x"), F.col("size").alias("xn"), F.explode(F.array(*keys)).alias("key"))
     same_key = Window.partitionBy("key")
-    met = keyed.withColumn("lead", F.min("x").over(same_key)).withColumn("last", F.max("x").over(same_key))
-    met = staged(met.where("lead <> last").drop("last"), "met")
+    met = keyed.withColumn("lead", F.min(F.struct("x", "xn")).over(same_key)).withColumn("last", F.max("x").over(same_key))
+    met = met.where("lead.x <> last").select("key", "x", "xn", F.col("lead.x").alias("lead"), F.col("lead.xn").alias("ln"))
+    met = staged(met, "met")
 
-    # Each line with the first of its key.
+    # Each line with the first of its key; lines of too different a length can't be similar.
+    may = lambda a, b: F.least(a, b) >= rule.similarity * F.greatest(a, b)
     ordered = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     led = met.where("x <> lead")
-    pairs = staged(led.select("x", F.col("lead").alias("y")).select(*ordered).distinct(), "pairs")
+    others = led.select("key", F.col("x").alias("y"), F.col("xn").alias("yn"))
+    to_lead = led.where(may("xn", "ln")).select("x", F.col("lead").alias("y"))
+    far = led.where(~may("xn", "ln")).select("key", "x", "xn")
+    among = far.join(others, "key").where((F.col("x") != F.col("y")) & may("xn", "yn"))
+    pairs = staged(to_lead.select(*ordered).unionAll(among.select(*ordered)).distinct(), "pairs")
 
     # Words of the lines to compare: their first occurrences, found by a bitmap and then exactly.
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("f")).distinct()
@@ -172,13 +179,12 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
     texts = normal.join(spots.drop("spot"), ["o", "h", "at"]).select("f", "g", "norm").dropDuplicates(["f", "g"])
     texts = staged(texts, "texts")
 
-    # Then lines that differ from the first of their key, with the others of the key.
+    # Then lines that differ from the first of their key after all, with the others of the key.
     compared = staged(_similar(pairs, texts, rule), "compared")
     apart = compared.where(~F.col("same")).select(F.col("x").alias("p"), F.col("y").alias("q")).distinct()
     first = [F.least("x", "lead").alias("p"), F.greatest("x", "lead").alias("q")]
-    rest = led.select("key", "x", *first).join(apart, ["p", "q"]).select("key", "x")
-    others = led.select("key", F.col("x").alias("y"))
-    crossed = rest.join(others, "key").where("x <> y").select(*ordered).distinct()
+    rest = led.where(may("xn", "ln")).select("key", "x", "xn", *first).join(apart, ["p", "q"]).select("key", "x", "xn")
+    crossed = rest.join(others, "key").where((F.col("x") != F.col("y")) & may("xn", "yn")).select(*ordered).distinct()
     more = _similar(crossed.join(pairs, ["x", "y"], "left_anti"), texts, rule)
     links = compared.where("same").select("a", "b").unionAll(more.where("same").select("a", "b"))
     groups = connected(links).select("node.f", "node.g", F.col("component").alias("group"))
