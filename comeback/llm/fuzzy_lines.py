@@ -1,7 +1,8 @@
 """Line dedup: equal and similar lines keep one occurrence, DataFrame operations only.
 
 Lines are normalised to their words. SimHashes of distinct lines are cut into four blocks, and
-lines that agree in two blocks are compared by edit similarity; lines linked this way, directly
+lines that agree in two blocks, or share two of the smallest hashes of two words in a row, are
+compared by edit similarity; lines linked this way, directly
 or through others, form a group, and only the group's first occurrence stays.
 """
 
@@ -27,10 +28,19 @@ LONG = 65_000
 
 @dataclass(frozen=True)
 class LineRules:
-    """``similarity``: 1 - edits / characters of the longer line. ``min_words``: shorter lines stay."""
+    """``similarity``: 1 - edits / characters of the longer line. ``min_words``: shorter lines stay.
+
+    ``sketch``: lines are also compared if they share two of so many smallest hashes of two words in
+    a row; 0: only if two SimHash blocks are equal, which finds few lines at the similarity limit.
+    """
 
     similarity: float = 0.8
     min_words: int = 5
+    sketch: int = 0
+
+
+#: What ``op8_fuzzy_lines`` and the pipeline use.
+WHOLE = LineRules(sketch=8)
 
 
 def bit_sums(word_hash: Column) -> list[Column]:
@@ -93,21 +103,35 @@ def _lines(rows: DataFrame, rule: LineRules, long: bool) -> DataFrame:
     return lines.select("o", "h", "at", _words("line").alias("words"))
 
 
+def _sketch(words: str, most: int) -> Column:
+    """The smallest hashes of two words in a row, ``most`` at most."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    hashes = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, most)
+
+
+def _sketch_keys(sketch: str, most: int) -> Column:
+    """A key for every two hashes of a sketch."""
+    return F.flatten(F.transform(sketch, lambda a, i: F.transform(F.slice(sketch, i + 2, F.lit(most)), lambda b: F.xxhash64(a, b))))
+
+
 def _hashed(rows: DataFrame, rule: LineRules) -> DataFrame:
-    """(o, h, at, f, g, size, sim): occurrence, key and SimHash of every line; rows that repeat are one."""
-    keys = ["o", "h", "at", "f", "g", "size"]
-    words = _marked(_lines(rows, rule, long=False)).select(*keys, F.size("words").alias("n"), F.explode("words").alias("word"))
+    """(o, h, at, f, g, size[, sketch], sim): occurrence, key and SimHash of every line; rows that repeat are one."""
+    keys = ["o", "h", "at", "f", "g", "size", *(["sketch"] if rule.sketch else [])]
+    words = _marked(_lines(rows, rule, long=False), rule).select(*keys, F.size("words").alias("n"), F.explode("words").alias("word"))
     sums = words.groupBy(*keys, "n").agg(*bit_sums(F.xxhash64("word")), F.count(F.lit(1)).alias("counted"))
     short = sums.where(F.col("n") >= rule.min_words).select(*keys, majority(F.col("counted")).alias("sim"))
-    whole = _marked(_lines(rows, rule, long=True)).where(F.size("words") >= rule.min_words)
+    whole = _marked(_lines(rows, rule, long=True), rule).where(F.size("words") >= rule.min_words)
     whole = whole.select(*keys, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
     return short.unionByName(whole.select(*keys, long_simhash(F.col("hs"), F.col("n")).alias("sim")).distinct())
 
 
-def _marked(lines: DataFrame) -> DataFrame:
-    """Lines with the key of their words, two hashes, and their length."""
+def _marked(lines: DataFrame, rule: LineRules) -> DataFrame:
+    """Lines with the key of their words, two hashes, their length, and the sketch if there is one."""
     marked = lines.select("o", "h", "at", "words", F.array_join("words", " ").alias("norm"))
     key = [F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"), F.length("norm").alias("size")]
+    if rule.sketch:
+        key.append(_sketch("words", rule.sketch).alias("sketch"))
     return marked.select("o", "h", "at", "words", *key)
 
 
@@ -144,8 +168,9 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
     similar ones, the occurrence that stays (f, g, keep)."""
     lines = staged(_hashed(rows, rule), "lines")
     distinct = lines.groupBy("f", "g").agg(
-        F.min(F.struct("o", "h", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim"), F.first("size").alias("size")
-    )
+        F.min(F.struct("o", "h", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sim").alias("sim"), F.first("size").alias("size"),
+        *([F.first("sketch").alias("sketch")] if rule.sketch else []),
+    )
     distinct = staged(distinct, "distinct-lines")
 
     block = [F.shiftrightunsigned("sim", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("bigint")) for i in range(BLOCKS)]
@@ -153,7 +178,10 @@ def line_groups(rows: DataFrame, rule: LineRules) -> tuple[DataFrame, DataFrame]
         F.lit(n << 2 * BLOCK_BITS).cast("bigint") + F.shiftleft(block[i], BLOCK_BITS) + block[j]
         for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
     ]
-    keyed = distinct.select(F.col("f").alias("x"), F.col("size").alias("xn"), F.explode(F.array(*keys)).alias("key"))
+    every = F.array(*keys)
+    if rule.sketch:
+        every = F.concat(every, _sketch_keys("sketch", rule.sketch))
+    keyed = distinct.select(F.col("f").alias("x"), F.col("size").alias("xn"), F.explode(every).alias("key"))
     same_key = Window.partitionBy("key")
     met = keyed.withColumn("lead", F.min(F.struct("x", "xn")).over(same_key)).withColumn("last", F.max("x").over(same_key))
     met = met.where("lead.x <> last").select("key", "x", "xn", F.col("lead.x").alias("lead"), F.col("lead.xn").alias("ln"))

@@ -52,7 +52,7 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
-    kept = fuzzy_lines.without_repeated_lines(table(spark, folder, "documents"))
+    kept = fuzzy_lines.without_repeated_lines(table(spark, folder, "documents"), fuzzy_lines.WHOLE)
     return kept.select("doc_id", "lines_in", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
