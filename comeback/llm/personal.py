@@ -72,6 +72,12 @@ _DOT = r"(?:dot|punkt|point|punto)"
 SPELLED = re.compile(
     rf"(?<!\w)(?:plus[ -])?(?:{_WORD}|[0-9]+)(?:(?:[ ,-]{{1,2}}|[ -]{_DOT}[ -])(?:{_WORD}|[0-9]+)){{6,}}(?!\w)", re.I
 )
+# Three dots, spoken, in brackets or plain, between groups of one to three digits, spelled or not.
+_GROUP = rf"(?:[0-9]{{1,3}}(?![0-9])|{_WORD}(?:[ -](?:{_WORD}|[0-9](?![0-9]))){{0,2}}(?![ -](?:{_WORD}|[0-9]+)(?!\w)))"
+_GROUP_DOT = rf"(?:[ -]{_DOT}[ -]|[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?|\.)"
+SPELLED_ADDRESS = re.compile(rf"(?<![\w.]){_GROUP}(?:{_GROUP_DOT}{_GROUP}){{3}}(?!\w)", re.I)
+GROUP_DOT = re.compile(_GROUP_DOT, re.I)
+A_GROUP_DOT = re.compile(rf"(?:[ -]{_DOT}[ -]|[\])}}>.][ ]?)(?:{_WORD}|[0-9])", re.I)
 SPELLED_PART = re.compile(rf"(plus)|({_DOT})|({_WORD})(?!\w)|([0-9]+)|[ ,-]+", re.I)
 A_DIGIT_WORD = re.compile(rf"(?<!\w){_WORD}[ ,-]{{1,2}}(?:{_DOT}[ -])?(?:{_WORD}|[0-9])", re.I)
 BRACKET_AT = re.compile(r"[ ]?[\[({<][ ]?(?:at|@|arroba|ät)[ ]?[\])}>][ ]?", re.I)
@@ -84,6 +90,7 @@ SPOKEN = re.compile(
     re.I,
 )
 A_DOT = re.compile(rf"{_DOTS}[A-Za-z]", re.I)
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-]) @ (?=(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))")
 SPOKEN_PART = re.compile(rf"({_AT})|{_DOTS}", re.I)
 
 
@@ -125,14 +132,18 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _spelled(m: re.Match) -> str:
+def _spelled(stretch: str) -> str:
     out = []
-    for part in SPELLED_PART.finditer(m[0]):
+    for part in SPELLED_PART.finditer(stretch):
         plus, dot, word, digits = part.groups()
         out.append("+" if plus else "." if dot else _DIGIT[word.lower()] if word else digits or "")
     return "".join(out)
 
 
+def _address(m: re.Match) -> str:
+    return ".".join(_spelled(group) for group in GROUP_DOT.split(m[0]))
+
+
 def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]], set[int]]:
     """The text without disguises; (start, end, source start, source end) of each stretch that
     was replaced, in order; and the places in the source where a look-alike stood."""
@@ -146,7 +157,11 @@ def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]], set[int]
     if any(c in plain for c in INVISIBLE):
         edits += [(i, i + 1, "") for i, c in enumerate(plain) if c in INVISIBLE]
     if A_DIGIT_WORD.search(plain):
-        edits += [(m.start(), m.end(), _spelled(m)) for m in SPELLED.finditer(plain) if re.search(r"[^\W\d]", m[0])]
+        edits += [(m.start(), m.end(), _spelled(m[0])) for m in SPELLED.finditer(plain) if re.search(r"[^\W\d]", m[0])]
+    if A_GROUP_DOT.search(plain):
+        edits += [(m.start(), m.end(), _address(m)) for m in SPELLED_ADDRESS.finditer(plain) if re.search(r"[^\W\d]", m[0])]
+    if " @ " in plain:
+        edits += [(m.start(), m.end(), "@") for m in SPACED_AT.finditer(plain)]
     if any(b in plain for b in "[({<"):
         edits += [(m.start(), m.end(), "@") for m in BRACKET_AT.finditer(plain)]
         edits += [(m.start(), m.end(), ".") for m in BRACKET_DOT.finditer(plain)]
