@@ -18,12 +18,15 @@ from comeback.llm.common import staged
 from comeback.llm.components import connected
 
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
+#: Letters of scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each counts as a word.
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+PIECE = rf"[{UNSPACED}]|[a-z0-9\x{{80}}-\x{{10FFFF}}&&[^{UNSPACED}]]+"
 BLOCKS, BLOCK_BITS = 4, 16
 NO_ID = (1 << 63) - 1
 SLOT_BITS = 17
 LANES = 16
-#: Lines of more characters are hashed apart; those below have fewer than 2^15 words.
-LONG = 65_000
+#: Lines of more characters are hashed apart; those below have fewer than 2^15 words, letters of unspaced scripts included.
+LONG = 32_000
 
 
 @dataclass(frozen=True)
@@ -132,7 +135,8 @@ def _marked(lines: DataFrame, rule: LineRules) -> DataFrame:
     key = [F.xxhash64("norm").alias("f"), F.xxhash64("norm", F.lit(1)).alias("g"), F.length("norm").alias("size")]
     if rule.sketch:
         key.append(_sketch("words", rule.sketch).alias("sketch"))
-    return marked.select("o", "h", "at", "words", *key)
+    pieces = F.when(F.col("norm").rlike(f"[{UNSPACED}]"), F.regexp_extract_all("norm", F.lit(PIECE), F.lit(0))).otherwise(F.col("words"))
+    return marked.withColumn("words", pieces).select("o", "h", "at", "words", *key)
 
 
 def _bitmap(frame: DataFrame, column: str) -> DataFrame:
@@ -239,7 +243,8 @@ def without_repeated_lines(
     ``lines_in`` and ``lines_removed`` (which replace columns of these names).
 
     Occurrences are ordered by id (null last), text hash and line number. Lines with fewer than
-    ``min_words`` words stay. A null text stays null and has no lines, an empty one has one line;
+    ``min_words`` words stay, copies included; a letter of a script without spaces counts as a word,
+    and lines have 2 ``min_words`` - 1 characters at least. A null text stays null and has no lines, an empty one has one line;
     rows that repeat both id and text are treated as one document and come out alike. All other
     columns are carried along.
     """
