@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comeback.llm import decontaminate, fuzzy_lines, jaccard, licenses, personal, piece_table, quality, substrings, suffix_arrays, warc
+from comeback.llm import (
+    decontaminate,
+    fuzzy_lines,
+    jaccard,
+    licenses,
+    periodic,
+    personal,
+    piece_table,
+    quality,
+    substrings,
+    suffix_arrays,
+    warc,
+)
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
 MODEL = "piece_bpe_32k.model"
@@ -64,6 +78,24 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def planted_runs(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Every tenth document, by the CRC-32 of its id, repeats a stretch from some word to its end."""
+    key = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or key % 10:
+        return None
+    g = key // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    places = np.arange(n)
+    places[first:] = first + (places[first:] - first) % period
+    return places
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.collapse_runs(table(spark, folder, "documents"), source=planted_runs, texts=False)
+    return periodic.longest_run(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
