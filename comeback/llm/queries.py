@@ -6,13 +6,14 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comeback.llm import (
     decontaminate,
     fuzzy_lines,
     jaccard,
+    languages,
     licenses,
     periodic,
     personal,
@@ -21,6 +22,7 @@ from comeback.llm import (
     substrings,
     suffix_arrays,
     warc,
+    whitening,
 )
 
 #: Tokenizer model used by the queries, one of the public vocabulary files of the machine.
@@ -78,6 +80,22 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, by the CRC-32 of their id, is held out; those without an id teach nothing."""
+    docs = table(spark, folder, "documents")
+
+    def part(ids: Column) -> Column:
+        return F.crc32(ids.cast("string").cast("binary")) % 4
+
+    model = languages.fit_languages(docs.where(part(F.col("doc_id")) != 2))
+    found = languages.label_languages(docs, model, spans=False)
+    return found.withColumn("held_out", F.coalesce(part(F.col("doc_id")) == 2, F.lit(False)))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, folder, "embeddings")))
+
+
 def planted_runs(doc_id: int | None, n: int) -> np.ndarray | None:
     """Every tenth document, by the CRC-32 of its id, repeats a stretch from some word to its end."""
     key = zlib.crc32(str(doc_id).encode())
@@ -107,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_language_id": op11_language_id,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
 }
 WARC_SQL = """
