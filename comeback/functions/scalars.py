@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,22 @@ def order_key(identifier: Column, seed: int = 0) -> Column:
     """
     digest = F.md5(F.concat_ws(":", identifier.cast("string"), F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def passed_limits(limits: Column, value: Column, most: int, equal: bool = True) -> Column:
+    """How many of the ascending ``limits``, ``most`` at most, lie below the value (or at it, if ``equal``).
+
+    Found by halving: one comparison for each bit of ``most``. A null value has passed none.
+    """
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(most, 1).bit_length()))])
+
+    def advance(at: Column, step: Column) -> Column:
+        limit = F.get(limits, at + step - 1)
+        return F.when(limit <= value if equal else limit < value, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), advance)
+
+
+def doubles(values: Collection[float]) -> Column:
+    """A constant array; as text, since thousands of single literals take seconds to make."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})" if values else "cast(array() as array<double>)")

@@ -21,12 +21,14 @@ SWEEP = tuple(float(t) for t in np.linspace(0.1, 0.9, 17))
 SELECTED_THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6)
 
 
-def _cumulative(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+def _cumulative(scored: DataFrame, by: Sequence[str], rows: str | None = None) -> DataFrame:
     """Per distinct score: positives and negatives, their totals from the top and overall."""
     positive = F.col("label") == 1
-    counts = scored.groupBy(*by, "probability").agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
-    )
+
+    def total(test: Column) -> Column:
+        return F.count_if(test) if rows is None else F.sum(F.when(test, F.col(rows)).otherwise(0))
+
+    counts = scored.groupBy(*by, "probability").agg(total(positive).alias("pos"), total(~positive).alias("neg"))
     totals = counts.groupBy(*by).agg(
         F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.max("probability").alias("top")
     )
@@ -51,15 +53,15 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.unionByName(start.withColumns({"fpr": F.lit(0.0), "tpr": F.lit(0.0)}))
 
 
-def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
     """Area under the ROC curve; rows with equal scores count half.
 
-    Null when a class is missing.
+    Null when a class is missing. ``rows`` names a column that says how many rows a row stands for.
     """
     area = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2)
     pairs = F.col("all_pos") * F.col("all_neg")
     total = F.sum(area) / F.when(F.max(pairs) > 0, F.max(pairs))
-    return _cumulative(scored, by).groupBy(*by).agg(total.alias("auc"))
+    return _cumulative(scored, by, rows).groupBy(*by).agg(total.alias("auc"))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

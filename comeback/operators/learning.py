@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -12,7 +11,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
-    LogisticRegression,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -26,8 +24,10 @@ from comeback.functions.buckets import RISK_LABELS, risk_level
 from comeback.functions.scalars import order_key, round_half_even
 from comeback.operators.evaluation import precision_recall_f1, roc_auc
 from comeback.operators.features import EARLY_COLUMNS, FIRST_WEEK_COLUMNS, matrix_columns
+from comeback.operators.logistic import SOLVER, Logistic, fit_newton
 from comeback.operators.ordered import running_totals, shuffled_rank
 from comeback.operators.sampling import cross_validation_folds, train_test_split
+from comeback.operators.trees import model_nodes, tree_votes
 
 ID = "person_id"
 ROWS_PER_PARTITION = 100_000
@@ -56,6 +56,9 @@ LIFETIME_COLUMNS = (
 # Names of the compared models and their sizes.
 LOGISTIC, FOREST, BOOSTING = "Logistic Regression", "Random Forest", "Gradient Boosting"
 FOREST_TREES, UPGRADE_TREES, BOOSTING_ROUNDS = 200, 100, 150
+NEWTON_STEPS = 12
+#: How each compared model is fitted.
+SOLVERS = {LOGISTIC: f"{SOLVER}, {NEWTON_STEPS} steps", FOREST: "trees by level", BOOSTING: "trees by level"}
 
 
 def full_columns(mart: DataFrame) -> list[str]:
@@ -138,35 +141,13 @@ def fit_classifier(train: DataFrame, columns: Sequence[str], estimator: Estimato
         ready.unpersist()
 
 
-def vote_share(model: RandomForestClassificationModel) -> Column:
-    """Share of one-level trees voting for class 1, as a projection over ``features``."""
-    votes: Counter[tuple[int, float, float, float]] = Counter()
-    always = 0
-    for tree in model.trees:
-        root = tree._call_java("rootNode")
-        if tree.depth == 0:
-            always += int(root.prediction() == 1.0)
-        elif tree.depth == 1:
-            split = root.split()
-            sides = root.leftChild().prediction(), root.rightChild().prediction()
-            votes[(split.featureIndex(), split.threshold(), *sides)] += 1
-        else:
-            raise ValueError("only one-level trees can vote in a projection")
-    values = vector_to_array("features")
-    terms = [
-        F.when(values[feature] <= limit, low * count).otherwise(high * count)
-        for (feature, limit, low, high), count in sorted(votes.items())
-    ]
-    return reduce(lambda a, b: a + b, terms, F.lit(float(always))) / len(model.trees)
-
-
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """Add ``probability`` of class 1 and ``prediction``; stump forests vote, a tie is class 0."""
+    """Add ``probability`` of class 1 and ``prediction``; forests vote, a tie is class 0."""
     classifier = model.stages[-1]
     scored = PipelineModel(model.stages[:-1]).transform(frame)
-    if isinstance(classifier, RandomForestClassificationModel) and classifier.getOrDefault("maxDepth") == 1:
-        scored = scored.withColumn("probability", vote_share(classifier))
-        scored = scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    if isinstance(classifier, RandomForestClassificationModel):
+        nodes = model_nodes(frame.sparkSession, classifier)
+        scored = tree_votes(scored, vector_to_array("features"), nodes, classifier.getOrDefault("maxDepth"))
     else:
         scored = classifier.transform(scored).withColumns(
             {"probability": vector_to_array("probability")[1], "prediction": F.col("prediction").cast("int")}
@@ -175,20 +156,45 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 def fit_and_score(
-    mart: DataFrame, columns: Sequence[str], label: str, estimator: Estimator, settings: Settings
-) -> tuple[PipelineModel, DataFrame]:
-    """Train on the stratified training split; return the model and the scored test split."""
+    mart: DataFrame, columns: Sequence[str], label: str, estimator: Estimator | None, settings: Settings
+) -> tuple[PipelineModel | NewtonModel, DataFrame]:
+    """Train on the stratified training split; return the model and the scored test split.
+
+    Without an estimator the model is logistic, by Newton steps."""
     split = train_test_split(feature_matrix(mart, columns, label), settings, "label")
-    model = fit_classifier(split.filter("split = 'train'"), columns, estimator)
-    tested = score(model, split.filter("split = 'test'"))
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    model = fit_logistic(train, columns) if estimator is None else fit_classifier(train, columns, estimator)
+    tested = model.score(test) if estimator is None else score(model, test)
     return model, tested.select(ID, "label", "probability", "prediction", "split")
 
 
-def comparison_models(settings: Settings, train_rows: float) -> dict[str, Estimator]:
-    """The three compared classifiers; the logistic penalty is half the squared weights, unit strength."""
-    penalty = 1.0 / max(train_rows, 1.0)
+@dataclass(frozen=True)
+class NewtonModel:
+    """A scaler of the training rows and the logistic model on its columns."""
+
+    scaler: Scaler
+    fitted: Logistic
+
+    def score(self, frame: DataFrame) -> DataFrame:
+        scaled = frame.select("*", *[z.alias(f"_z{i}") for i, z in enumerate(self.scaler.scaled())])
+        return self.fitted.score(scaled).select(*frame.columns, "probability", "prediction")
+
+
+def fit_logistic(train: DataFrame, columns: Sequence[str], steps: int = NEWTON_STEPS, penalty: float = 1.0) -> NewtonModel:
+    """Scale on the training rows only, then a fixed number of Newton steps."""
+    scaler = Scaler.fit(train, columns)
+    names = [f"_z{i}" for i in range(len(columns))]
+    ready = train.select("label", *[z.alias(n) for n, z in zip(names, scaler.scaled(), strict=True)]).persist()
+    try:
+        return NewtonModel(scaler, fit_newton(ready, names, steps, penalty))
+    finally:
+        ready.unpersist()
+
+
+def comparison_models(settings: Settings) -> dict[str, Estimator | None]:
+    """The three compared classifiers; None is ``fit_logistic``, all others are fitted by Spark ML."""
     return {
-        LOGISTIC: LogisticRegression(maxIter=1000, regParam=penalty, standardization=False),
+        LOGISTIC: None,
         FOREST: forest(FOREST_TREES, settings.forest_depth, settings.seed, settings.tree_bins),
         BOOSTING: GBTClassifier(
             maxIter=BOOSTING_ROUNDS, maxDepth=settings.boosting_depth, maxBins=settings.tree_bins, seed=settings.seed
@@ -254,7 +260,7 @@ def permutation_importance(
 ) -> DataFrame:
     """AUC lost when one feature is exchanged between rows, for all features in one scoring pass.
 
-    ``stage`` stores the exchanged rows' scores, which the AUC reads several times.
+    ``stage`` stores how many rows of each label have which score, which the AUC reads several times.
 
     Rows get two independent hash orders; the row at position i of one takes its values from
     the row at position i of the other. Each row then appears once per feature with only that
@@ -275,8 +281,14 @@ def permutation_importance(
             *[F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(c)).alias(c) for c in columns],
         )
     )
-    scored = stage("permuted", score(model, exchanged).select("feature", "label", "probability"))
-    areas = roc_auc(scored, ["feature"])
+    scored = score(model, exchanged).groupBy("feature", "probability", "label").agg(F.count(F.lit(1)).alias("rows"))
+    return auc_losses(stage("permuted", scored))
+
+
+def auc_losses(scored: DataFrame) -> DataFrame:
+    """AUC lost per feature from counts of (feature, probability, label), those of feature '' being the
+    scores with nothing exchanged."""
+    areas = roc_auc(scored, ["feature"], "rows")
     original = areas.filter("feature = ''").select(F.col("auc").alias("base_auc"))
     lost = areas.filter("feature <> ''").crossJoin(F.broadcast(original))
     return lost.select(
@@ -284,24 +296,33 @@ def permutation_importance(
     ).orderBy(F.desc("auc_loss"), "feature")
 
 
-def best_stump(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+def best_stump(matrix: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """The one-feature rule with the fewest errors over all features, thresholds and directions.
 
     Polarity 1 predicts 1 at or above the threshold, polarity -1 at or below it. Ties go to the
-    first feature, the lowest threshold, polarity 1.
+    first feature, the lowest threshold, polarity 1. With ``weight``, errors are sums of that column,
+    taken in whole billionths so that they are exact in any order (up to 9e9 in all); a null weighs
+    nothing, and rows that weigh nothing still offer their values as thresholds.
     """
     entries = [
         F.struct(F.lit(i).alias("feature_no"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("threshold"))
         for i, c in enumerate(columns)
     ]
     positive = F.col("label") == 1
+    unit = 1 if weight is None else 10**9
+    weighs = F.lit(1) if weight is None else F.coalesce((F.col(weight).cast("decimal(20,9)") * unit).cast("bigint"), F.lit(0))
+
+    def total(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("_weight")).otherwise(0))
+
+    rows = matrix.withColumn("_weight", weighs)
     counts = (
-        matrix.select("label", F.inline(F.array(*entries)))
+        rows.select("label", "_weight", F.inline(F.array(*entries)))
         .groupBy("feature_no", "feature", "threshold")
-        .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+        .agg(total(positive).alias("pos"), total(~positive).alias("neg"))
     )
     running = running_totals(counts, "threshold", ["pos", "neg"], ["feature_no", "feature"])
-    totals = matrix.agg(F.count_if(positive).alias("all_pos"), F.count_if(~positive).alias("all_neg"))
+    totals = rows.agg(total(positive).alias("all_pos"), total(~positive).alias("all_neg"))
     pos, neg = F.col("pos"), F.col("neg")
     above = (F.col("cum_pos") - pos) + (F.col("all_neg") - F.col("cum_neg") + neg)
     below = (F.col("all_pos") - F.col("cum_pos")) + F.col("cum_neg")
@@ -318,8 +339,9 @@ def best_stump(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
         ),
     )
     best = rules.orderBy("errors", "feature_no", "threshold", F.desc("polarity")).limit(1)
-    error = round_half_even(F.col("errors") / F.col("rows"), 6).alias("error")
-    return best.select("feature", "threshold", "polarity", "errors", error)
+    errors = F.col("errors") if weight is None else (F.col("errors") / unit).alias("errors")
+    error = round_half_even(F.when(F.col("rows") > 0, F.col("errors") / F.col("rows")).otherwise(0.0), 6).alias("error")
+    return best.select("feature", "threshold", "polarity", errors, error)
 
 
 def risk_scores(model: PipelineModel, mart: DataFrame, settings: Settings) -> DataFrame:

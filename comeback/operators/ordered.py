@@ -1,8 +1,8 @@
 """Order-dependent results that no single task has to hold: running totals, ranks, quantiles.
 
 A window without partition keys (or with a two-valued label as key) would sort everything in
-one task. Here rows are first cut into value ranges; the totals of earlier ranges are a
-bounded table that is broadcast, and windows only run inside one range.
+one task. Here rows are first cut into value ranges, as many as the data ask for; the totals of
+earlier ranges are a small table that is broadcast, and windows only run inside one range.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from comeback.functions.scalars import KEY_MODULUS
+from comeback.functions.scalars import KEY_MODULUS, passed_limits
 
 RANK_BUCKETS = 4096
+ROWS_PER_RANGE = 1_000_000
+RANGES_PER_BLOCK = 1024
 
 
 def value_bounds(frame: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
@@ -44,40 +46,66 @@ def value_bounds(frame: DataFrame, value: str, by: Sequence[str], buckets: int)
     return frame.sparkSession.createDataFrame(local, schema)
 
 
+def value_ranges(
+    frame: DataFrame, value: str, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+) -> tuple[DataFrame, int]:
+    """Add ``_range``, the number of the row's value range in its group, and say how many there are.
+
+    Ranges follow the size of the largest group, so one holds about ``rows_per_range`` distinct
+    values (four times as many at most, by the sketch's error) however many rows there are. A row's
+    range is found by halving. Up to ``rows_per_range`` rows there is one range and nothing is fetched
+    but the count.
+    """
+    by = list(by)
+    sizes = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()
+    ranges = math.ceil(((sizes and sizes[0]) or 0) / rows_per_range)
+    if ranges <= 1:
+        return frame.withColumn("_range", F.lit(0)), 1
+    limits = value_bounds(frame, value, by, ranges)
+    if by:
+        placed = frame.join(F.broadcast(limits), by, "left")
+    else:
+        placed = frame.crossJoin(F.broadcast(limits))
+    below = passed_limits(F.col("_limits"), F.col(value).cast("double"), ranges, equal=False)
+    return placed.withColumn("_range", below).drop("_limits"), ranges
+
+
 def running_totals(
     frame: DataFrame,
     value: str,
     measures: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = 256,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``cum_<measure>``: the total of each measure up to and including this value.
 
-    ``frame`` holds one row per (``by``, ``value``). ``by`` names report-sized groups.
+    ``frame`` holds one row per (``by``, ``value``). ``by`` names report-sized groups. Totals add
+    up on two levels: of earlier ranges (blocks of ranges first, then ranges inside a block), and of
+    earlier values inside a range.
     """
     by = list(by)
-    limits = value_bounds(frame, value, by, buckets)
-    if by:
-        placed = frame.join(F.broadcast(limits), by, "left")
-    else:
-        placed = frame.crossJoin(F.broadcast(limits))
-    below = F.filter("_limits", lambda limit: limit < F.col(value).cast("double"))
-    placed = placed.withColumn("_range", F.size(below)).drop("_limits")
+    placed, ranges = value_ranges(frame, value, by, rows_per_range)
 
     def direction(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    per_range = placed.groupBy(*by, "_range").agg(*[F.sum(m).alias(m) for m in measures])
-    earlier = Window.partitionBy(*by).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_range.select(
-        *by,
-        "_range",
-        *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
-    )
     inside = (
         Window.partitionBy(*by, "_range").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, 0)
     )
+    if ranges == 1:
+        return placed.select(*frame.columns, *[F.sum(m).over(inside).alias(f"cum_{m}") for m in measures])
+
+    def earlier(rows: DataFrame, key: str, within: Sequence[str]) -> DataFrame:
+        window = Window.partitionBy(*within).orderBy(direction(key)).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"_before_{m}": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures})
+
+    sums = [F.sum(m).alias(m) for m in measures]
+    per_range = placed.groupBy(*by, "_range").agg(*sums).withColumn("_block", F.floor(F.col("_range") / RANGES_PER_BLOCK))
+    blocks = earlier(per_range.groupBy(*by, "_block").agg(*sums), "_block", by)
+    blocks = blocks.select(*by, "_block", *[F.col(f"_before_{m}").alias(f"_blocks_{m}") for m in measures])
+    before = earlier(per_range, "_range", [*by, "_block"]).join(F.broadcast(blocks), [*by, "_block"])
+    before = before.select(*by, "_range", *[(F.col(f"_before_{m}") + F.col(f"_blocks_{m}")).alias(f"_before_{m}") for m in measures])
     totals = placed.join(F.broadcast(before), [*by, "_range"])
     return totals.select(
         *frame.columns,

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comeback.functions.scalars import percent, round_half_even
+from comeback.functions.scalars import order_key, percent, round_half_even
 from comeback.operators.learning import ID, Scaler, stable_layout
 from comeback.operators.rates import flagged
-from comeback.operators.trends import rows_from
 
-PARALLEL_FITS = 8
+#: Features are rounded to 1 / GRID, distances summed in 1 / MILLIONTHS.
+GRID, MILLIONTHS = 1e9, 1e6
+ELBOW = range(2, 9)
+AXIS_STEPS = 500
 
 # Clustered features, persona names from the highest mean score down, radar axes.
 CLUSTER_COLUMNS = (
@@ -52,56 +51,157 @@ def standardised(mart: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> D
     return filled.select(ID, *Scaler.fit(filled, columns).scaled())
 
 
-def vectors(scaled: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> DataFrame:
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
-    return stable_layout(assembled.select(ID, "features"), scaled.count())
+def on_grid(scaled: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS) -> DataFrame:
+    """Features rounded to billionths, so that sums over any rows in any order are exact."""
+    return scaled.select(ID, *[(F.rint(F.col(c) * GRID) / GRID).alias(c) for c in columns])
 
 
-def fit_all(points: DataFrame, runs: Sequence[tuple[int, int]], iterations: int) -> list[KMeansModel]:
-    """One model per (clusters, seed); a few fits share the cluster, as their jobs are short."""
+@dataclass(frozen=True)
+class Run:
+    """Centres a start has come to, and the sum of squared distances to them, in millionths."""
+
+    k: int
+    start: int
+    centres: tuple[tuple[float, ...], ...]
+    inertia: int = 0
+
+
+def first_centres(
+    points: DataFrame, ks: Sequence[int], starts: int, seed: int, columns: Sequence[str] = CLUSTER_COLUMNS
+) -> list[Run]:
+    """``starts`` runs for every k: a start's centres are the first k rows in a hash order of its own."""
+    most = max(ks)
+    heads = [
+        points.select(F.lit(start).alias("start"), order_key(F.col(ID), seed + start).alias("key"), ID, *columns)
+        .orderBy("key", ID)
+        .limit(most)
+        for start in range(starts)
+    ]
+    rows = reduce(DataFrame.unionAll, heads).orderBy("start", "key", ID).collect()
+    listed = {start: [tuple(float(r[c]) for c in columns) for r in rows if r["start"] == start] for start in range(starts)}
+    return [Run(k, start, tuple(listed[start][:k])) for k in ks for start in range(starts)]
+
+
+def advance(points: DataFrame, runs: Sequence[Run], columns: Sequence[str] = CLUSTER_COLUMNS) -> list[tuple[Run, Run]]:
+    """One scan for all runs: each with its inertia, and with its next centres.
 
-    def fit(run: tuple[int, int]) -> KMeansModel:
-        k, seed = run
-        return KMeans(k=k, initMode="random", maxIter=iterations, seed=seed).fit(points)
+    What is shuffled and fetched is a row per centre. An empty cluster keeps its centre; of equally near
+    centres the first one counts.
+    """
+    spark = points.sparkSession
+    held = [(i, [list(c) for c in run.centres]) for i, run in enumerate(runs)]
+    table = spark.createDataFrame([(held,)], "_runs array<struct<run:int,centres:array<array<double>>>>")
+    each = points.withColumn("_point", F.array(*columns)).crossJoin(F.broadcast(table))
+    each = each.select("_point", *columns, F.inline("_runs"))
+
+    def square(centre: Column) -> Column:
+        return F.aggregate(F.zip_with("_point", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+
+    each = each.withColumn("_far", F.transform("centres", square)).withColumn("_least", F.array_min("_far"))
+    cluster = (F.array_position("_far", F.col("_least")) - 1).cast("int").alias("cluster")
+    sums = each.groupBy("run", cluster).agg(
+        F.count(F.lit(1)).alias("_users"),
+        F.sum(F.rint(F.col("_least") * MILLIONTHS).cast("bigint")).alias("_inertia"),
+        *[F.sum(F.rint(F.col(c) * GRID).cast("bigint")).alias(c) for c in columns],
+    )
+    following = [[list(c) for c in run.centres] for run in runs]
+    inertia = [0] * len(runs)
+    for row in sums.collect():
+        following[row["run"]][row["cluster"]] = [float(row[c]) / row["_users"] / GRID for c in columns]
+        inertia[row["run"]] += row["_inertia"]
+    return [
+        (Run(run.k, run.start, run.centres, inertia[i]), Run(run.k, run.start, tuple(map(tuple, following[i]))))
+        for i, run in enumerate(runs)
+    ]
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(points.sparkSession)(fit), runs))
 
+def settled(old: Run, new: Run) -> bool:
+    """Whether no centre moved by more than a hundred-thousandth of its place."""
+    pairs = zip(old.centres, new.centres, strict=True)
+    return all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for x, y in pairs for a, b in zip(x, y, strict=True))
 
-def best_kmeans(points: DataFrame, k: int, seed: int, starts: int = 10, iterations: int = 300) -> KMeansModel:
-    """The model with the lowest inertia over several random starts; ``points`` should be persisted."""
-    models = fit_all(points, [(k, seed + start) for start in range(starts)], iterations)
-    return min(models, key=lambda model: model.summary.trainingCost)
 
+def batched_kmeans(points: DataFrame, runs: Sequence[Run], iterations: int = 300) -> list[Run]:
+    """All runs to their end, each step one scan for those still moving; ``points`` should be persisted."""
+    active, done = list(runs), []
+    for _ in range(iterations):
+        if not active:
+            break
+        stepped = advance(points, active)
+        done += [old for old, new in stepped if settled(old, new)]
+        active = [new for old, new in stepped if not settled(old, new)]
+    return done + [old for old, _ in (advance(points, active) if active else [])]
 
-def kmeans_elbow(
-    points: DataFrame, seed: int, ks: Sequence[int] = range(2, 9), starts: int = 3, iterations: int = 300
-) -> DataFrame:
-    """Lowest inertia over several starts for each number of clusters."""
-    runs = [(k, seed + start) for k in ks for start in range(starts)]
-    costs: dict[int, float] = {}
-    for (k, _), model in zip(runs, fit_all(points, runs, iterations)):
-        costs[k] = min(costs.get(k, math.inf), float(model.summary.trainingCost))
-    return points.sparkSession.createDataFrame(sorted(costs.items()), "k int, inertia double")
+
+def best_runs(runs: Sequence[Run]) -> dict[int, Run]:
+    """For every k the run with the lowest inertia, the first start on ties."""
+    best: dict[int, Run] = {}
+    for run in sorted(runs, key=lambda r: (r.k, r.inertia, r.start)):
+        best.setdefault(run.k, run)
+    return best
+
+
+def fit_clusters(mart: DataFrame, seed: int, ks: Sequence[int] = ELBOW, starts: int = 10) -> dict[int, Run]:
+    """The best of several starts for every number of clusters, all advanced together."""
+    points = stable_layout(on_grid(standardised(mart)), mart.count()).persist()
+    try:
+        return best_runs(batched_kmeans(points, first_centres(points, ks, starts, seed)))
+    finally:
+        points.unpersist()
+
+
+def elbow(spark: SparkSession, clusters: dict[int, Run]) -> DataFrame:
+    """Lowest inertia for each number of clusters."""
+    return spark.createDataFrame([(k, run.inertia / MILLIONTHS) for k, run in sorted(clusters.items())], "k int, inertia double")
+
+
+def principal_axes(
+    points: DataFrame, columns: Sequence[str] = CLUSTER_COLUMNS, axes: int = 2, steps: int = AXIS_STEPS
+) -> list[list[float]]:
+    """Directions of the largest variance: a one-pass covariance, then orthogonal iteration.
+
+    A fixed number of steps from fixed directions (all ones, then ones of alternating sign in growing
+    groups); each axis' entry of the largest size is positive. The driver gets the covariance.
+    """
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    found = points.agg(*[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
+    covariance = np.zeros((n, n))
+    for (i, j), value in zip(pairs, found, strict=True):
+        covariance[i, j] = covariance[j, i] = value or 0.0
+    base = [np.array([-1.0 if axis and i >> (axis - 1) & 1 else 1.0 for i in range(n)]) for axis in range(axes)]
+    for _ in range(steps):
+        made: list[np.ndarray] = []
+        for vector in base:
+            image = covariance @ vector
+            for other in made:
+                image = image - (other @ image) * other
+            size = math.sqrt(image @ image)
+            made.append(image / size if size > 1e-12 else vector)
+        base = made
+    return [[float(x) * (1 if v[np.argmax(np.abs(v))] >= 0 else -1) for x in v] for v in base]
 
 
 @dataclass(frozen=True)
 class Personas:
-    """Fitted clusters with their names and the projection to two components."""
+    """Fitted clusters with their names and two axes of projection."""
 
-    clusters: KMeansModel
-    components: PCAModel
+    centres: tuple[tuple[float, ...], ...]
+    axes: list[list[float]]
     names: dict[int, str]
 
     def assign(self, points: DataFrame) -> DataFrame:
-        projected = self.components.transform(self.clusters.transform(points))
-        axes = vector_to_array("projected")
-        return projected.select(
+        """Cluster, segment and both coordinates of points on the grid."""
+
+        def along(axis: Sequence[float]) -> Column:
+            return sum((F.col(c) * F.lit(a) for c, a in zip(CLUSTER_COLUMNS, axis, strict=True)), F.lit(0.0))
+
+        return nearest_centre(points, self.centres).select(
             ID,
             F.col("cluster"),
             name_of(F.col("cluster"), self.names).alias("segment"),
-            axes[0].alias("pca_x"),
-            axes[1].alias("pca_y"),
+            along(self.axes[0]).alias("pca_x"),
+            along(self.axes[1]).alias("pca_y"),
         )
 
 
@@ -110,22 +210,17 @@ def name_of(code: Column, names: dict[int, str]) -> Column:
     return F.element_at(F.create_map(*pairs), code)
 
 
-def fit_personas(mart: DataFrame, seed: int, starts: int = 10) -> Personas:
-    """Cluster all persons, name clusters by descending mean success score, project with PCA.
+def fit_personas(mart: DataFrame, clusters: Run) -> Personas:
+    """Name the clusters by descending mean success score, and find the axes to draw them along.
 
     The names do not depend on the cluster numbers, which differ between runs.
     """
-    points = vectors(standardised(mart)).persist()
-    try:
-        model = best_kmeans(points, len(PERSONAS), seed, starts).setPredictionCol("cluster")
-        placed = model.transform(points).select(ID, "cluster")
-        means = placed.join(mart.select(ID, "success_score"), ID).groupBy("cluster")
-        order = means.agg(F.avg("success_score").alias("m")).orderBy(F.desc("m"), "cluster").collect()
-        names = {row["cluster"]: name for row, name in zip(order, PERSONAS)}
-        components = PCA(k=2, inputCol="features", outputCol="projected").fit(points)
-    finally:
-        points.unpersist()
-    return Personas(model, components, names)
+    points = on_grid(standardised(mart))
+    placed = nearest_centre(points, clusters.centres).select(ID, "cluster")
+    means = placed.join(mart.select(ID, "success_score"), ID).groupBy("cluster")
+    order = means.agg(F.avg("success_score").alias("m")).orderBy(F.desc("m"), "cluster").collect()
+    names = {row["cluster"]: name for row, name in zip(order, PERSONAS)}
+    return Personas(clusters.centres, principal_axes(points), names)
 
 
 def segment_success(segmented: DataFrame) -> DataFrame:
@@ -206,17 +301,15 @@ def centre_segments(mart: DataFrame, steps: int = 2) -> DataFrame:
     return segmented.withColumn("segment", name_of(F.col("cluster"), names))
 
 
-def centre_elbow(mart: DataFrame, ks: Sequence[int] = range(2, 9), steps: int = 1) -> DataFrame:
-    """Sum of squared distances to the nearest centre for each number of clusters, in one pass."""
-    scaled = standardised(mart)
-    total = scaled
-    for k in ks:
-        nearest = nearest_centre(total, lloyd_centres(scaled, k, steps))
-        total = nearest.withColumnRenamed("_least", f"_k{k}").drop("cluster", "_distances")
-    sums = total.agg(*[F.sum(f"_k{k}").alias(f"_k{k}") for k in ks])
-    return rows_from(sums, "name", "inertia", [(str(k), F.col(f"_k{k}")) for k in ks]).select(
-        F.col("name").cast("int").alias("k"), "inertia"
-    )
+def centre_elbow(mart: DataFrame, ks: Sequence[int] = ELBOW, steps: int = 1) -> DataFrame:
+    """Sum of squared distances after a fixed number of steps from the seed centres, all k in one scan
+    per step."""
+    points = on_grid(standardised(mart))
+    seeds = seed_centres(points, max(ks))
+    runs = [Run(k, 0, tuple(map(tuple, seeds[:k]))) for k in ks]
+    for _ in range(steps):
+        runs = [new for _, new in advance(points, runs)]
+    return elbow(mart.sparkSession, {run.k: run for run, _ in advance(points, runs)})
 
 
 def lloyd_step(

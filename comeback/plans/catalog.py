@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from comeback.functions.scalars import round_half_even
 from comeback.operators import activity as act
 from comeback.operators import (
+    boosting,
     cleaning,
     cohorts,
     evaluation,
@@ -23,6 +24,8 @@ from comeback.operators import (
     rates,
     sampling,
     segments,
+    stumps,
+    trees,
     trends,
 )
 from comeback.operators.scoring import success_summary
@@ -294,6 +297,13 @@ def _lloyd(ws: Workspace) -> DataFrame:
     return _rounded(step, "inertia", *segments.CLUSTER_COLUMNS)
 
 
+def _weighted_stump(ws: Workspace) -> DataFrame:
+    """Persons with fewer events weigh more, every seventh nothing."""
+    matrix = learning.feature_matrix(ws.mart, features.EARLY_COLUMNS, "is_successful")
+    weight = F.when(F.col("person_id") % 7 == 0, 0.0).otherwise(1 / (F.col("d3_total_events") + 1))
+    return learning.best_stump(matrix.withColumn("weight", weight), features.EARLY_COLUMNS, "weight")
+
+
 def _stump(ws: Workspace) -> DataFrame:
     matrix = learning.feature_matrix(ws.mart, features.EARLY_COLUMNS, "is_successful")
     return learning.best_stump(matrix, features.EARLY_COLUMNS)
@@ -310,6 +320,7 @@ RELATIONAL.update(
         "cv_folds": on_workspace(_folds),
         "lloyd_step": on_workspace(_lloyd),
         "best_stump": on_workspace(_stump),
+        "best_stump_weighted": on_workspace(_weighted_stump),
         "roc_points": on_workspace(
             lambda ws: _rounded(evaluation.roc_points(_scored_by_ratio(ws)), "threshold", "fpr", "tpr")
         ),
@@ -363,7 +374,7 @@ def _centred(ws: Workspace) -> DataFrame:
 RELATIONAL.update(
     {
         "centre_segments": on_workspace(lambda ws: _centred(ws).select("person_id", "cluster", "segment")),
-        "centre_elbow": on_workspace(lambda ws: _rounded(segments.centre_elbow(ws.mart), "inertia", digits=4)),
+        "centre_elbow": on_workspace(lambda ws: segments.centre_elbow(ws.mart)),
         "centre_segment_success": on_workspace(
             lambda ws: _rounded(segments.segment_success(_centred(ws)), "avg_events", "avg_tenure")
         ),
@@ -395,68 +406,129 @@ RELATIONAL.update(
 # Models: fitted once per workspace; their scored test rows are staged.
 
 
+def _clusters(ws: Workspace) -> dict[int, segments.Run]:
+    return ws.once("clusters", lambda: segments.fit_clusters(ws.mart, ws.settings.seed))
+
+
 def _personas(ws: Workspace) -> segments.Personas:
-    return ws.once("personas", lambda: segments.fit_personas(ws.mart, ws.settings.seed))
+    return ws.once("personas", lambda: segments.fit_personas(ws.mart, _clusters(ws)[len(segments.PERSONAS)]))
 
 
 def _segmented(ws: Workspace) -> DataFrame:
     """The mart with cluster, segment and components."""
 
     def build() -> DataFrame:
-        return _personas(ws).assign(segments.vectors(segments.standardised(ws.mart)))
+        return _personas(ws).assign(segments.on_grid(segments.standardised(ws.mart)))
 
     return ws.staged("segmented", lambda: ws.mart.join(ws.staged("segments", build), "person_id"))
 
 
-def _elbow(ws: Workspace) -> DataFrame:
+def _compared(ws: Workspace) -> dict[str, Estimator | None]:
+    return learning.comparison_models(ws.settings)
+
+
+def _comparison(ws: Workspace) -> DataFrame:
+    """The compared models side by side, and how each was fitted."""
+    pairs = [F.lit(part) for pair in learning.SOLVERS.items() for part in pair]
+    solver = F.element_at(F.create_map(*pairs), F.col("model")).alias("solver")
+    return _side_by_side(ws, _compared(ws)).select("*", solver)
+
+
+def _boosted(ws: Workspace, name: str, rounds: int) -> DataFrame:
+    """The scored test split of boosted stumps."""
+
+    def build() -> DataFrame:
+        split = _split_matrix(ws, name)
+        model = boosting.fit_boosted(split.filter("split = 'train'"), _columns_of(ws, name), rounds, ws.settings.tree_bins)
+        tested = model.score(split.filter("split = 'test'"))
+        return tested.select("person_id", "label", "probability", "prediction")
+
+    return ws.staged(f"boosted_{name}_{rounds}", build)
+
+
+def _newton(ws: Workspace) -> DataFrame:
+    """Intercept (feature '') and coefficients on scaled early features after three steps."""
+
+    def build() -> DataFrame:
+        train = _split_matrix(ws, "early").filter("split = 'train'")
+        fitted = learning.fit_logistic(train, features.EARLY_COLUMNS, steps=3).fitted
+        return replace(fitted, columns=tuple(features.EARLY_COLUMNS)).table(ws.spark)
+
+    return ws.once("newton", build)
+
+
+def _vote_permutation(ws: Workspace) -> DataFrame:
+    def build() -> DataFrame:
+        tested = _split_matrix(ws, "full").filter("split = 'test'")
+        return stumps.exchanged_votes(tested, _forest(ws, "full"), ws.settings.seed)
+
+    return learning.auc_losses(ws.staged("vote_permutation", build))
+
+
+def _full_columns(ws: Workspace) -> list[str]:
+    """The full model's features, those of the event matrix by name."""
+    return sorted(learning.full_columns(ws.mart), key=lambda c: c if c.startswith("evt_") else "")
+
+
+#: Forests of stumps: label and number of trees.
+STUMPS = {
+    "full": ("is_successful", learning.FOREST_TREES),
+    "early": ("is_successful", learning.FOREST_TREES),
+    "upgrade": ("is_upgrade_candidate", learning.UPGRADE_TREES),
+}
+
+
+def _columns_of(ws: Workspace, name: str) -> list[str]:
+    return _full_columns(ws) if name == "full" else list(features.EARLY_COLUMNS)
+
+
+def _split_matrix(ws: Workspace, name: str) -> DataFrame:
     def build() -> DataFrame:
-        points = segments.vectors(segments.standardised(ws.mart)).persist()
-        try:
-            return segments.kmeans_elbow(points, ws.settings.seed)
-        finally:
-            points.unpersist()
+        matrix = learning.feature_matrix(ws.mart, _columns_of(ws, name), STUMPS[name][0])
+        return sampling.train_test_split(matrix, ws.settings, "label")
+
+    return ws.staged(f"split_{name}", build)
+
+
+def _forest(ws: Workspace, name: str) -> stumps.StumpForest:
+    def build() -> stumps.StumpForest:
+        train = _split_matrix(ws, name).filter("split = 'train'")
+        return stumps.fit_forest(train, _columns_of(ws, name), STUMPS[name][1], ws.settings.seed, ws.settings.tree_bins)
 
-    return ws.once("elbow", build)
+    return ws.once(f"stumps_{name}", build)
 
 
-def _compared(ws: Workspace) -> dict[str, Estimator]:
-    rows = ws.once("rows", ws.features.count)
-    return learning.comparison_models(ws.settings, rows * (1 - ws.settings.test_share))
+def _tested(ws: Workspace, name: str) -> DataFrame:
+    """The scored test split of a forest of stumps."""
+
+    def build() -> DataFrame:
+        tested = _forest(ws, name).score(_split_matrix(ws, name).filter("split = 'test'"))
+        return tested.select("person_id", "label", "probability", "prediction", "split")
+
+    return ws.staged(f"scored_{name}", build)
 
 
 def _fitted(ws: Workspace, name: str) -> tuple[PipelineModel, DataFrame]:
-    """A fitted model with its staged scored test split."""
-    seed, bins = ws.settings.seed, ws.settings.tree_bins
-    early, full = features.EARLY_COLUMNS, learning.full_columns(ws.mart)
-    plans = {
-        "full": (full, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed, bins)),
-        "early": (early, "is_successful", learning.stump_forest(learning.FOREST_TREES, seed, bins)),
-        "upgrade": (early, "is_upgrade_candidate", learning.stump_forest(learning.UPGRADE_TREES, seed, bins)),
-        **{
-            model: (full, "is_successful", estimator)
-            for model, estimator in _compared(ws).items()
-        },
-    }
+    """A model of the comparison with its staged scored test split."""
 
     def build() -> tuple[PipelineModel, DataFrame]:
-        columns, label, estimator = plans[name]
-        model, tested = learning.fit_and_score(ws.mart, columns, label, estimator, ws.settings)
+        columns = learning.full_columns(ws.mart)
+        model, tested = learning.fit_and_score(ws.mart, columns, "is_successful", _compared(ws)[name], ws.settings)
         return model, ws.staged(f"scored_{name.lower().replace(' ', '_')}", lambda: tested)
 
     return ws.once(f"model_{name}", build)
 
 
 def _scored(name: str) -> Query:
-    return on_workspace(lambda ws: _fitted(ws, name)[1])
+    return on_workspace(lambda ws: _tested(ws, name))
 
 
-def _side_by_side(ws: Workspace, names: Iterable[str]) -> DataFrame:
-    return learning.compare_models(learning.union_scored((n, _fitted(ws, n)[1]) for n in names))
+def _three_forests(ws: Workspace) -> DataFrame:
+    return learning.union_scored((name, _tested(ws, name)) for name in STUMPS)
 
 
-def _model_curves(ws: Workspace) -> DataFrame:
-    scored = learning.union_scored((n, _fitted(ws, n)[1]) for n in ("full", "early", "upgrade"))
-    return evaluation.roc_points(scored, ["model"])
+def _side_by_side(ws: Workspace, names: Iterable[str]) -> DataFrame:
+    return learning.compare_models(learning.union_scored((n, _fitted(ws, n)[1]) for n in names))
 
 
 def _best_report(ws: Workspace) -> DataFrame:
@@ -466,17 +538,15 @@ def _best_report(ws: Workspace) -> DataFrame:
 
 
 def _cv(ws: Workspace) -> DataFrame:
+    """AUC per fold of a forest trained on the other folds."""
+
     def build() -> DataFrame:
-        columns = learning.full_columns(ws.mart)
-        estimator = learning.stump_forest(learning.FOREST_TREES, ws.settings.seed, ws.settings.tree_bins)
-        return learning.cross_validated_auc(
-            ws.mart,
-            columns,
-            "is_successful",
-            estimator,
-            ws.settings,
-            lambda name, frame: ws.staged(name, lambda: frame),
-        )
+        columns, settings = _full_columns(ws), ws.settings
+        matrix = learning.feature_matrix(ws.mart, columns, "is_successful")
+        folded = ws.staged("folds", lambda: sampling.cross_validation_folds(matrix, "label", settings.folds))
+        forests = stumps.fit_folds(folded, columns, settings.folds, learning.FOREST_TREES, settings.seed, settings.tree_bins)
+        scored = stumps.score_folds(folded, forests).select("fold", "label", "probability")
+        return evaluation.roc_auc(ws.staged("fold_scores", lambda: scored), ["fold"]).orderBy("fold")
 
     return ws.once("cv", build)
 
@@ -485,6 +555,17 @@ def _importance(ws: Workspace) -> DataFrame:
     return learning.feature_importance(_fitted(ws, learning.FOREST)[0], learning.full_columns(ws.mart))
 
 
+def _attribution(ws: Workspace) -> DataFrame:
+    """What each feature adds to a person's vote share, over the whole test split."""
+
+    def build() -> DataFrame:
+        forest = _forest(ws, "full")
+        tested = _split_matrix(ws, "full").filter("split = 'test'")
+        return trees.attribution(tested, forest.columns, forest.nodes(ws.spark))[0]
+
+    return ws.staged("attribution", build)
+
+
 def _permutation(ws: Workspace) -> DataFrame:
     columns = learning.full_columns(ws.mart)
     matrix = learning.feature_matrix(ws.mart, columns, "is_successful")
@@ -501,7 +582,13 @@ def _permutation(ws: Workspace) -> DataFrame:
 
 
 def _risks(ws: Workspace) -> DataFrame:
-    return ws.staged("risks", lambda: learning.risk_scores(_fitted(ws, "early")[0], ws.mart, ws.settings))
+    """Every person scored with the early forest."""
+
+    def build() -> DataFrame:
+        matrix = learning.feature_matrix(ws.mart, features.EARLY_COLUMNS, "is_successful")
+        return learning.with_risk(_forest(ws, "early").score(matrix), ws.settings)
+
+    return ws.staged("risks", build)
 
 
 def _business_case(ws: Workspace) -> DataFrame:
@@ -512,28 +599,45 @@ def _business_case(ws: Workspace) -> DataFrame:
 
 MODELS: dict[str, Query] = {
     "kmeans_segments": on_workspace(lambda ws: _segmented(ws).select("person_id", "cluster", "segment")),
-    "kmeans_elbow": on_workspace(_elbow),
-    "pca_projection": on_workspace(lambda ws: _segmented(ws).select("person_id", "segment", "pca_x", "pca_y")),
-    "segment_success": on_workspace(lambda ws: segments.segment_success(_segmented(ws))),
+    "kmeans_elbow": on_workspace(lambda ws: segments.elbow(ws.spark, _clusters(ws))),
+    "pca_projection": on_workspace(
+        lambda ws: _rounded(_segmented(ws).select("person_id", "segment", "pca_x", "pca_y"), "pca_x", "pca_y")
+    ),
+    "segment_success": on_workspace(
+        lambda ws: _rounded(segments.segment_success(_segmented(ws)), "avg_events", "avg_tenure")
+    ),
     "segment_sizes": on_workspace(lambda ws: segments.segment_sizes(_segmented(ws))),
     "segment_profile": on_workspace(lambda ws: segments.segment_profile(_segmented(ws))),
     "cluster_profile": on_workspace(lambda ws: segments.segment_profile(_segmented(ws), "cluster")),
-    "segment_radar": on_workspace(lambda ws: segments.segment_radar(_segmented(ws))),
+    "segment_radar": on_workspace(
+        lambda ws: _rounded(segments.segment_radar(_segmented(ws)), *segments.RADAR_COLUMNS)
+    ),
     "segment_upgrade": on_workspace(lambda ws: segments.segment_upgrade(_segmented(ws))),
     "rf_full": _scored("full"),
     "rf_day3": _scored("early"),
     "rf_upgrade": _scored("upgrade"),
-    "model_evaluation": on_workspace(lambda ws: _side_by_side(ws, ("full", "early", "upgrade"))),
-    "model_roc_curves": on_workspace(_model_curves),
-    "day3_threshold_sweep": on_workspace(lambda ws: evaluation.threshold_sweep(_fitted(ws, "early")[1])),
-    "cv_auc": on_workspace(_cv),
+    "model_evaluation": on_workspace(lambda ws: learning.compare_models(_three_forests(ws))),
+    "model_roc_curves": on_workspace(
+        lambda ws: _rounded(evaluation.roc_points(_three_forests(ws), ["model"]), "threshold", "fpr", "tpr")
+    ),
+    "day3_threshold_sweep": on_workspace(lambda ws: evaluation.threshold_sweep(_tested(ws, "early"))),
+    "cv_auc": on_workspace(lambda ws: _rounded(_cv(ws), "auc")),
     "cv_auc_interval": on_workspace(lambda ws: learning.auc_interval(_cv(ws))),
     "risk_scores": on_workspace(_risks),
     "risk_distribution": on_workspace(lambda ws: learning.risk_distribution(_risks(ws))),
     "business_case": on_workspace(_business_case),
-    "model_comparison": on_workspace(lambda ws: _side_by_side(ws, _compared(ws))),
+    "model_comparison": on_workspace(_comparison),
+    "newton_coefficients": on_workspace(lambda ws: _rounded(_newton(ws), "coefficient")),
+    "boosted_stumps_early": on_workspace(lambda ws: _rounded(_boosted(ws, "early", 3), "probability")),
+    "boosted_stumps": on_workspace(lambda ws: _rounded(_boosted(ws, "full", 3), "probability")),
+    "boosted_stumps_150": on_workspace(
+        lambda ws: _rounded(_boosted(ws, "full", learning.BOOSTING_ROUNDS), "probability")
+    ),
+    "vote_permutation": on_workspace(_vote_permutation),
     "best_model_report": on_workspace(_best_report),
-    "feature_importance": on_workspace(_importance),
+    "feature_importance": on_workspace(lambda ws: _rounded(_forest(ws, "full").importance(ws.spark), "importance")),
+    "deep_forest_importance": on_workspace(_importance),
+    "vote_attribution": on_workspace(lambda ws: _rounded(_attribution(ws), "contribution")),
     "permutation_importance": on_workspace(_permutation),
 }
 

@@ -632,6 +632,17 @@ rules AS (
          count(*) FILTER (WHERE CAST(polarity * (x - threshold) >= 0 AS INT) <> label) AS errors, count(*) AS n
   FROM cuts JOIN cells USING (feature_no, feature) CROSS JOIN (VALUES (1), (-1)) AS p(polarity) GROUP BY ALL)"""
 
+_WEIGHTED_STUMP = f"""cells AS ({unpivot([
+    f"SELECT {i} AS feature_no, '{c}' AS feature, {c}::DOUBLE AS x, is_successful AS label, "
+    "(CASE WHEN person_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1 / (d3_total_events + 1.0::DOUBLE) END)::DECIMAL(20, 9) AS w FROM mart"
+    for i, c in enumerate(_EARLY)
+])}),
+cuts AS (SELECT DISTINCT feature_no, feature, x AS threshold FROM cells),
+rules AS (
+  SELECT feature_no, feature, threshold, polarity,
+         coalesce(sum(w) FILTER (WHERE CAST(polarity * (x - threshold) >= 0 AS INT) <> label), 0) AS errors, sum(w) AS n
+  FROM cuts JOIN cells USING (feature_no, feature) CROSS JOIN (VALUES (1), (-1)) AS p(polarity) GROUP BY ALL)"""
+
 _SCORED = """scores AS (
   SELECT person_id, is_successful AS label, d3_agent_events / (d3_total_events + 1) AS p FROM mart),
 confused AS (
@@ -765,6 +776,12 @@ SQL.update(
                 ORDER BY errors, feature_no, threshold, polarity DESC LIMIT 1""",
             _STUMP_PARTS,
         ),
+        "best_stump_weighted": with_parts(
+            "mart",
+            f"""SELECT feature, threshold, polarity, errors::DOUBLE AS errors, {r6("errors::DOUBLE / n::DOUBLE")} AS error FROM rules
+                ORDER BY rules.errors, feature_no, threshold, polarity DESC LIMIT 1""",
+            _WEIGHTED_STUMP,
+        ),
         "roc_points": with_parts(
             "mart",
             f"""SELECT {r6("t")} AS threshold, {r6("count(*) FILTER (WHERE label = 0 AND p >= t) / (SELECT count(*) FROM scores WHERE label = 0)")} AS fpr,
@@ -862,8 +879,16 @@ SQL.update(
         "centre_segments": _segmented("SELECT person_id, cluster::INT AS cluster, segment FROM seg"),
         "centre_elbow": with_parts(
             "mart",
-            unpivot([f"SELECT {k}::INT AS k, round_even(sum(d) * 1e4, 0) / 1e4 AS inertia FROM n{k}_1" for k in range(2, 9)]),
-            _Z,
+            unpivot(
+                [
+                    f"SELECT {k}::INT AS k, sum(round_even(d * 1e6::DOUBLE, 0)::BIGINT) / 1e6::DOUBLE AS inertia FROM n{k}_1"
+                    for k in range(2, 9)
+                ]
+            ),
+            _Z.replace("z AS", "unrounded AS", 1),
+            "z AS (SELECT person_id, "
+            + ", ".join(f"round_even({c} * 1e9::DOUBLE, 0) / 1e9::DOUBLE AS {c}" for c in _CLUSTER)
+            + " FROM unrounded)",
             *[_centres(k, 1, str(k)) for k in range(2, 9)],
         ),
         "centre_segment_success": _segmented(

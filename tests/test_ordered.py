@@ -27,7 +27,7 @@ def heavy_tailed(rows: int, seed: int = 3) -> pd.DataFrame:
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_running_totals(spark, descending, by):
     data = heavy_tailed(3000).groupby([*by, "v"], as_index=False)["n"].sum()
-    got = running_totals(spark.createDataFrame(data), "v", ["n"], by, descending, buckets=16).toPandas()
+    got = running_totals(spark.createDataFrame(data), "v", ["n"], by, descending, rows_per_range=100).toPandas()
     want = data.sort_values("v", ascending=not descending)
     want["cum_n"] = want.groupby(by)["n"].cumsum() if by else want["n"].cumsum()
     keys = [*by, "v"]
