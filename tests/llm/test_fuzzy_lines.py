@@ -30,7 +30,15 @@ def word_hashes(spark, words: set[str]) -> dict[str, int]:
     return {r["w"]: r["x"] % (1 << 64) for r in pairs}
 
 
-def brute(spark, rows, similarity=0.8, min_words=5):
+def sketches(spark, names: list[str], most: int) -> list[set[int]]:
+    """The smallest hashes of two words in a row, for each line."""
+    pairs = {p for name in names for p in zip(name.split(" "), name.split(" ")[1:], strict=False)}
+    rows = spark.createDataFrame(sorted(pairs) or [("", "")], "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("x")).collect()
+    known = {(r["a"], r["b"]): r["x"] for r in rows}
+    return [set(sorted({known[p] for p in zip(n.split(" "), n.split(" ")[1:], strict=False)})[:most]) for n in names]
+
+
+def brute(spark, rows, similarity=0.8, min_words=5, sketch=0):
     texts = sorted({(BIG if d is None else d, t) for d, t in rows if t is not None}, key=lambda r: r[0])
     hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in texts] or [("",)], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     spots = []
@@ -48,6 +56,7 @@ def brute(spark, rows, similarity=0.8, min_words=5):
     for name in names:
         words = name.split(" ")
         sims.append(sum(1 << b for b in range(64) if 2 * sum(known[w] >> b & 1 for w in words) > len(words)))
+    small = sketches(spark, names, sketch) if sketch else [set()] * len(names)
     up = list(range(len(names)))
 
     def find(a):
@@ -59,7 +68,7 @@ def brute(spark, rows, similarity=0.8, min_words=5):
     for i in range(len(names)):
         for j in range(i):
             agree = sum((sims[i] >> BLOCK_BITS * k & mask) == (sims[j] >> BLOCK_BITS * k & mask) for k in range(BLOCKS))
-            if agree >= 2:
+            if agree >= 2 or len(small[i] & small[j]) >= 2:
                 longest = max(len(names[i]), len(names[j]))
                 if edits(names[i], names[j]) <= int((1 - similarity) * longest + 1e-9):
                     up[find(i)] = find(j)
@@ -109,6 +118,12 @@ def test_whole_table(spark):
     assert result(without_repeated_lines(frame(spark, rows))) == brute(spark, rows)
 
 
+def test_whole_table_with_sketches(spark):
+    """The rule that the query and the pipeline use."""
+    rows = documents("sf0.001")
+    assert result(without_repeated_lines(frame(spark, rows), fuzzy_lines.WHOLE)) == brute(spark, rows, sketch=fuzzy_lines.WHOLE.sketch)
+
+
 def test_no_rows(spark):
     assert result(without_repeated_lines(frame(spark, []))) == []
 

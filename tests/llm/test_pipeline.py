@@ -10,7 +10,7 @@ import sentencepiece
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from comeback.llm import quality
+from comeback.llm import fuzzy_lines, quality
 from tests.llm import test_fuzzy_lines, test_jaccard
 from tests.llm.fixtures import DATA
 from tests.llm.test_decontaminate import holders
@@ -35,11 +35,12 @@ def test_stages(spark):
     good = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{DATA}/sf0.001/labels.parquet' WHERE quality = 1").fetchall()}
     assert not {d for d in good & set(start) if len(start[d]["text"].split()) >= 50} - kept
 
-    want = test_fuzzy_lines.brute(spark, [(d, r["text"]) for d, r in rules.items()])
+    sketch = fuzzy_lines.WHOLE.sketch
+    want = test_fuzzy_lines.brute(spark, [(d, r["text"]) for d, r in rules.items()], sketch=sketch)
     assert {(d, t) for d, t, _, gone in want if not gone or t.strip()} == {(d, r["text"]) for d, r in lines.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values())
 
-    want = test_jaccard.brute([(d, r["text"]) for d, r in lines.items()])
+    want = test_jaccard.brute([(d, r["text"]) for d, r in lines.items()], corpus_pipeline.NEAR.percent, corpus_pipeline.NEAR.gram)
     assert {d for d, _, c in want if d == c} == set(groups)
 
     items = duckdb.sql(f"SELECT item_id, text FROM '{FOLDER}/benchmark.parquet'").fetchall()
