@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_hashes, window_minimum, words
+from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_digests, span_hashes, window_minimum, words
 
 #: Stands for a null id: larger than all others, and equal to itself.
 NO_ID = np.iinfo(np.int64).max
@@ -156,7 +156,7 @@ def strips(chunk: Chunk, rule: Windows, shards: int) -> Strips:
     if not len(begin):
         return Strips(begin, count, text, *[empty] * 7)
     a, b = chunk.span(begin, begin + count + size - 1)
-    h, g = span_hashes(chunk.data, a, b, 0), span_hashes(chunk.data, a, b, 1)
+    h, g = span_digests(chunk.data, a, b)
     order = np.argsort(h, kind="stable")
     h, g = h[order], g[order]
     edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))

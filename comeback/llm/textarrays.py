@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes hashed together, and bytes of text in a small batch.
-PIECE = 1 << 20
+#: Spans hashed together, few enough for the cache, and bytes of text in a small batch.
+PIECE = 1 << 14
 BATCH = 1 << 22
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.int64).astype(U64)
-_BASES = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+SEEDS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+LONG_SPAN = 1024
+_FACTOR = U64(0xA0761D6478BD642F)
+#: The lowest n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,41 +75,49 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    known = _POWERS.get(which)
-    if known is None or len(known[0]) < n:
-        size = max(n, PIECE + 1)
-        inverse = pow(int(_BASES[which]), -1, 1 << 64)
-        made = []
-        for base in (_BASES[which], U64(inverse)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            made.append(np.cumprod(steps))
-        known = made[0], made[1]
-        if n <= 1 << 24:
-            _POWERS[which] = known
-    return known
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each span of bytes, spans in order of their starts; memory is bounded by pieces."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + PIECE)))
-        high = int(ends[at:to].max())
-        power, inverse = _powers(which, high - low + 1)
-        sums = np.empty(high - low + 1, U64)
-        sums[0] = 0
-        np.cumsum(_TABLES[which][data[low:high]] * power[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
-        at = to
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[np.uint64, ...] = SEEDS) -> list[np.ndarray]:
+    """For each seed a 64-bit hash of each span of bytes.
+
+    Eight bytes at a time are mixed into the hash of those before, which unlike a polynomial leaves no
+    texts that collide by algebra; spans beyond ``LONG_SPAN`` bytes are hashed by BLAKE2b. Spans
+    should be about in the order of their starts; they are hashed in pieces.
+    """
+    sizes = (ends - starts).astype(np.int64)
+    if len(sizes) > PIECE:
+        parts = []
+        for low in range(0, len(sizes), PIECE):
+            a, b = starts[low : low + PIECE], ends[low : low + PIECE]
+            begin = int(a.min())
+            parts.append(span_digests(data[begin : int(b.max())], a - begin, b - begin, seeds))
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
+    out = [mix(sizes.astype(U64) + seed) for seed in seeds]
+    if not len(sizes):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    long = np.flatnonzero(sizes > LONG_SPAN)
+    open_ = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN))
+    done = 0
+    while len(open_):
+        rest = sizes[open_] - done
+        part = eights[starts[open_] + done] & _MASKS[np.minimum(rest, 8)]
+        for hashes in out:
+            hashes[open_] = mix((hashes[open_] ^ part) * _FACTOR)
+        done += 8
+        open_ = open_[rest > 8]
+    for n in long.tolist():
+        span = data[starts[n] : ends[n]].tobytes()
+        for seed, hashes in zip(seeds, out, strict=True):
+            digest = hashlib.blake2b(span, digest_size=8, key=int(seed).to_bytes(8, "little")).digest()
+            hashes[n] = int.from_bytes(digest, "little")
     return out
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes."""
+    return span_digests(data, starts, ends, SEEDS[:1])[0]
+
+
 def run_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` symbols (one for each start), by doubling."""
     if len(symbols) < size:
