@@ -9,8 +9,10 @@ and the range of set sizes, and pairs of nodes that can't overlap enough are lef
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,15 @@ from pyspark.sql import functions as F
 
 from comeback.llm.common import staged
 from comeback.llm.components import connected
+from comeback.llm.fuzzy_lines import _bitmap, _meet
 from comeback.llm.textarrays import U64, buffers, mix, run_hashes, small_batches, span_hashes, words
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORDS64 = 32  # 64-bit words of a bitmap
+TURNS = 16  # deals of a set's elements to buckets
+#: Classes with this part of all rows, and HOT_ROWS rows, are broadcast; so 1 / HOT_PART of them at most.
+HOT_PART, HOT_ROWS = 1e-5, 256
 
 
 @dataclass(frozen=True)
@@ -76,30 +82,47 @@ def size_classes(most: int, percent: int) -> np.ndarray:
 _TOPS = {}
 
 
+@lru_cache(None)
+def spare_buckets(most: int, least: int) -> int:
+    """So many more buckets than ``most`` that a set of ``least`` elements leaves fewer of them empty by a
+    standard deviation; where none are enough, as for few elements, the deals have to do it."""
+    for spare in range(1, most // 3 + 2):
+        empty = (most + spare) * math.exp(-least / (most + spare))
+        if empty + math.sqrt(empty) < spare:
+            return spare
+    return 1 + most // 8
+
+
 def bucket_sums(found: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: for its size class and the next one, the sum of each bucket.
+    """Signatures of a set: for its size class and the next one, the sum of each bucket that isn't empty.
 
     Sets of at most ``top`` elements with the least similarity differ in at most
-    2 top (100 - percent) / (100 + percent) elements. An empty bucket says little, so sets that have
-    one deal their elements once more, and only buckets that stay empty are told of.
+    2 top (100 - percent) / (100 + percent) elements, so with ``spare`` buckets more, at least ``spare``
+    agree. Those that are empty in both say nothing: a set with fewer than ``spare`` empty ones is done,
+    any other deals its elements again. Of two similar sets, the one that is done first has an agreeing
+    bucket with elements at that deal, and the other has dealt as often. A set that is never done (one in
+    millions, of a few elements) tells of its empty buckets too.
     """
     if percent not in _TOPS:
         _TOPS[percent] = size_classes(1 << 34, percent)
     tops = _TOPS[percent]
     own = int(np.searchsorted(tops, len(found)))
+    weights = mix(found)
     out = []
     for tag in (own, own + 1):
-        buckets = int(2 * tops[tag] * (100 - percent) // (100 + percent)) + 1
-        for turn in (0, 1):
+        most = int(2 * tops[tag] * (100 - percent) // (100 + percent))
+        spare = spare_buckets(most, int(tops[tag - 2]) + 1 if tag > 1 else 1)
+        buckets = most + spare
+        for turn in range(TURNS):
             place = (mix(found + U64(turn * 977 + 1)) % U64(buckets)).astype(np.int64)
             count = np.bincount(place, minlength=buckets)
             sums = np.zeros(buckets, U64)
-            np.add.at(sums, place, mix(found))
-            base = mix(np.arange(buckets, dtype=U64) + U64((tag << 34) + (turn << 33)))
+            np.add.at(sums, place, weights)
+            base = mix(np.arange(buckets, dtype=U64) + U64((tag << 44) + (turn << 38)))
             signed = mix(sums + base * U64(3) + count.astype(U64))
-            full = count > 0
-            out.append(signed if turn else signed[full])
-            if full.all():
+            done = buckets - np.count_nonzero(count) < spare
+            out.append(signed[count > 0] if done or turn + 1 < TURNS else signed)
+            if done:
                 break
     return np.concatenate(out)
 
@@ -334,7 +357,11 @@ def _components(source: DataFrame, rule: SetJoin) -> DataFrame:
     members = members.join(sizes, "grp").where("size > 1")
     parts = F.ceil(F.col("size") / rule.block).cast("bigint")
     members = members.withColumn("block", F.pmod(F.xxhash64("f", "g"), parts)).drop("size")
-    texts = staged(members.join(source, ["doc_id", "h"]).dropDuplicates(["grp", "doc_id", "h"]), "texts")
+    # Only rows that may be members are moved: a bitmap of bounded size, then the exact join.
+    spot = F.xxhash64("doc_id", "h")
+    maybe = _meet(source.withColumn("spot", spot), _bitmap(members.select(spot.alias("spot")), "spot"), "spot")
+    wanted = maybe.where("maybe").select("doc_id", "h", "text")
+    texts = staged(members.join(wanted, ["doc_id", "h"]).dropDuplicates(["grp", "doc_id", "h"]), "texts")
     total = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     bins = max(1, -(-total // rule.bin_bytes))
     links = staged(_links(texts, rule, bins), "set-links")
@@ -344,9 +371,15 @@ def _components(source: DataFrame, rule: SetJoin) -> DataFrame:
         links = _across_blocks(texts.join(split, "grp"), links, rule)
 
     found = connected(links).withColumnRenamed("node", "doc_id")
-    named = classes.join(found, "doc_id", "left").select("f", "g", "n", F.coalesce("component", "doc_id").alias("component"))
-    multiple = named.join(classes.select("f", "g", "n", "copies", "doc_id"), ["f", "g", "n"]).where("copies > 1 or component <> doc_id")
-    joined = profiles.join(multiple.select("f", "g", "n", "component"), ["f", "g", "n"], "left")
+    named = classes.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    multiple = named.where("copies > 1 or component <> doc_id")
+    # A class may hold a third of all rows: the few large ones are broadcast, and their rows stay in place.
+    large = F.col("copies") >= max(HOT_ROWS, math.ceil(profiles.count() * HOT_PART))
+    multiple = staged(multiple.select("f", "g", "n", "component", "copies"), "classes-named")
+    hot = multiple.where(large).select("f", "g", "n", F.col("component").alias("hot"))
+    marked = profiles.join(F.broadcast(hot), ["f", "g", "n"], "left")
+    rest = marked.where("hot is null").drop("hot").join(multiple.where(~large).drop("copies"), ["f", "g", "n"], "left")
+    joined = rest.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "component"))
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
 
