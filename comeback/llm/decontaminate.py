@@ -69,6 +69,7 @@ class Items:
         self.ids = [i for i, _ in kept]
         self.words = [w for _, w in kept]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.vocabulary = [np.unique(w, return_counts=True) for w in self.words]
         # Anchors: a run of the item's words of at most 3, that a match can't do without.
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -86,6 +87,21 @@ class Items:
         self.sampled = rng.random((rule.repeats, rule.places))
         self.keys = [self.sample(n, w[None, :]) for n, w in enumerate(self.words)]
 
+    def plausible(self, item: int, hashes: np.ndarray, first: np.ndarray, rows: np.ndarray, allowed: int) -> np.ndarray:
+        """Which windows (text, item, start) have enough of the item's words about them to be a match at all.
+
+        Words that no edit touches stand in the stretch that is aligned, so nothing is lost.
+        """
+        words, weight = self.vocabulary[item]
+        places = rows[:, 2][:, None] + np.arange(-allowed, int(self.sizes[item]) + allowed)[None, :]
+        there = (places >= first[rows[:, 0]][:, None]) & (places < first[rows[:, 0] + 1][:, None])
+        seen = hashes[np.clip(places, 0, len(hashes) - 1)]
+        number = np.minimum(np.searchsorted(words, seen), len(words) - 1)
+        row, column = np.nonzero(there & (words[number] == seen))
+        held = np.zeros((len(rows), len(words)), bool)
+        held[row, number[row, column]] = True
+        return held @ weight >= self.sizes[item] - allowed
+
     def sample(self, item: int, windows: np.ndarray) -> np.ndarray:
         """Key of each window (a row of word hashes, 0 beyond the text) in each repeat.
 
@@ -168,11 +184,17 @@ def matches(hashes: np.ndarray, first: np.ndarray, items: Items) -> dict[int, di
         allowed = edits_allowed(size, rule.similarity)
         for low in range(0, len(rows), 2048):
             part = rows[low : low + 2048]
+            part = part[items.plausible(n, hashes, first, part, allowed)]
+            if not len(part):
+                continue
             begin, end = first[part[:, 0]], first[part[:, 0] + 1]
             places = part[:, 2][:, None] + np.arange(size)[None, :]
             there = (places >= begin[:, None]) & (places < end[:, None])
             seen = np.where(there, hashes[np.clip(places, 0, len(hashes) - 1)], U64(0))
-            agree = (items.sample(n, seen) == items.keys[n]).any(axis=1) | (seen == items.words[n]).all(axis=1)
+            agree = (seen == items.words[n]).all(axis=1)
+            changed = np.flatnonzero(~agree)
+            if len(changed):
+                agree[changed] = (items.sample(n, seen[changed]) == items.keys[n]).any(axis=1)
             for text, start, a, b in zip(part[agree, 0], part[agree, 2], begin[agree], end[agree], strict=True):
                 known = found.get(int(text), {}).get(n, 0.0)
                 if known == 1.0:
