@@ -96,6 +96,10 @@ def template_grams(templates: Sequence[Template]) -> list[tuple[int, int, list[s
     return out
 
 
+#: Divided by every band there is without a rest.
+BANDS = 840
+
+
 def band_of(grams: int) -> int:
     """How far diagonals of one copy may lie apart: a tenth of the template, at most 8 words."""
     return max(1, min(8, grams // 10))
@@ -151,16 +155,14 @@ def scan_licenses(
     )
     diagonals = diagonals.join(F.broadcast(facts), "template", "left")
 
-    # Neighbouring diagonals of a template become one span.
-    along = Window.partitionBy("row", "doc_id", "template").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.col("band")
-    merge = ~F.coalesce(F.col("exact"), F.lit(True))
-    marked = diagonals.withColumn("cut", F.when(merge & ~F.coalesce(apart, F.lit(True)), 0).otherwise(1))
-    islands = marked.withColumn("island", F.sum("cut").over(along))
-    spans = islands.groupBy("row", "doc_id", "template", "island", "label", "exact", "grams").agg(
-        F.min("diagonal").alias("first"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
-    )
+    # Neighbouring diagonals of a template become one span. Each is tried as the span's first: the others
+    # lie at most ``band`` beyond, so a span is at most that much longer than its template, however far
+    # a chain of neighbours would go on. Places are scaled so that ``band`` is the same for all templates.
+    scaled = F.col("diagonal") * F.expr(f"{BANDS} div band")
+    along = Window.partitionBy("row", "doc_id", "template").orderBy(scaled).rangeBetween(0, BANDS)
+    merged = F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(along))))
+    spans = diagonals.withColumn("votes", F.when(F.coalesce("exact", F.lit(True)), F.size("seen")).otherwise(merged))
+    spans = spans.withColumnRenamed("diagonal", "first")
     # Verified: an exact template with every 3-gram on its diagonal, others with enough of them.
     spans = spans.withColumn("part", F.col("votes") / F.col("grams"))
     whole = F.col("exact") & (F.col("votes") == F.col("grams"))
@@ -199,14 +201,10 @@ diagonals AS (
   SELECT r, template, diagonal, list(DISTINCT place) AS seen, any_value(label) AS label, any_value(exact) AS exact,
     any_value(grams) AS grams, any_value(band) AS band
   FROM votes JOIN facts USING (template) GROUP BY r, template, diagonal),
-marked AS (
-  SELECT *, CASE WHEN NOT exact AND diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= band
-    THEN 0 ELSE 1 END AS cut
-  FROM diagonals),
-islands AS (SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM marked),
 spans AS (
-  SELECT r, label, exact, min(diagonal) AS first, len(list_distinct(flatten(list(seen)))) AS votes, grams
-  FROM islands GROUP BY r, template, island, label, exact, grams),
+  SELECT r, label, exact, diagonal AS first, grams, CASE WHEN exact THEN len(seen) ELSE len(list_distinct(flatten(list(seen) OVER (
+    PARTITION BY r, template ORDER BY diagonal * ({BANDS} // band) RANGE BETWEEN CURRENT ROW AND {BANDS} FOLLOWING)))) END AS votes
+  FROM diagonals),
 judged AS (SELECT *, votes::DOUBLE / grams AS part, exact AND votes = grams AS whole FROM spans),
 summed AS (
   SELECT r, count(*) FILTER (whole) AS n_base, min(first) FILTER (whole) AS first_word, max(first) FILTER (whole) AS last_word,

@@ -63,6 +63,21 @@ def test_edited_notice_keeps_its_label(spark):
     assert got[3][6] == "" and got[3][7] < 0.2
 
 
+def test_stretched_notice_has_no_label(spark):
+    """Every 3-gram in order, each in full after the other: all votes, but no span of the notice's length."""
+    for template in licenses.NOTICES:
+        words = template.text.split()
+        if len(words) < 30:
+            continue
+        stretched = [w for i in range(len(words) - 2) for w in words[i : i + 3]]
+        halves = words[: len(words) // 2] + ["x"] * 40 + words[len(words) // 2 :]
+        got = {r[0]: r for r in rows_of(licenses.scan_licenses(frame(spark, [(1, " ".join(stretched)), (2, " ".join(halves)), (3, template.text)])))}
+        assert template.label not in got[1][6].split(",") and got[1][7] < 0.5, (template.label, got[1])
+        if template.label not in got[2][5].split(","):  # a phrase in a half is a label of its own
+            assert template.label not in got[2][6].split(",") and got[2][7] < 0.6
+        assert template.label in got[3][6].split(",") and got[3][7] == 1.0
+
+
 def test_long_text_and_hot_phrase(spark):
     text = "lorem ipsum " * 100_000 + "apache license version 2 " * 5000
     got = rows_of(licenses.scan_licenses(frame(spark, [(1, text)])))
