@@ -53,7 +53,8 @@ class QualityRules:
     """Parameters of the rules.
 
     ``common_share``: part of a language's words that makes a word common (so at most 1/share
-    words). ``language_share``: part of the corpus' words from which a language has a reference.
+    words). ``reference_words``: from so many words on a language has a reference; with fewer, a word at
+    the common share would have been seen less than ten times, and the histogram would be noise.
     ``min_words``: shorter documents aren't compared. ``class_limit`` and ``word_limit``: largest
     distances kept; ``noise``: what is added to the word limit for a document of n words, as
     noise / sqrt(n), since short texts stray further by chance.
@@ -62,7 +63,7 @@ class QualityRules:
     min_base_words: int = 50
     repeat_percent: int = 50
     common_share: float = 0.002
-    language_share: float = 0.001
+    reference_words: int = 5000
     min_words: int = 50
     class_limit: float = 0.31
     word_limit: float = 0.20
@@ -113,8 +114,8 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
 def language_references(docs: DataFrame, rules: QualityRules, lang_column: str = "lang", text_column: str = "text") -> dict:
     """Reference histograms by language, from every row of ``docs``.
 
-    Python tasks count per batch, Spark sums up. What reaches the driver is bounded: languages
-    with ``language_share`` of all words, words with ``common_share`` of their language's.
+    Python tasks count per batch, Spark sums up. What reaches the driver is bounded: for each language
+    with ``reference_words`` words, those with ``common_share`` of them. Languages are a short list of codes.
     """
     source = docs.select(docs[lang_column].cast("string").alias("lang"), docs[text_column].cast("string").alias("text"))
     source = source.where("lang is not null and text is not null")
@@ -139,8 +140,7 @@ def language_references(docs: DataFrame, rules: QualityRules, lang_column: str =
     summed = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     with one_pass(summed) as stored:
         totals = stored.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total"))
-        everything = totals.agg(F.sum("total")).first()[0] or 0
-        large = totals.where(F.col("total") >= rules.language_share * everything).where("total > 0")
+        large = totals.where(F.col("total") >= max(1, rules.reference_words))
         common = stored.join(F.broadcast(large), "lang").where(
             (F.col("kind") == "class") | (F.col("n") >= rules.common_share * F.col("total"))
         )
