@@ -257,17 +257,20 @@ def fit_folds(
     """
     limits = Limits.fit(matrix, columns, bins)
     cells = _cells(matrix, limits, many, seed, ["fold"])
-    # A limit that only the fold itself holds has no training rows and is no candidate.
-    spread = cells.groupBy("tree", "feature", "limit").agg(*[F.sum(c).alias(c) for c in ("pos", "neg")])
-    each = spread.crossJoin(F.broadcast(cells.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))))
-    own = cells.withColumnsRenamed({"pos": "own_pos", "neg": "own_neg"})
-    others = each.join(own, ["fold", "tree", "feature", "limit"], "left").select(
-        "fold",
-        "tree",
-        "feature",
-        "limit",
-        *[(F.col(c) - F.coalesce(F.col(f"own_{c}"), F.lit(0))).alias(c) for c in ("pos", "neg")],
+    listed = cells.groupBy("tree", "feature", "limit").agg(
+        F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.collect_list(F.struct("fold", "pos", "neg")).alias("own")
     )
+
+    def rest(fold: Column, kind: str) -> Column:
+        own = F.filter("own", lambda o: o["fold"] == fold)
+        return F.col(f"all_{kind}") - F.aggregate(own, F.lit(0).cast("bigint"), lambda a, o: a + o[kind])
+
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(folds - 1)),
+        lambda fold: F.struct(fold.alias("fold"), rest(fold, "pos").alias("pos"), rest(fold, "neg").alias("neg")),
+    )
+    others = listed.select("tree", "feature", "limit", F.inline(each))
+    # A limit that only the fold itself holds has no training rows and is no candidate.
     rows = _best(others.where("pos + neg > 0"), ["fold"]).collect()
     return {fold: _forest([r for r in rows if r["fold"] == fold], limits) for fold in range(folds)}
 
