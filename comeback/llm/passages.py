@@ -32,7 +32,9 @@ from comeback.llm.textarrays import U64, buffers, mix, run_hashes, span_digests,
 #: Stands for a null id: larger than all others, and equal to itself.
 NO_ID = np.iinfo(np.int64).max
 #: Symbols whose windows are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Slots that window hashes are counted in, as a power of two: four for each byte of a block.
+SLOT_BITS = 23
 #: Bytes of strips that a shard searches together.
 BLOCK = 1 << 21
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -112,6 +114,12 @@ class Strips:
     place: np.ndarray
 
 
+def texts_of(first: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The text that each of the symbols [low, high) stands in."""
+    cuts = np.clip(first, low, high)
+    return np.repeat(np.arange(len(first) - 1), np.diff(cuts))
+
+
 def strips(chunk: Chunk, rule: Windows, shards: int) -> Strips:
     size, gram = rule.size, rule.gram
     width = size - gram + 1
@@ -123,8 +131,8 @@ def strips(chunk: Chunk, rule: Windows, shards: int) -> Strips:
         part = symbols[low:high] if rule.by_word else _BYTE[chunk.data[low:high]]
         grams = run_hashes(part, gram)
         least = window_minimum(grams, width)
-        text = np.searchsorted(chunk.first, np.arange(low, low + len(least)), side="right") - 1
-        good = np.arange(low, low + len(least)) + size <= chunk.first[text + 1]
+        text = texts_of(chunk.first, low, low + len(least))
+        good = np.arange(low + size, low + size + len(least)) <= chunk.first[text + 1]
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~good[:-1]
         begin = np.flatnonzero(new & good)
@@ -136,8 +144,9 @@ def strips(chunk: Chunk, rule: Windows, shards: int) -> Strips:
         bad = np.append(np.flatnonzero(~good), len(least))
         end = np.minimum(end, bad[np.searchsorted(bad, begin)])
         value = least[begin]
-        place = np.full(len(begin), -1, np.int64)
-        open_ = np.arange(len(begin))
+        # A value below that of the window before has just come in at the end.
+        place = np.full(len(begin), width - 1, np.int64)
+        open_ = np.flatnonzero((begin == 0) | (least[begin - 1] <= value))
         for step in range(width):
             hit = grams[begin[open_] + step] == value[open_]
             place[open_[hit]] = step
@@ -180,7 +189,7 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return data[index], offsets
 
 
-CODEC = pa.Codec("zstd", compression_level=7)
+CODEC = pa.Codec("zstd", compression_level=5)
 SENT = "shard int, chunk int, n bigint, raw bigint, packed binary"
 
 
@@ -240,8 +249,8 @@ def settle(table: pa.Table, rule: Windows, resolve: Resolve) -> pa.Table:
     # Strips that share a minimizer with another text from another document need a search.
     one = np.zeros(len(plain), np.int64)
     one[code[::-1]] = np.arange(len(code))[::-1]
-    mark = _minimizers(whole, offsets, place, one, rule)
-    order = np.argsort(mark, kind="stable")
+    mark, beside, apart = _minimizers(whole, offsets, place, one, rule)
+    order = np.argsort(mark)
     edges = np.flatnonzero(np.concatenate([[True], mark[order][1:] != mark[order][:-1]]))
     group = np.zeros(len(plain), np.int64)
     group[order] = np.cumsum(np.isin(np.arange(len(plain)), edges, assume_unique=True)) - 1
@@ -249,9 +258,13 @@ def settle(table: pa.Table, rule: Windows, resolve: Resolve) -> pa.Table:
     search = np.flatnonzero(low_id[group] < least)
     needed = np.zeros(len(edges), bool)
     needed[group[search]] = True
-    member = np.flatnonzero(needed[group])
-    found: dict[int, np.ndarray] = {}
-    searched = np.zeros(len(plain), bool)
+    loose = np.zeros(len(edges), bool)
+    loose[group[apart]] = True
+    near = loose[group]
+    for keys in beside:
+        near |= _shared(keys, least)
+    member = np.flatnonzero(needed[group] & near)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     # Groups of a minimizer are independent: they are looked at in blocks of bounded size.
     member = member[np.argsort(group[member], kind="stable")]
     sizes_ = np.cumsum(offsets[one[member] + 1] - offsets[one[member]])
@@ -262,10 +275,13 @@ def settle(table: pa.Table, rule: Windows, resolve: Resolve) -> pa.Table:
         these = np.concatenate(waiting)
         waiting.clear()
         text, at = gathered(whole, offsets[one[these]], offsets[one[these] + 1])
-        for n, starts in zip(these, resolve(text, at, least[these]), strict=True):
-            if len(starts):
-                found[int(n)] = np.asarray(starts, np.int64)
-                searched[n] = True
+        starts = resolve(text, at, least[these])
+        owner = np.repeat(these, [len(x) for x in starts])
+        if len(owner):
+            starts = np.concatenate(starts).astype(np.int64)
+            cut = np.flatnonzero((np.diff(owner) != 0) | (np.diff(starts) != 1))
+            first, last = np.concatenate([[0], cut + 1]), np.append(cut, len(starts) - 1)
+            found.append((owner[first], starts[first], starts[last] + 1))
 
     low = held = 0
     for place, high in enumerate(last):
@@ -284,20 +300,23 @@ def settle(table: pa.Table, rule: Windows, resolve: Resolve) -> pa.Table:
                 held = 0
     if waiting:
         search()
+    # Runs of windows [low, high) of strip n are those from upto[n] on.
+    strip, lows, highs = (np.concatenate(x) for x in zip(*found, strict=True)) if found else np.zeros((3, 0), np.int64)
+    by_strip = np.argsort(strip, kind="stable")
+    lows, highs = lows[by_strip], highs[by_strip]
+    runs = np.bincount(strip, minlength=len(plain))
+    upto = np.cumsum(runs) - runs
     out: dict[str, list] = {k: [] for k in ("chunk", "shard", "entry", "low", "high")}
     begin = 0
     for number, n in zip(chunks, counts, strict=True):
         mine, own = code[begin : begin + n], key[begin : begin + n]
         begin += n
         later = np.flatnonzero(own > least[mine])
-        entry, low, high = [later], [np.zeros(len(later), np.int64)], [np.full(len(later), 2**32 - 1)]
-        for e in np.flatnonzero((own == least[mine]) & searched[mine]):
-            starts = found[int(mine[e])]
-            cut = np.flatnonzero(np.diff(starts) != 1)
-            a, b = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + 1
-            entry.append(np.full(len(a), e))
-            low.append(a)
-            high.append(b)
+        part = np.flatnonzero((own == least[mine]) & (runs[mine] > 0))
+        times = runs[mine[part]]
+        at = np.arange(times.sum()) + np.repeat(upto[mine[part]] - (np.cumsum(times) - times), times)
+        entry = [later, np.repeat(part, times)]
+        low, high = [np.zeros(len(later), np.int64), lows[at]], [np.full(len(later), 2**32 - 1), highs[at]]
         entry, low, high = (np.concatenate(x).astype(np.uint32) for x in (entry, low, high))
         if len(entry):
             for k, v in zip(out, (number, shard, *(x.tobytes() for x in (entry, low, high))), strict=True):
@@ -314,18 +333,43 @@ def _symbols(data: np.ndarray, offsets: np.ndarray, rule: Windows) -> tuple[np.n
     return span_hashes(data, starts, ends), first
 
 
-def _minimizers(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, one: np.ndarray, rule: Windows) -> np.ndarray:
-    """Hash of the minimizer of the strips ``one``."""
+def _minimizers(
+    data: np.ndarray, offsets: np.ndarray, place: np.ndarray, one: np.ndarray, rule: Windows
+) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of the strips ``one``: the hash of the minimizer; hashes of the minimizer with half of the rest of a
+    window after it, and before it; and whether some window doesn't hold that place.
+
+    Equal windows hold their minimizer at the same place, so two strips with a window in common agree
+    in one half at least. A hash that is none, as the strip ends before, is of no other strip.
+    """
     if rule.by_word:
         starts, ends, first = words(data, offsets)
-        a = first[one] + place[one]
-        s, e = starts[a], ends[a + rule.gram - 1]
+        low, high = first[one], first[one + 1]
     else:
-        s = offsets[one] + place[one]
-        e = s + rule.gram
-    order = np.argsort(s, kind="stable")
-    out = np.empty(len(s), U64)
-    out[order] = span_hashes(data, s[order], e[order])
+        low, high = offsets[one], offsets[one + 1]
+    at, half = low + place[one], (rule.size - rule.gram + 1) // 2
+
+    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = np.maximum(a, low), np.minimum(b, high)
+        s, e = (starts[a], ends[b - 1]) if rule.by_word else (a, b)
+        order = np.argsort(s)
+        out = np.empty(len(s), U64)
+        out[order] = span_hashes(data, s[order], e[order])
+        return out
+
+    own = np.arange(len(one), dtype=U64)
+    after = np.where(at + rule.gram + half <= high, hashes(at, at + rule.gram + half), own)
+    before = np.where(at - half >= low, hashes(at - half, at + rule.gram), own)
+    return hashes(at, at + rule.gram), [after, before], at + rule.size < high
+
+
+def _shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which keys stand with different ids."""
+    order = np.argsort(keys)
+    edges = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    differ = np.minimum.reduceat(ids[order], edges) != np.maximum.reduceat(ids[order], edges)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(differ, np.diff(np.append(edges, len(keys))))
     return out
 
 
@@ -333,10 +377,16 @@ def _with_repeats(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, rule:
     """Texts that share a window hash with one of another id; others can be left out of the search."""
     symbols, first = _symbols(data, offsets, rule)
     hashes = run_hashes(symbols, rule.size)
-    text = np.searchsorted(first, np.arange(len(hashes)), side="right") - 1
-    good = np.arange(len(hashes)) + rule.size <= first[text + 1]
+    text = texts_of(first, 0, len(hashes))
+    good = np.arange(rule.size, rule.size + len(hashes)) <= first[text + 1]
     hashes, text = hashes[good], text[good]
-    order = np.argsort(hashes, kind="stable")
+    # Most hashes stand alone in their slot and needn't be sorted.
+    slot = (hashes >> U64(64 - SLOT_BITS)).astype(np.int64)
+    full = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] > 1
+    hashes, text = hashes[full], text[full]
+    if not len(hashes):
+        return text
+    order = np.argsort(hashes)
     hashes, text = hashes[order], text[order]
     edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     low, high = np.minimum.reduceat(ids[text], edges), np.maximum.reduceat(ids[text], edges)

@@ -21,20 +21,23 @@ END = 0xFF
 
 
 def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
-    """Start of each rotation, ordered by at least its first ``depth`` bytes, by doubling."""
+    """Start of each rotation, ordered by at least its first ``depth`` bytes: eight bytes at once, then by doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
-    order, width = np.argsort(rank, kind="stable"), 1
+    around = np.concatenate([text, text[np.arange(7) % n]])
+    key = np.ndarray((n,), np.dtype(">u8"), around, strides=(1,)).astype(np.uint64)
+    width = 8
     while True:
-        if width > 1 or depth > 1:
-            key = rank * (int(rank.max()) + 1) + rank[(np.arange(n) + width) % n]
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], key[order][1:] != key[order][:-1]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            width *= 2
+        order = np.argsort(key)
+        ordered = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         if width >= depth or rank[order[-1]] == n - 1:
             return order
+        key = rank * (int(rank[order[-1]]) + 1)
+        at = width % n
+        key[: n - at] += rank[at:]
+        key[n - at :] += rank[:at]
+        width *= 2
 
 
 def borders(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
@@ -82,7 +85,7 @@ def by_intervals(size: int):
         text[inside] = data
         order = sorted_rotations(text, size + 1)
         begins = borders(text, order, size)
-        strip = np.searchsorted(at, order, side="right") - 1
+        strip = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
         window = order + size <= at[strip] + sizes[strip]
         group = (np.cumsum(begins) - 1)[window]
         place, strip = order[window], strip[window]

@@ -24,11 +24,13 @@ _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values evenly (splitmix finaliser)."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    out = x >> U64(30)
+    out ^= x
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(27)
+    out *= U64(0x94D049BB133111EB)
+    out ^= out >> U64(31)
+    return out
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], place: int, limit: int = BATCH) -> Iterator[pa.RecordBatch]:
@@ -132,12 +134,14 @@ def run_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
                 out, length = run, width
             else:
                 n = len(symbols) - length - width + 1
-                out = out[:n] * power + run[length : length + n]
+                out = out[:n] * power
+                out += run[length : length + n]
                 length += width
         left >>= 1
         if left:
             n = len(symbols) - 2 * width + 1
-            run = run[:n] * power + run[width : width + n]
+            run, right = run[:n] * power, run[width : width + n]
+            run += right
             power = U64(int(power) ** 2 % (1 << 64))
             width *= 2
     return mix(out)
