@@ -11,11 +11,11 @@ from tests.llm.test_fuzzy_lines import edits
 
 
 def test_repeated_rows_count_once(spark):
-    """900 rows alike, without an id, of 40 words: more than a counter of 16 bits holds."""
+    """4,000 rows alike, without an id, of 40 words: more than a counter of 16 bits holds."""
     text = " ".join(f"word{i}" for i in range(40))
     sims = [
         [r["sim"] for r in fuzzy_lines._hashed(fuzzy_lines._rows(frame(spark, [(None, text)] * n), "doc_id", "text"), WHOLE).collect()]
-        for n in (1, 900)
+        for n in (1, 4000)
     ]
     assert len(sims[0]) == 1 and sims[0] == sims[1]
 
