@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comeback.functions.scalars import order_key, percent, round_half_even
-from comeback.operators.learning import ID, Scaler, stable_layout
+from comeback.operators.learning import ID, ROWS_PER_PARTITION, Scaler
 from comeback.operators.rates import flagged
 
 #: Features are rounded to 1 / GRID, distances summed in 1 / MILLIONTHS.
 GRID, MILLIONTHS = 1e9, 1e6
 ELBOW = range(2, 9)
 AXIS_STEPS = 500
+#: Rows whose distances to all centres are computed at once; bits of the lower half of a summed number.
+BLOCK_ROWS, HALF_BITS = 512, 26
+#: Rows of a partition of the points, if the cluster has cores for so many.
+ROWS_PER_SCAN = 5_000
 
 # Clustered features, persona names from the highest mean score down, radar axes.
 CLUSTER_COLUMNS = (
@@ -88,33 +93,79 @@ def advance(points: DataFrame, runs: Sequence[Run], columns: Sequence[str] = CLU
     What is shuffled and fetched is a row per centre. An empty cluster keeps its centre; of equally near
     centres the first one counts.
     """
-    spark = points.sparkSession
-    held = [(i, [list(c) for c in run.centres]) for i, run in enumerate(runs)]
-    table = spark.createDataFrame([(held,)], "_runs array<struct<run:int,centres:array<array<double>>>>")
-    each = points.withColumn("_point", F.array(*columns)).crossJoin(F.broadcast(table))
-    each = each.select("_point", *columns, F.inline("_runs"))
-
-    def square(centre: Column) -> Column:
-        return F.aggregate(F.zip_with("_point", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-
-    each = each.withColumn("_far", F.transform("centres", square)).withColumn("_least", F.array_min("_far"))
-    cluster = (F.array_position("_far", F.col("_least")) - 1).cast("int").alias("cluster")
-    sums = each.groupBy("run", cluster).agg(
-        F.count(F.lit(1)).alias("_users"),
-        F.sum(F.rint(F.col("_least") * MILLIONTHS).cast("bigint")).alias("_inertia"),
-        *[F.sum(F.rint(F.col(c) * GRID).cast("bigint")).alias(c) for c in columns],
-    )
+    width = len(columns)
+    scan = _centre_scan([run.centres for run in runs], width)
+    schema = "run int, cluster int, _users bigint, _inertia bigint, " + ", ".join(f"_sum{i} bigint" for i in range(width))
+    partial = points.select(*columns).mapInArrow(scan, schema)
+    totals = ["_users", "_inertia", *(f"_sum{i}" for i in range(width))]
+    sums = partial.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in totals])
     following = [[list(c) for c in run.centres] for run in runs]
     inertia = [0] * len(runs)
     for row in sums.collect():
-        following[row["run"]][row["cluster"]] = [float(row[c]) / row["_users"] / GRID for c in columns]
         inertia[row["run"]] += row["_inertia"]
+        if row["_users"]:
+            following[row["run"]][row["cluster"]] = [float(row[f"_sum{i}"]) / row["_users"] / GRID for i in range(width)]
     return [
         (Run(run.k, run.start, run.centres, inertia[i]), Run(run.k, run.start, tuple(map(tuple, following[i]))))
         for i, run in enumerate(runs)
     ]
 
 
+def _centre_scan(
+    centres: Sequence[Sequence[Sequence[float]]], width: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For every run's centre the rows nearest to it: their number, and the sums of their features in 1 / GRID.
+
+    The run's squared distances, in millionths, are summed in the row of its first centre. Distances add
+    the squares in the order of the columns. A centre's place is one array over all runs that have it,
+    those with most centres first; whole numbers are summed as two halves, so that products of
+    matrices of doubles are exact.
+    """
+    order = sorted((i for i, held in enumerate(centres) if held), key=lambda i: -len(centres[i]))
+    places = [
+        np.array([centres[i][at] for i in order if len(centres[i]) > at], dtype=np.float64)
+        for at in range(max((len(held) for held in centres), default=0))
+    ]
+
+    def block(rows: np.ndarray, sums: list[np.ndarray], inertia: np.ndarray) -> None:
+        count = rows.shape[1]
+        least, nearest = np.empty((len(order), count)), np.zeros((len(order), count), np.int8)
+        term, far = np.empty_like(least), np.empty_like(least)
+        for at, place in enumerate(places):
+            n = len(place)
+            total = far[:n] if at else least
+            total[:] = 0.0
+            for i in range(width):
+                np.subtract(rows[i][None, :], place[:, i, None], out=term[:n])
+                np.multiply(term[:n], term[:n], out=term[:n])
+                np.add(total, term[:n], out=total)
+            if at:
+                nearest[:n][total < least[:n]] = at
+                np.minimum(least[:n], total, out=least[:n])
+        inertia += np.rint(least * MILLIONTHS).astype(np.int64).sum(axis=1)
+        whole = np.rint(rows * GRID).astype(np.int64)
+        halves = np.vstack([np.ones((1, count)), whole >> HALF_BITS, whole & ((1 << HALF_BITS) - 1)]).T
+        for at, place in enumerate(places):
+            found = ((nearest[: len(place)] == at).astype(np.float64) @ halves).astype(np.int64)
+            sums[at][:, 0] += found[:, 0]
+            sums[at][:, 1:] += (found[:, 1 : width + 1] << HALF_BITS) + found[:, width + 1 :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((len(place), 1 + width), np.int64) for place in places]
+        inertia = np.zeros(len(order), np.int64)
+        for batch in batches:
+            rows = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], dtype=np.float64)
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                block(np.ascontiguousarray(rows[:, at : at + BLOCK_ROWS]), sums, inertia)
+        for at, found in enumerate(sums):
+            held = inertia if at == 0 else np.zeros(len(found), np.int64)
+            values = [np.array(order[: len(found)], np.int32), np.full(len(found), at, np.int32), found[:, 0], held, *found[:, 1:].T]
+            names = ["run", "cluster", "_users", "_inertia", *(f"_sum{i}" for i in range(width))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], names=names)
+
+    return run
+
+
 def settled(old: Run, new: Run) -> bool:
     """Whether no centre moved by more than a hundred-thousandth of its place."""
     pairs = zip(old.centres, new.centres, strict=True)
@@ -141,9 +192,17 @@ def best_runs(runs: Sequence[Run]) -> dict[int, Run]:
     return best
 
 
+def scan_layout(points: DataFrame, rows: int) -> DataFrame:
+    """Rows placed by person for scans that do much work a row: on all cores unless there are few rows."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(rows / ROWS_PER_PARTITION), min(math.ceil(rows / ROWS_PER_SCAN), cores))
+    return points.repartition(max(1, parts), ID)
+
+
 def fit_clusters(mart: DataFrame, seed: int, ks: Sequence[int] = ELBOW, starts: int = 10) -> dict[int, Run]:
     """The best of several starts for every number of clusters, all advanced together."""
-    points = stable_layout(on_grid(standardised(mart)), mart.count()).persist()
+    points, rows = on_grid(standardised(mart)), mart.count()
+    points = scan_layout(points, rows).persist()
     try:
         return best_runs(batched_kmeans(points, first_centres(points, ks, starts, seed)))
     finally:
