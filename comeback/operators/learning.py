@@ -27,7 +27,7 @@ from comeback.operators.features import EARLY_COLUMNS, FIRST_WEEK_COLUMNS, matri
 from comeback.operators.logistic import SOLVER, Logistic, fit_newton
 from comeback.operators.ordered import running_totals, shuffled_rank
 from comeback.operators.sampling import cross_validation_folds, train_test_split
-from comeback.operators.trees import model_nodes, tree_votes
+from comeback.operators.trees import exchanged_counts, fetched_nodes, model_nodes, tree_votes
 
 ID = "person_id"
 ROWS_PER_PARTITION = 100_000
@@ -263,11 +263,21 @@ def permutation_importance(
     ``stage`` stores how many rows of each label have which score, which the AUC reads several times.
 
     Rows get two independent hash orders; the row at position i of one takes its values from
-    the row at position i of the other. Each row then appears once per feature with only that
-    feature exchanged.
+    the row at position i of the other. Each row is then scored once per feature with only that
+    feature exchanged: forests do so where the row stands, for other models it appears so often.
     """
     here = order_key(F.col(ID))
     there = order_key(F.col(ID), settings.seed)
+    classifier = model.stages[-1]
+    if isinstance(classifier, RandomForestClassificationModel):
+        ready = PipelineModel(model.stages[:-1]).transform(tested).select(ID, "label", vector_to_array("features").alias("values"))
+        base = shuffled_rank(ready, here, ID).select("position", "label", "values")
+        donors = shuffled_rank(ready.select(ID, "values"), there, ID).select("position", F.col("values").alias("donor"))
+        nodes = fetched_nodes(tested.sparkSession, classifier)
+        counts = exchanged_counts(base.join(donors, "position"), len(columns), nodes, classifier.getOrDefault("maxDepth"))
+        name = F.when(F.col("feature") < 0, "").otherwise(F.get(F.array(*map(F.lit, columns)), F.col("feature")))
+        return auc_losses(stage("permuted", counts.select(name.alias("feature"), "probability", "label", "rows")))
+
     base = shuffled_rank(tested, here, ID)
     donors = shuffled_rank(tested.select(ID, *columns), there, ID)
     donors = donors.select("position", F.struct(*columns).alias("donor"))

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from comeback.sources.storage import remove_folder, shared_folder
 
@@ -23,6 +26,8 @@ SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, prediction double, cover double"
 )
 INTERVAL = "array<struct<feature:int,slot:int,low:double,high:double>>"
+#: Rows that walk a tree at once when features are exchanged.
+WALKED_ROWS = 2048
 #: Features on one path that attribution takes; a path of m features has 2^m cases.
 MOST_FEATURES = 12
 
@@ -45,10 +50,15 @@ def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def model_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
     """Node table of a fitted random forest, by saving it to the shared folder and reading it back."""
+    return spark.createDataFrame(fetched_nodes(spark, model).to_pylist(), SCHEMA)
+
+
+def fetched_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> pa.Table:
+    """The same in the driver's memory."""
     path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     model.write().save(path)
     try:
-        return spark.createDataFrame(saved_nodes(spark, path).collect(), SCHEMA)
+        return saved_nodes(spark, path).toArrow()
     finally:
         remove_folder(spark, path)
 
@@ -100,6 +110,83 @@ def tree_votes(frame: DataFrame, values: Column, nodes: DataFrame, depth: int) -
     return scored.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
 
 
+def packed_trees(nodes: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """Of every tree the feature, threshold, left and right child and prediction of its nodes, by their number.
+
+    A leaf is its own child.
+    """
+    nodes = nodes.sort_by([("tree", "ascending"), ("node", "ascending")])
+    tree, node, feature, threshold, left, right, prediction = (
+        nodes.column(c).to_numpy() for c in ("tree", "node", "feature", "threshold", "left", "right", "prediction")
+    )
+    leaf = left < 0
+    left, right = np.where(leaf, node, left), np.where(leaf, node, right)
+    bounds = [0, *(np.flatnonzero(np.diff(tree)) + 1), len(tree)]
+    sides = (feature, threshold, left, right, prediction.astype(np.int64))
+    return [tuple(np.ascontiguousarray(side[i:j]) for side in sides) for i, j in zip(bounds, bounds[1:]) if j > i]
+
+
+def exchanged_counts(rows: DataFrame, features: int, nodes: pa.Table, depth: int) -> DataFrame:
+    """(feature, probability, label, rows): how many rows get which share of trees that predict 1, with
+    nothing exchanged (feature -1) and with each feature's value exchanged alone.
+
+    ``rows`` has ``label``, ``values`` and ``donor``, the values to take, both arrays without nulls. A
+    tree is walked once by a row's own values, and again only from the first node of its path at
+    which the exchanged value goes to the other side: where there is none, the leaf is the same.
+    """
+    kind = rows.schema["label"].dataType
+    forest = packed_trees(nodes)
+    most = len(forest)
+
+    def votes(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Trees that predict 1 for each row, and for each row and feature by the exchanged value."""
+        count = len(own)
+        here, base, changes = np.arange(count), np.zeros(count, np.int64), np.zeros((count, features), np.int64)
+        for feature, threshold, left, right, prediction in forest:
+            at, met = np.zeros(count, np.int32), np.zeros((count, features), bool)
+            again: list[tuple[np.ndarray, ...]] = []
+            for _ in range(depth):
+                f, limit = feature[at], threshold[at]
+                goes = own[here, f] <= limit
+                turns = np.flatnonzero((goes != (other[here, f] <= limit)) & (f >= 0) & ~met[here, f])
+                if len(turns):
+                    met[turns, f[turns]] = True
+                    again.append((turns, f[turns], np.where(goes[turns], right[at[turns]], left[at[turns]])))
+                at = np.where(goes, left[at], right[at])
+            leaf = prediction[at]
+            base += leaf
+            if again:
+                row, taken, start = (np.concatenate(part) for part in zip(*again))
+                for _ in range(depth - 1):
+                    f = feature[start]
+                    value = np.where(f == taken, other[row, f], own[row, f])
+                    start = np.where(value <= threshold[start], left[start], right[start])
+                changes[row, taken] += prediction[start] - leaf[row]
+        return base, base[:, None] + changes
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, WALKED_ROWS):
+                batch = whole.slice(at, WALKED_ROWS)
+                label = batch.column("label").dictionary_encode(null_encoding="encode")
+                code, names = label.indices.to_numpy(zero_copy_only=False).astype(np.int64), label.dictionary
+                base, each = votes(matrix(batch.column("values")), matrix(batch.column("donor")))
+                for feature in range(-1, features):
+                    found = base if feature < 0 else each[:, feature]
+                    counts = np.bincount(code * (most + 1) + found, minlength=len(names) * (most + 1))
+                    slots = np.flatnonzero(counts)
+                    share = (slots % (most + 1)) / np.float64(max(most, 1))
+                    columns = [np.full(len(slots), feature, np.int32), share, names.take(pa.array(slots // (most + 1))), counts[slots]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=shape)
+
+    shape = pa.schema([("feature", pa.int32()), ("probability", pa.float64()), ("label", to_arrow_type(kind)), ("rows", pa.int64())])
+    counted = rows.select("label", "values", "donor").mapInArrow(run, f"feature int, probability double, label {kind.simpleString()}, rows bigint")
+    return counted.groupBy("feature", "probability", "label").agg(F.sum("rows").alias("rows"))
+
+
 @dataclass(frozen=True)
 class Path:
     """A leaf and what leads to it: per feature the interval (low, high] and the part of the rows that a
