@@ -22,8 +22,8 @@ ELBOW = range(2, 9)
 AXIS_STEPS = 500
 #: Rows whose distances to all centres are computed at once; bits of the lower half of a summed number.
 BLOCK_ROWS, HALF_BITS = 512, 26
-#: Rows of a partition of the points, if the cluster has cores for so many.
-ROWS_PER_SCAN = 5_000
+#: Rows of a partition of the points, if the cluster has cores for so many; partitions whose sums the driver adds itself.
+ROWS_PER_SCAN, FETCHED_PARTS = 5_000, 16
 
 # Clustered features, persona names from the highest mean score down, radar axes.
 CLUSTER_COLUMNS = (
@@ -87,24 +87,30 @@ def first_centres(
     return [Run(k, start, tuple(listed[start][:k])) for k in ks for start in range(starts)]
 
 
-def advance(points: DataFrame, runs: Sequence[Run], columns: Sequence[str] = CLUSTER_COLUMNS) -> list[tuple[Run, Run]]:
+def advance(
+    points: DataFrame, runs: Sequence[Run], columns: Sequence[str] = CLUSTER_COLUMNS, fetch_parts: bool = False
+) -> list[tuple[Run, Run]]:
     """One scan for all runs: each with its inertia, and with its next centres.
 
-    What is shuffled and fetched is a row per centre. An empty cluster keeps its centre; of equally near
-    centres the first one counts.
+    What is shuffled and fetched is a row per centre; with ``fetch_parts``, nothing is shuffled and such rows
+    are fetched of every partition. An empty cluster keeps its centre; of equally near centres the first one counts.
     """
     width = len(columns)
     scan = _centre_scan([run.centres for run in runs], width)
     schema = "run int, cluster int, _users bigint, _inertia bigint, " + ", ".join(f"_sum{i} bigint" for i in range(width))
-    partial = points.select(*columns).mapInArrow(scan, schema)
-    totals = ["_users", "_inertia", *(f"_sum{i}" for i in range(width))]
-    sums = partial.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in totals])
+    sums = points.select(*columns).mapInArrow(scan, schema)
+    if not fetch_parts:
+        sums = sums.groupBy("run", "cluster").agg(*[F.sum(c).alias(c) for c in sums.columns[2:]])
+    found: dict[tuple[int, int], tuple[int, ...]] = {}
+    for run, cluster, *totals in sums.collect():
+        held = found.get((run, cluster))
+        found[run, cluster] = tuple(map(int.__add__, held, totals)) if held else tuple(totals)
     following = [[list(c) for c in run.centres] for run in runs]
     inertia = [0] * len(runs)
-    for row in sums.collect():
-        inertia[row["run"]] += row["_inertia"]
-        if row["_users"]:
-            following[row["run"]][row["cluster"]] = [float(row[f"_sum{i}"]) / row["_users"] / GRID for i in range(width)]
+    for (run, cluster), (users, squares, *totals) in found.items():
+        inertia[run] += squares
+        if users:
+            following[run][cluster] = [float(total) / users / GRID for total in totals]
     return [
         (Run(run.k, run.start, run.centres, inertia[i]), Run(run.k, run.start, tuple(map(tuple, following[i]))))
         for i, run in enumerate(runs)
@@ -175,10 +181,11 @@ def settled(old: Run, new: Run) -> bool:
 def batched_kmeans(points: DataFrame, runs: Sequence[Run], iterations: int = 300) -> list[Run]:
     """All runs to their end, each step one scan for those still moving; ``points`` should be persisted."""
     active, done = list(runs), []
+    few = points.rdd.getNumPartitions() <= FETCHED_PARTS
     for _ in range(iterations):
         if not active:
             break
-        stepped = advance(points, active)
+        stepped = advance(points, active, fetch_parts=few)
         done += [old for old, new in stepped if settled(old, new)]
         active = [new for old, new in stepped if not settled(old, new)]
     return done + [old for old, _ in (advance(points, active) if active else [])]

@@ -44,7 +44,9 @@ def test_scan_equals_plain_numbers(spark):
     # Equal centres, of which the first one counts, and one that no row is near to.
     runs.append(segments.Run(4, 9, (first[0], first[1], first[1], (1e4,) * len(COLUMNS))))
     runs.append(segments.Run(3, 9, ()))
-    for run, (old, new) in zip(runs, segments.advance(points.repartition(3), runs, COLUMNS), strict=True):
+    stepped = segments.advance(points.repartition(3), runs, COLUMNS)
+    assert stepped == segments.advance(points.repartition(5), runs, COLUMNS, fetch_parts=True)
+    for run, (old, new) in zip(runs, stepped, strict=True):
         inertia, following = plain(matrix, run.centres) if run.centres else (0, ())
         assert (old.k, old.start, old.centres, old.inertia) == (run.k, run.start, run.centres, inertia)
         assert new.centres == following
