@@ -200,10 +200,10 @@ def best_runs(runs: Sequence[Run]) -> dict[int, Run]:
 
 
 def scan_layout(points: DataFrame, rows: int) -> DataFrame:
-    """Rows placed by person for scans that do much work a row: on all cores unless there are few rows."""
+    """Rows dealt out evenly for scans that do much work a row: to all cores unless there are few rows."""
     cores = points.sparkSession.sparkContext.defaultParallelism
     parts = max(math.ceil(rows / ROWS_PER_PARTITION), min(math.ceil(rows / ROWS_PER_SCAN), cores))
-    return points.repartition(max(1, parts), ID)
+    return points.repartition(max(1, parts))
 
 
 def fit_clusters(mart: DataFrame, seed: int, ks: Sequence[int] = ELBOW, starts: int = 10) -> dict[int, Run]:
