@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, prediction double, cover double"
 )
 INTERVAL = "array<struct<feature:int,slot:int,low:double,high:double>>"
+_fetched: WeakKeyDictionary[RandomForestClassificationModel, pa.Table] = WeakKeyDictionary()
 #: Rows that walk a tree at once when features are exchanged.
 WALKED_ROWS = 2048
 #: Features on one path that attribution takes; a path of m features has 2^m cases.
@@ -50,17 +52,19 @@ def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def model_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
     """Node table of a fitted random forest, by saving it to the shared folder and reading it back."""
-    return spark.createDataFrame(fetched_nodes(spark, model).to_pylist(), SCHEMA)
+    return spark.createDataFrame(fetched_nodes(spark, model), SCHEMA)
 
 
 def fetched_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> pa.Table:
-    """The same in the driver's memory."""
-    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
-    model.write().save(path)
-    try:
-        return saved_nodes(spark, path).toArrow()
-    finally:
-        remove_folder(spark, path)
+    """The same in the driver's memory, saved and read once for as long as the model is in use."""
+    if model not in _fetched:
+        path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+        model.write().save(path)
+        try:
+            _fetched[model] = saved_nodes(spark, path).toArrow()
+        finally:
+            remove_folder(spark, path)
+    return _fetched[model]
 
 
 def flat_forest(nodes: DataFrame) -> DataFrame:
